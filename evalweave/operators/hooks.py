@@ -244,17 +244,17 @@ def embed(
                 vectors = [list(v) for v in encode(batch["text"].tolist())]
                 yield pd.DataFrame({"text_key": batch["text_key"].tolist(), "embedding": vectors})
 
-    n = partitions or texts.sparkSession.sparkContext.defaultParallelism
-    return texts.repartition(n, "text_key").mapInPandas(
-        run, "text_key string, embedding array<float>"
-    )
+    # Distinct texts come out of a shuffle evenly spread; more tasks are for slow models.
+    spread = texts.repartition(partitions, "text_key") if partitions else texts
+    return spread.mapInPandas(run, "text_key string, embedding array<float>")
 
 
 def attach_similarity(predictions: DataFrame, vectors: DataFrame) -> DataFrame:
     """Add ``answer_similarity`` from ``(text_key, embedding)``; missing for invalid pairs.
 
     One common answer may stand in a third of all rows, and invalid pairs have no text
-    to look up, hence the skew-aware joins.
+    to look up, hence the skew-aware joins. ``predictions`` is read several times and
+    should be a written table.
     """
     valid = both_answered(F.col("generated_answer"), F.col("reference_answer"))
     pairs = predictions.select(

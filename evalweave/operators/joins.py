@@ -16,6 +16,17 @@ def _salt(salt_by: Sequence[str], salts: int) -> Column:
     return F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int")
 
 
+def group_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """Equi-join on ``on`` where a missing key value equals a missing key value.
+
+    The keys are compared as one struct, which can be hashed and sorted like any other
+    key but is never NULL itself. Rows of groups without a name are therefore kept.
+    """
+    key = F.struct(*on).alias("_key")
+    rest = [c for c in right.columns if c not in on]
+    return left.withColumn("_key", key).join(right.select(key, *rest), "_key", how).drop("_key")
+
+
 def salted_join(
     rows: DataFrame,
     groups: DataFrame,
@@ -33,7 +44,7 @@ def salted_join(
     """
     copies = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = rows.withColumn("_salt", _salt(salt_by, salts))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    return group_join(salted, copies, [*on, "_salt"], how).drop("_salt")
 
 
 def skew_join(

@@ -57,6 +57,7 @@ def early_stop(log: DataFrame, patience: int = 5) -> DataFrame:
     carried = per_block.select(
         "run_id",
         "block",
+        "n",
         F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"),
         F.min("best").over(earlier).alias("best_before"),
         F.sum("n").over(Window.partitionBy("run_id")).alias("evaluations"),
@@ -86,7 +87,20 @@ def early_stop(log: DataFrame, patience: int = 5) -> DataFrame:
         .groupBy("run_id", "evaluations")
         .agg((F.min(F.least("stall", "between")) + patience).alias("stop_position"))
     )
-    steps = numbered.select("run_id", F.col("position").alias("stop_position"), "step")
-    return stops.join(steps, ["run_id", "stop_position"], "left").select(
-        "run_id", "evaluations", "stop_position", F.col("step").alias("stop_step")
+    # The step at the stopping position: only the blocks that contain one are numbered.
+    ending = (
+        carried.join(stops, ["run_id", "evaluations"])
+        .withColumn("offset", F.col("stop_position") - F.col("before"))
+        .filter((F.col("offset") > 0) & (F.col("offset") <= F.col("n")))
+        .select("run_id", "block", "offset")
+    )
+    steps = (
+        rows.select("run_id", "block", "step")
+        .join(ending, ["run_id", "block"])
+        .withColumn("position", F.row_number().over(in_block))
+        .filter(F.col("position") == F.col("offset"))
+        .select("run_id", F.col("step").alias("stop_step"))
+    )
+    return stops.join(steps, "run_id", "left").select(
+        "run_id", "evaluations", "stop_position", "stop_step"
     )

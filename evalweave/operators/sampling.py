@@ -13,6 +13,8 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from evalweave.operators.joins import group_join
+
 # 16 ** 4 buckets: the bucket table has at most 65,536 rows whatever the data size.
 BUCKET_DIGITS = 4
 # Below this size the cut is found by a distributed top-n over (hash, id) alone.
@@ -35,29 +37,39 @@ def _position(seed: int, row_id: str) -> Column:
     return F.struct(seeded_key(seed, row_id).alias("key"), F.col(row_id).alias("id"))
 
 
-def _cut(
-    df: DataFrame, seed: int, row_id: str, rank: Callable[[Column], Column]
+def _cuts(
+    df: DataFrame, seed: int, row_id: str, ranks: Callable[[Column], Sequence[Column]]
 ) -> DataFrame:
-    """One row: the ``(key, id)`` at 1-based ``rank(total)`` of the seeded order, or NULL."""
+    """One row: the ``(key, id)`` at each 1-based rank of the seeded order, as ``cut0, ...``.
+
+    ``ranks`` gets the number of rows. A rank outside the table gives NULL.
+    """
     keyed = df.select(_position(seed, row_id).alias("at")).withColumn(
         "bucket", F.substring("at.key", 1, BUCKET_DIGITS)
     )
     running = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     counts = keyed.groupBy("bucket").agg(F.count("*").alias("n"))
+    wanted = ranks(F.col("total"))
+    # One record per rank: exactly one bucket contains it.
     found = (
         counts.withColumn("end", F.sum("n").over(running))
         .withColumn("total", F.sum("n").over(Window.partitionBy()))
-        .withColumn("offset", rank(F.col("total")) - F.col("end") + F.col("n"))
+        .select("bucket", "n", "end", F.posexplode(F.array(*wanted)).alias("which", "rank"))
+        .withColumn("offset", F.col("rank") - F.col("end") + F.col("n"))
         .filter((F.col("offset") > 0) & (F.col("offset") <= F.col("n")))
-        .select("bucket", "offset")
+        .select("bucket", "which", "offset")
     )
-    # ``found`` is a single row: one bucket contains the cut.
-    order = Window.partitionBy("bucket").orderBy("at")
-    return (
+    order = Window.partitionBy("which", "bucket").orderBy("at")
+    hits = (
         keyed.join(F.broadcast(found), "bucket")
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") == F.col("offset"))
-        .agg(F.max("at").alias("cut"))
+        .withColumn("position", F.row_number().over(order))
+        .filter(F.col("position") == F.col("offset"))
+    )
+    return hits.agg(
+        *[
+            F.max(F.when(F.col("which") == i, F.col("at"))).alias(f"cut{i}")
+            for i in range(len(wanted))
+        ]
     )
 
 
@@ -65,11 +77,11 @@ def _first_n_cut(df: DataFrame, n: int, seed: int, row_id: str) -> DataFrame:
     if n <= TOP_N_LIMIT:
         at = df.select(_position(seed, row_id).alias("at"))
         return at.orderBy("at").limit(n).agg(F.max("at").alias("cut"))
-    return _cut(df, seed, row_id, lambda total: F.least(F.lit(n), total))
+    return _cuts(df, seed, row_id, lambda total: [F.least(F.lit(n), total)])
 
 
-def _up_to(cut: DataFrame, seed: int, row_id: str) -> Column:
-    return F.coalesce(_position(seed, row_id) <= cut.scalar(), F.lit(False))
+def _up_to(cut: Column, seed: int, row_id: str) -> Column:
+    return F.coalesce(_position(seed, row_id) <= cut, F.lit(False))
 
 
 def seeded_sample(
@@ -78,7 +90,8 @@ def seeded_sample(
     """The first ``min(size, rows)`` rows of the seeded order; ``None`` keeps the table."""
     if size is None:
         return df
-    return df.filter(_up_to(_first_n_cut(df, size, seed, row_id), seed, row_id))
+    cut = _first_n_cut(df, size, seed, row_id).scalar()
+    return df.filter(_up_to(cut, seed, row_id))
 
 
 def split_exact(
@@ -96,11 +109,13 @@ def split_exact(
         message = F.lit(f"cannot take {train} training rows from a smaller table")
         return F.when(total >= train, F.lit(train)).otherwise(F.raise_error(message))
 
-    def n_seen(total: Column) -> Column:
-        return n_train(total) + F.floor((total - n_train(total)) / 2)
+    def ends(total: Column) -> Sequence[Column]:
+        first = n_train(total).cast("bigint")
+        return [first, first + F.floor((total - first) / 2)]
 
-    in_train = _up_to(_cut(df, seed, row_id, n_train), seed, row_id)
-    before_test = _up_to(_cut(df, seed, row_id, n_seen), seed, row_id)
+    cuts = _cuts(df, seed, row_id, ends).select(F.struct("cut0", "cut1")).scalar()
+    in_train = _up_to(cuts["cut0"], seed, row_id)
+    before_test = _up_to(cuts["cut1"], seed, row_id)
     label = F.when(in_train, "train").when(before_test, "validation").otherwise("test")
     return df.withColumn("split", label)
 
@@ -116,7 +131,7 @@ def split_caps(
     keep = ~F.col("split").isin(*capped) if capped else F.lit(True)
     for name, n in capped.items():
         rows = df.filter(F.col("split") == name)
-        cut = _first_n_cut(rows, n, seed, row_id)
+        cut = _first_n_cut(rows, n, seed, row_id).scalar()
         keep = keep | ((F.col("split") == name) & _up_to(cut, seed, row_id))
     return df.filter(keep)
 
@@ -160,7 +175,7 @@ def _block_starts(counts: DataFrame, by: Sequence[str], parents: int) -> DataFra
     starts = _block_starts(sums, by, parents - 1).select(
         *by, F.col("block").alias("parent"), F.col("start").alias("parent_start")
     )
-    return within.join(starts, [*by, "parent"]).select(
+    return group_join(within, starts, [*by, "parent"], "inner").select(
         *by, "block", "n", (F.col("parent_start") + F.col("within")).alias("start")
     )
 
@@ -190,12 +205,15 @@ def dense_index(
             "block", F.conv(F.substring("_key", 1, BUCKET_DIGITS), 16, 10).cast("bigint")
         )
     counts = blocked.groupBy(*by, "block").agg(F.count("*").alias("n"))
-    starts = _block_starts(counts, by, parents).select(*by, "block", "start")
-    rank = F.row_number().over(Window.partitionBy(*by, "block").orderBy(*order))
-    # The window already partitions and sorts by the join's keys.
+    # One struct is the key of both the window and the join, so that the join finds the
+    # rows already partitioned and sorted; a missing group name is a group of its own.
+    key = F.struct(*by, "block").alias("_block")
+    starts = _block_starts(counts, by, parents).select(key, "start")
+    rank = F.row_number().over(Window.partitionBy("_block").orderBy(*order))
     return (
-        blocked.withColumn("_rank", rank)
-        .join(starts, [*by, "block"])
+        blocked.withColumn("_block", key)
+        .withColumn("_rank", rank)
+        .join(starts, "_block")
         .withColumn(name, F.col("start") + F.col("_rank") - 1)
         .select(*df.columns, name)
     )

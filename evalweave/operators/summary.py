@@ -26,6 +26,7 @@ def summarize_predictions(
     Similarity columns are always present (missing without the input column); the NLL,
     perplexity and token-count blocks appear only when their input does. Empty
     references count as 0 tokens but are missing in the NLL and perplexity blocks.
+    The median reads ``predictions`` again, which should then be a written table.
     """
     columns = set(predictions.columns)
     aggregates = [F.count("*").alias("n"), *_mean_and_std("token_f1", "token_f1")]

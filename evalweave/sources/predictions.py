@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from evalweave.functions.text import model_slug
 
-# Answers contain line breaks, quotes and empty strings; these options keep them and
-# tell an empty string from a missing one.
+# Answers contain line breaks, quotes and empty strings; these options keep them. A
+# missing value is written as \\N, since an empty answer is a value of its own.
 CSV = {
     "header": True,
     "multiLine": True,
     "quote": '"',
     "escape": '"',
-    "nullValue": "",
+    "nullValue": "\\N",
     "ignoreLeadingWhiteSpace": False,
     "ignoreTrailingWhiteSpace": False,
 }

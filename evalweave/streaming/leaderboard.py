@@ -22,6 +22,9 @@ from evalweave.operators.summary import summarize_predictions
 from evalweave.sources.leaderboards import update_leaderboard
 
 KEY = ["model_id", "evaluation", "example_id"]
+# Up to so many models a batch's models are named in a filter, which prunes the store's
+# partitions; beyond that they are joined.
+MAX_NAMED_MODELS = 1000
 
 
 def store_batch(batch: DataFrame, batch_id: int, store: str) -> None:
@@ -55,9 +58,12 @@ def apply_batch(
     spark = batch.sparkSession
     store_batch(batch, batch_id, store)
     stored = spark.read.parquet(store)
-    # Reads the batch's own partition for the slugs, then only those models' partitions.
     touched = stored.filter(F.col("batch_id") == batch_id).select("model_slug").distinct()
-    affected = salted_join(stored, touched, ["model_slug"], ["example_id"], "left_semi")
+    names = [row[0] for row in touched.limit(MAX_NAMED_MODELS + 1).collect()]
+    if len(names) <= MAX_NAMED_MODELS:
+        affected = stored.filter(F.col("model_slug").isin(names))
+    else:
+        affected = salted_join(stored, touched, ["model_slug"], ["example_id"], "left_semi")
     update_leaderboard(summarize_predictions(newest_evaluation(affected)), board, schema)
 
 

@@ -298,7 +298,8 @@ def scored_predictions(spark, sf):
 
 @query
 def summary_full(spark, sf):
-    return rounded(summary.summarize_predictions(inputs.fully_scored(spark, sf)))
+    scored = materialize(inputs.fully_scored(spark, sf), "scored")
+    return rounded(summary.summarize_predictions(scored))
 
 
 @query
@@ -639,7 +640,12 @@ def scorer_hook(spark, sf):
 
 @query
 def embed_hook(spark, sf):
-    scored = inputs.scored(spark, sf)
+    scored = materialize(
+        inputs.scored(spark, sf).select(
+            "model_id", "example_id", "generated_answer", "reference_answer"
+        ),
+        "scored",
+    )
     vectors = materialize(hooks.embed(hooks.distinct_texts(scored), stubs.make_embedder), "vectors")
     with_similarity = hooks.attach_similarity(scored, vectors)
     return rounded(with_similarity.select("model_id", "example_id", "answer_similarity"))
