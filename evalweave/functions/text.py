@@ -49,13 +49,15 @@ def normalize_answer(text: Column) -> Column:
     return F.array_join(answer_tokens(text), " ")
 
 
-def multiset_overlap(left: Column, right: Column) -> Column:
-    """Number of tokens two arrays share, counting repetitions (sum of smaller counts).
+def _repeats(tokens: Column) -> Column:
+    """Every copy of a token but its first, of a sorted array."""
+    return bind(
+        tokens, lambda sorted_: F.filter(sorted_, lambda t, i: t == F.get(sorted_, i - 1))
+    )
 
-    The tokens of both sides are sorted together; equal tokens then form a run of
-    left copies followed by a run of right copies. The cost is that of one sort per
-    row instead of a shuffle of every token of the table.
-    """
+
+def _overlap_by_runs(left: Column, right: Column) -> Column:
+    """Shared copies found in the runs of equal tokens of both sides sorted together."""
     marked = F.sort_array(
         F.concat(
             F.transform(left, lambda t: F.concat(t, F.lit(_LEFT))),
@@ -65,8 +67,7 @@ def multiset_overlap(left: Column, right: Column) -> Column:
 
     def run_ends(tokens: Column) -> Column:
         last = F.transform(
-            tokens,
-            lambda t, i: F.when(~t.eqNullSafe(F.get(tokens, i + 1)), i),
+            tokens, lambda t, i: F.when(~t.eqNullSafe(F.get(tokens, i + 1)), i)
         )
         return F.filter(last, lambda i: i.isNotNull())
 
@@ -85,6 +86,21 @@ def multiset_overlap(left: Column, right: Column) -> Column:
     return bind(marked, lambda tokens: bind(run_ends(tokens), lambda ends: shared(tokens, ends)))
 
 
+def multiset_overlap(left: Column, right: Column) -> Column:
+    """Number of tokens two arrays share, counting repetitions (sum of smaller counts).
+
+    Tokens both sides have are counted once by a set intersection. What either side
+    repeats is then matched by sorting: a run of left copies of a token is followed by
+    the run of its right copies. The cost is that of a few sorts per row instead of a
+    shuffle of every token of the table.
+    """
+    return bind(
+        F.struct(F.sort_array(left).alias("left"), F.sort_array(right).alias("right")),
+        lambda s: F.size(F.array_intersect(s["left"], s["right"]))
+        + _overlap_by_runs(_repeats(s["left"]), _repeats(s["right"])),
+    )
+
+
 def token_counts(prediction: Column, reference: Column) -> Column:
     """``struct(n_prediction, n_reference, overlap)`` of two texts."""
     return bind(

@@ -53,7 +53,7 @@ def _lay_out(requests: DataFrame, text: str, partitions: int | None) -> DataFram
 def _call_per_model(
     make: Callable[[str], BatchFn],
     inputs: list[str],
-    outputs: dict[str, object],
+    outputs: list[str],
     batch_size: int,
     on_error: str,
 ) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -61,10 +61,12 @@ def _call_per_model(
 
     def call(function: BatchFn, batch: pd.DataFrame) -> pd.DataFrame:
         result = function(batch[["example_id", *inputs]])
-        matched = batch[KEY].merge(result, on="example_id", how="left", validate="1:1", indicator=True)
-        if len(result) != len(batch) or (matched["_merge"] != "both").any():
+        returned = pd.Index(result["example_id"])
+        at = returned.get_indexer(batch["example_id"]) if returned.is_unique else None
+        if at is None or len(result) != len(batch) or (at < 0).any():
             raise ValueError("the model did not return every example exactly once")
-        return matched.drop(columns="_merge")
+        matched = result.iloc[at]
+        return batch[KEY].assign(**{name: matched[name].tolist() for name in outputs})
 
     def run(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get()
@@ -118,11 +120,8 @@ def _map_models(
         _KEY_FIELDS + [T.StructField(n, t) for n, t in outputs.items()] + _CALL_FIELDS
     )
     rows = _lay_out(requests.select(*KEY, *inputs), inputs[0], partitions)
-    # Types stay on the driver; the tasks only need the column names.
-    names = dict.fromkeys(outputs)
-    return rows.mapInPandas(
-        _call_per_model(make, inputs, names, batch_size, on_error), schema
-    )
+    run = _call_per_model(make, inputs, list(outputs), batch_size, on_error)
+    return rows.mapInPandas(run, schema)
 
 
 def generate(
@@ -150,7 +149,7 @@ def score_references(
     requests: DataFrame,
     make_scorer: Callable[[str], BatchFn],
     *,
-    batch_size: int = 1,
+    batch_size: int = 32,
     on_error: str = "skip",
     partitions: int | None = None,
 ) -> DataFrame:

@@ -1,0 +1,56 @@
+"""Choices from training logs against sequential loops."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+
+from evalweave.operators import runs
+
+SCHEMA = "run_id long, base_model string, step long, eval_loss double"
+
+
+def loop_stop(losses, patience):
+    best, bad = None, 0
+    for position, (step, loss) in enumerate(losses, 1):
+        if best is None or (loss is not None and loss < best):
+            best, bad = loss, 0
+        else:
+            bad += 1
+        if bad >= patience:
+            return position, step
+    return None, None
+
+
+@pytest.mark.parametrize("bits", [16, 2, 0])
+@pytest.mark.parametrize("patience", [1, 3, 5])
+def test_early_stop(spark, monkeypatch, bits, patience):
+    """Any block size gives the loop's answer, also with gaps, ties and missing losses."""
+    monkeypatch.setattr(runs, "_STEP_BITS", bits)
+    rng = random.Random(bits * 10 + patience)
+    logs = {}
+    for run in range(150):
+        steps = sorted(rng.sample(range(1, 120), rng.randrange(1, 40)))
+        trend = rng.choice([-0.2, 0.0, 0.3])
+        losses = [round(5 + trend * i + rng.random() * 2, 1) for i in range(len(steps))]
+        losses = [loss if i == 0 or rng.random() > 0.1 else None for i, loss in enumerate(losses)]
+        logs[run] = list(zip(steps, losses))
+    rows = [(run, "b", step, loss) for run, log in logs.items() for step, loss in log]
+    got = runs.early_stop(spark.createDataFrame(rows, SCHEMA).repartition(5), patience).collect()
+    assert {r.run_id: (r.evaluations, r.stop_position, r.stop_step) for r in got} == {
+        run: (len(log), *loop_stop(log, patience)) for run, log in logs.items()
+    }
+
+
+def test_best_checkpoint_and_trial(spark):
+    nan = float("nan")
+    rows = [
+        (1, "b", 300, 0.5), (1, "b", 100, 0.5), (1, "b", 200, nan), (1, "b", 50, None),
+        (2, "b", 10, 0.5), (3, "c", 10, 0.9), (4, "c", 10, None),
+    ]
+    log = spark.createDataFrame(rows, SCHEMA)
+    best = {r.run_id: (r.step, r.eval_loss) for r in runs.best_checkpoint(log).collect()}
+    assert best == {1: (100, 0.5), 2: (10, 0.5), 3: (10, 0.9)}
+    trial = {r.base_model: r.run_id for r in runs.best_trial(log).collect()}
+    assert trial == {"b": 1, "c": 3}

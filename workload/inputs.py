@@ -8,18 +8,30 @@ from evalweave.functions import text
 from evalweave.operators import sampling, scoring
 from evalweave.operators.joins import skew_join
 from evalweave.operators.reshape import fan_out
+from evalweave.sources.tables import read_table
+from evalweave.storage import materialize
 
 MODELS = ("org/echo", "org/lead", "org/parrot", "org/blank")
 SYSTEM_PROMPT = "You are an expert on every subject.\n"
 
 
+# Tables whose rows are texts, with a key that tells rows apart.
+_TEXT_KEYS = {"documents": ("doc_id",), "conversations": ("conv_id", "turn")}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """One of the given tables."""
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table of texts, on all cores however few files it has."""
+    return read_table(spark, f"{sf}/{name}.parquet", *_TEXT_KEYS[name])
+
+
 def flashcards(spark: SparkSession, sf: str) -> DataFrame:
     """Every user turn with the assistant turn that follows it."""
-    turns = table(spark, sf, "conversations")
+    turns = texts(spark, sf, "conversations")
     example_id = F.col("conv_id") * 1_000_000_000 + F.col("turn")
     asked = turns.filter(F.col("role") == "user").select(
         "conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("input"),
@@ -118,12 +130,13 @@ def token_logprobs(spark: SparkSession, sf: str) -> DataFrame:
 
     References are the same for every model, so tokens are counted and looked up once
     and then scored per model. A few words make up much of any text: the lookup is the
-    skew-aware join.
+    skew-aware join. The word counts are written once, as totals and lookup both read
+    them.
     """
-    words = table(spark, sf, "documents").select(
+    words = texts(spark, sf, "documents").select(
         F.explode(text.answer_tokens(F.col("text"))).alias("tok")
     )
-    unigram = words.groupBy("tok").agg(F.count("*").alias("c"))
+    unigram = materialize(words.groupBy("tok").agg(F.count("*").alias("c")), "unigram")
     tokens = flashcards(spark, sf).select(
         "example_id",
         F.posexplode(text.answer_tokens(text.clean_answer(F.col("output")))).alias("pos", "tok"),

@@ -158,9 +158,8 @@ ORACLES["split_caps"] = with_(SPLIT_DOCUMENTS) + f"""SELECT doc_id, split FROM (
 WHERE split = 'test' OR (split = 'train' AND k <= 300) OR (split = 'validation' AND k <= 50)"""
 ORACLES["dense_index"] = f"""SELECT doc_id, lang, row_number() OVER (PARTITION BY lang
   ORDER BY {seeded(42, 'doc_id')}) - 1 AS example_index FROM documents"""
-ORACLES["positional_index"] = with_(FLASHCARDS, SPLIT_FLASHCARDS) + """SELECT split, example_id,
-  row_number() OVER (PARTITION BY split ORDER BY example_id) - 1 AS example_index
-FROM split_flashcards"""
+ORACLES["positional_index"] = """SELECT event_type, event_id, row_number() OVER (
+  PARTITION BY event_type ORDER BY event_id) - 1 AS example_index FROM events"""
 ORACLES["batches"] = f"""SELECT doc_id, example_index,
   CAST(floor(example_index / 32) AS BIGINT) AS batch_id FROM (
   SELECT doc_id, row_number() OVER (ORDER BY {seeded(42, 'doc_id')}) - 1 AS example_index

@@ -67,7 +67,7 @@ def clean_answer(spark, sf):
 def answer_tokens(spark, sf):
     tokens = text.answer_tokens(F.col("text")).alias("tokens")
     return (
-        inputs.table(spark, sf, "documents")
+        inputs.texts(spark, sf, "documents")
         .select("doc_id", tokens)
         .select(
             "doc_id",
@@ -100,7 +100,7 @@ def token_f1_pairs(spark, sf):
 
 @query
 def token_f1_documents(spark, sf):
-    docs = inputs.table(spark, sf, "documents")
+    docs = inputs.texts(spark, sf, "documents")
     following = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("following"))
     pairs = docs.select("doc_id", "text").join(following, "doc_id")
     f1 = text.token_f1(F.col("text"), F.col("following"))
@@ -165,9 +165,8 @@ def dense_index(spark, sf):
 
 @query
 def positional_index(spark, sf):
-    return sampling.dense_index(inputs.split_flashcards(spark, sf), by=["split"]).select(
-        "split", "example_id", "example_index"
-    )
+    events = inputs.table(spark, sf, "events").select("event_type", "event_id")
+    return sampling.dense_index(events, "event_id", by=["event_type"])
 
 
 @query
