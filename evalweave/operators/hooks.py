@@ -19,7 +19,7 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from evalweave.functions.arrays import both_answered, cosine
-from evalweave.operators.joins import salted_join, skew_join
+from evalweave.operators.joins import lookup_groups, skew_join
 
 # The functions below run on executors that need not have this package installed.
 cloudpickle.register_pickle_by_value(__import__(__name__, fromlist=["hooks"]))
@@ -208,7 +208,7 @@ def model_errors(output: DataFrame) -> DataFrame:
 def without_failed_models(rows: DataFrame, errors: DataFrame) -> DataFrame:
     """Rows of the models that had no error at all."""
     failed = errors.select("model_id").distinct()
-    return salted_join(rows, failed, ["model_id"], ["example_id"], "left_anti")
+    return lookup_groups(rows, failed, ["model_id"], ["example_id"], "left_anti")
 
 
 def _text_key(column: str):

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from evalweave.operators.joins import salted_join
+from evalweave.operators.joins import lookup_groups
 
 # A mergeable sketch brackets the middle: ranks 0.5 +- 0.0002 with an error of 0.0001.
 _BRACKET = (0.4998, 0.5002)
@@ -22,7 +22,8 @@ def exact_median(
     a quantile sketch brackets the middle of each group, rows outside the bracket are
     only counted, and just the distinct values inside it are ordered. If a sketch ever
     missed, the counts show on which side the middle lies and that side is ordered
-    instead, so the result never depends on the sketch's error.
+    instead, so the result never depends on the sketch's error. ``rows`` is read three
+    times and should be a written table.
     """
     values = rows.select(*keys, F.col(value).alias("v"), *[c for c in salt_by if c not in keys])
     values = values.filter(F.col("v").isNotNull() & ~F.isnan("v"))
@@ -34,7 +35,7 @@ def exact_median(
     v, low, high = F.col("v"), F.col("low"), F.col("high")
     n, below, up_to = F.col("n"), F.col("below"), F.col("up_to")
     counts = (
-        salted_join(values, pivots, keys, salt_by)
+        lookup_groups(values, pivots, keys, salt_by)
         .groupBy(*keys, "low", "high")
         .agg(
             F.count("*").alias("n"),
@@ -49,7 +50,7 @@ def exact_median(
     )
     in_range = (~F.col("from_low") | (v >= low)) & (~F.col("to_high") | (v <= high))
     middle = (
-        salted_join(values, counts, keys, salt_by)
+        lookup_groups(values, counts, keys, salt_by)
         .filter(in_range)
         .groupBy(*keys, "first", "second", "skipped", "v")
         .agg(F.count("*").alias("copies"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from evalweave.functions import chat
-from evalweave.operators.joins import salted_join
+from evalweave.operators.joins import lookup_groups
 
 RAW_FIELDS = ("instruction", "input", "output")
 
@@ -72,7 +72,7 @@ def render_prompts(requests: DataFrame, templates: DataFrame) -> DataFrame:
         "generation_header",
         "no_think_suffix",
     )
-    joined = salted_join(requests, templates, ["model_id"], ["example_id"], "left")
+    joined = lookup_groups(requests, templates, ["model_id"], ["example_id"], "left")
     return joined.withColumn(
         "rendered", chat.render(F.col("prompt"), *[F.col(p) for p in pieces])
     ).drop(*pieces)

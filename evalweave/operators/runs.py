@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from evalweave.functions.arrays import not_nan
+from evalweave.operators.joins import fetch_groups, group_join
+from evalweave.storage import materialize
 
-# Early stopping works on blocks of 2 ** 16 steps.
+# Runs of more evaluations than this are cut into blocks of 2 ** 16 steps.
+MAX_RUN_ROWS = 1_000_000
 _STEP_BITS = 16
 
 
@@ -31,6 +34,21 @@ def best_trial(log: DataFrame, group: str = "base_model") -> DataFrame:
     return _with_loss(log).groupBy(group).agg(best).select(group, "best.run_id", "best.eval_loss")
 
 
+def _blocked(rows: DataFrame, counts: DataFrame) -> tuple[DataFrame, bool]:
+    """Add ``block``: 0 for ordinary runs, blocks of steps for very long ones."""
+    by_step = F.shiftright(F.col("step").cast("bigint"), _STEP_BITS)
+    long_runs = fetch_groups(
+        counts.filter(F.col("n") > MAX_RUN_ROWS).select("run_id", F.lit(True).alias("long"))
+    )
+    if long_runs is None:
+        return rows.withColumn("block", by_step), True
+    if long_runs.isEmpty():
+        return rows.withColumn("block", F.lit(0).cast("bigint")), False
+    marked = group_join(rows, F.broadcast(long_runs), ["run_id"], "left")
+    block = F.when(F.col("long"), by_step).otherwise(F.lit(0))
+    return marked.withColumn("block", block).drop("long"), True
+
+
 def early_stop(log: DataFrame, patience: int = 5) -> DataFrame:
     """Where each run would stop: after ``patience`` evaluations in a row without a new best.
 
@@ -38,17 +56,13 @@ def early_stop(log: DataFrame, patience: int = 5) -> DataFrame:
     for runs that never stop. ``(run_id, step)`` is unique. Only strict improvement
     counts, and the first evaluation always does.
 
-    A run's history is cut into blocks of steps. Counts and minima per block are
-    carried forward over the (few) blocks, evaluations are then numbered and compared
-    inside their block, and the waiting time between blocks is checked on the blocks'
-    first and last improvements. No window spans a whole run.
+    A run too long for one task is cut into blocks of steps. Counts and minima per
+    block are carried forward over the (few) blocks, evaluations are numbered and
+    compared inside their block, and the waiting time between blocks is checked on the
+    blocks' first and last improvements. No window spans more than an ordinary run.
     """
-    rows = log.select(
-        "run_id",
-        "step",
-        not_nan(F.col("eval_loss")).alias("loss"),
-        F.shiftright(F.col("step").cast("bigint"), _STEP_BITS).alias("block"),
-    )
+    rows = log.select("run_id", "step", not_nan(F.col("eval_loss")).alias("loss"))
+    rows, cut = _blocked(rows, rows.groupBy("run_id").agg(F.count("*").alias("n")))
     per_block = rows.groupBy("run_id", "block").agg(
         F.count("*").alias("n"), F.min("loss").alias("best")
     )
@@ -65,42 +79,60 @@ def early_stop(log: DataFrame, patience: int = 5) -> DataFrame:
     in_block = Window.partitionBy("run_id", "block").orderBy("step")
     seen = in_block.rowsBetween(Window.unboundedPreceding, -1)
     numbered = (
-        rows.join(carried, ["run_id", "block"])
+        rows.join(carried.drop("n"), ["run_id", "block"])
         .withColumn("position", F.col("before") + F.row_number().over(in_block))
         .withColumn("best", F.least("best_before", F.min("loss").over(seen)))
+        .withColumn("ahead", F.lead("step", patience).over(in_block))
     )
     improved = numbered.filter(F.col("best").isNull() | (F.col("loss") < F.col("best")))
-    waited = improved.withColumn("next", F.lead("position").over(in_block))
-    blocks = waited.groupBy("run_id", "block", "evaluations").agg(
-        F.min("position").alias("first"),
-        F.max("position").alias("last"),
-        F.min(F.when(F.col("next") - F.col("position") > patience, F.col("position"))).alias(
-            "stall"
-        ),
+    # An improvement, and the step ``patience`` evaluations later if it is in the block.
+    here = F.struct("position", "ahead")
+    blocks = (
+        improved.withColumn("next", F.lead("position").over(in_block))
+        .groupBy("run_id", "block")
+        .agg(
+            F.max("evaluations").alias("evaluations"),
+            F.min("position").alias("first"),
+            F.max(here).alias("last"),
+            F.min(F.when(F.col("next") - F.col("position") > patience, here)).alias("stall"),
+        )
     )
     following = F.coalesce(F.lead("first").over(by_block), F.col("evaluations") + 1)
+    waits = F.col("following") - F.col("last.position") > patience
     stops = (
         blocks.withColumn("following", following)
-        .withColumn(
-            "between", F.when(F.col("following") - F.col("last") > patience, F.col("last"))
+        .withColumn("between", F.when(waits, F.col("last")))
+        .groupBy("run_id")
+        .agg(
+            F.max("evaluations").alias("evaluations"),
+            F.min(F.least("stall", "between")).alias("stop"),
+        )
+        .select(
+            "run_id",
+            "evaluations",
+            (F.col("stop.position") + patience).alias("stop_position"),
+            F.col("stop.ahead").alias("stop_step"),
         )
-        .groupBy("run_id", "evaluations")
-        .agg((F.min(F.least("stall", "between")) + patience).alias("stop_position"))
     )
-    # The step at the stopping position: only the blocks that contain one are numbered.
+    if not cut:
+        return stops
+    # Stops beyond the block of their last improvement: look the step up in its block.
+    # The stops (one row per run) are read twice from here on, so they are written once.
+    stops = materialize(stops, "stops")
     ending = (
-        carried.join(stops, ["run_id", "evaluations"])
+        carried.join(stops.filter(F.col("stop_step").isNull()), "run_id")
         .withColumn("offset", F.col("stop_position") - F.col("before"))
         .filter((F.col("offset") > 0) & (F.col("offset") <= F.col("n")))
         .select("run_id", "block", "offset")
     )
-    steps = (
+    found = (
         rows.select("run_id", "block", "step")
         .join(ending, ["run_id", "block"])
         .withColumn("position", F.row_number().over(in_block))
         .filter(F.col("position") == F.col("offset"))
-        .select("run_id", F.col("step").alias("stop_step"))
+        .select("run_id", F.col("step").alias("found"))
     )
-    return stops.join(steps, "run_id", "left").select(
-        "run_id", "evaluations", "stop_position", "stop_step"
+    step = F.coalesce("stop_step", "found").alias("stop_step")
+    return stops.join(found, "run_id", "left").select(
+        "run_id", "evaluations", "stop_position", step
     )

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from evalweave.functions.text import model_slug
-from evalweave.operators.joins import salted_join
+from evalweave.operators.joins import lookup_groups, salted_join
 from evalweave.operators.scoring import score_answers
 from evalweave.operators.summary import summarize_predictions
 from evalweave.sources.leaderboards import update_leaderboard
@@ -43,7 +43,7 @@ def store_batch(batch: DataFrame, batch_id: int, store: str) -> None:
 def newest_evaluation(stored: DataFrame) -> DataFrame:
     """Rows of each model's newest evaluation; a re-delivered example replaces itself."""
     newest = stored.groupBy("model_id").agg(F.max("evaluation").alias("newest"))
-    current = salted_join(stored, newest, ["model_id"], ["example_id"]).filter(
+    current = lookup_groups(stored, newest, ["model_id"], ["example_id"]).filter(
         F.col("evaluation") == F.col("newest")
     )
     rest = [c for c in stored.columns if c not in KEY and c != "batch_id"]

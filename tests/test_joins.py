@@ -8,8 +8,8 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from evalweave.operators import quantiles
-from evalweave.operators.joins import group_join, salted_join, skew_join
+from evalweave.operators import joins, quantiles
+from evalweave.operators.joins import group_join, lookup_groups, salted_join, skew_join
 
 
 def result(df):
@@ -64,6 +64,23 @@ def test_salted_join(hot, how):
     assert result(got.select(*plain.columns)) == result(plain)
 
 
+@pytest.mark.parametrize("limit", [10_000, 5])
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+def test_lookup_groups(hot, monkeypatch, how, limit):
+    monkeypatch.setattr(joins, "MAX_GROUPS", limit)
+    groups = hot.select("key").distinct().filter("key is null or key < 'k5'")
+    got = lookup_groups(hot, groups, ["key"], ["id"], how)
+    assert result(got.select("id", "key")) == result(
+        salted_join(hot, groups, ["key"], ["id"], how).select("id", "key")
+    )
+
+
+def test_few_groups_do_not_move_the_rows(hot):
+    groups = hot.groupBy("key").agg(F.count("*").alias("n")).filter("n > 100")
+    plan = lookup_groups(hot, groups, ["key"], ["id"])._jdf.queryExecution().executedPlan()
+    assert "Exchange hashpartitioning" not in plan.toString()
+
+
 def test_group_join_matches_missing_keys(spark):
     a = spark.createDataFrame([(None, 1), ("x", 2)], "k string, a int")
     b = spark.createDataFrame([(None, 3), ("y", 4)], "k string, b int")
@@ -76,9 +93,11 @@ def median_of(df):
 
 
 @pytest.mark.parametrize("bracket", [(0.4998, 0.5002), (0.9, 0.95), (0.01, 0.02), (0.5, 0.5)])
-def test_exact_median(spark, monkeypatch, bracket):
+@pytest.mark.parametrize("groups", [10_000, 2])
+def test_exact_median(spark, monkeypatch, bracket, groups):
     """Also when the sketch's bracket misses the middle on either side."""
     monkeypatch.setattr(quantiles, "_BRACKET", bracket)
+    monkeypatch.setattr(joins, "MAX_GROUPS", groups)
     rng = random.Random(6)
     groups = {
         "one": [3.5],

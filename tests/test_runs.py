@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from evalweave.operators import runs
+from evalweave.operators import joins, runs
 
 SCHEMA = "run_id long, base_model string, step long, eval_loss double"
 
@@ -23,11 +23,14 @@ def loop_stop(losses, patience):
     return None, None
 
 
-@pytest.mark.parametrize("bits", [16, 2, 0])
+@pytest.mark.parametrize("bits, longest", [(16, 10**6), (2, 0), (0, 0), (3, 20)])
 @pytest.mark.parametrize("patience", [1, 3, 5])
-def test_early_stop(spark, monkeypatch, bits, patience):
+@pytest.mark.parametrize("groups", [10_000, 3])
+def test_early_stop(spark, monkeypatch, bits, longest, patience, groups):
     """Any block size gives the loop's answer, also with gaps, ties and missing losses."""
     monkeypatch.setattr(runs, "_STEP_BITS", bits)
+    monkeypatch.setattr(runs, "MAX_RUN_ROWS", longest)
+    monkeypatch.setattr(joins, "MAX_GROUPS", groups)
     rng = random.Random(bits * 10 + patience)
     logs = {}
     for run in range(150):
