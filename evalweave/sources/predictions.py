@@ -20,9 +20,14 @@ CSV = {
 
 
 def write_predictions(predictions: DataFrame, path: str, file_format: str = "parquet") -> None:
-    """Write the models in ``predictions``; other models under ``path`` stay as they are."""
+    """Write the models in ``predictions``; other models under ``path`` stay as they are.
+
+    Rows are gathered per model before writing, or every task would write a small file
+    for every model. Rebalancing splits a model with many rows over several tasks.
+    """
     writer = (
         predictions.withColumn("model_slug", model_slug(F.col("model_id")))
+        .hint("rebalance", "model_slug")
         .write.partitionBy("model_slug")
         .mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

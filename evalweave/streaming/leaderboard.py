@@ -33,6 +33,7 @@ def store_batch(batch: DataFrame, batch_id: int, store: str) -> None:
         score_answers(batch)
         .withColumn("model_slug", model_slug(F.col("model_id")))
         .withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        .hint("rebalance", "model_slug")
         .write.partitionBy("batch_id", "model_slug")
         .mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
