@@ -22,23 +22,34 @@ from evalweave.operators.summary import summarize_predictions
 from evalweave.sources.leaderboards import update_leaderboard
 
 KEY = ["model_id", "evaluation", "example_id"]
+SUMMARIZED = (
+    "token_f1",
+    "answer_similarity",
+    "reference_answer_nll_mean",
+    "reference_answer_token_perplexity",
+    "reference_answer_tokens",
+)
 # Up to so many models a batch's models are named in a filter, which prunes the store's
 # partitions; beyond that they are joined.
 MAX_NAMED_MODELS = 1000
 
 
-def store_batch(batch: DataFrame, batch_id: int, store: str) -> None:
-    """Score a batch and write it under its batch id, replacing an earlier attempt."""
-    (
+def store_batch(batch: DataFrame, batch_id: int, store: str) -> DataFrame:
+    """Score a batch, write it under its batch id, replacing an earlier attempt, and
+    return the whole store."""
+    scored = (
         score_answers(batch)
         .withColumn("model_slug", model_slug(F.col("model_id")))
         .withColumn("batch_id", F.lit(batch_id).cast("bigint"))
         .hint("rebalance", "model_slug")
-        .write.partitionBy("batch_id", "model_slug")
+    )
+    (
+        scored.write.partitionBy("batch_id", "model_slug")
         .mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .parquet(store)
     )
+    return batch.sparkSession.read.schema(scored.schema).parquet(store)
 
 
 def newest_evaluation(stored: DataFrame) -> DataFrame:
@@ -56,9 +67,11 @@ def apply_batch(
     batch: DataFrame, batch_id: int, store: str, board: str, schema: T.StructType
 ) -> None:
     """Store a batch and bring its models' leaderboard rows up to date."""
-    spark = batch.sparkSession
-    store_batch(batch, batch_id, store)
-    stored = spark.read.parquet(store)
+    stored = store_batch(batch, batch_id, store)
+    # Texts are not needed for the summary and stay out of its shuffles.
+    stored = stored.select(
+        "model_slug", "batch_id", *KEY, *[c for c in SUMMARIZED if c in stored.columns]
+    )
     touched = stored.filter(F.col("batch_id") == batch_id).select("model_slug").distinct()
     names = [row[0] for row in touched.limit(MAX_NAMED_MODELS + 1).collect()]
     if len(names) <= MAX_NAMED_MODELS:

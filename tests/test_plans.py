@@ -52,6 +52,37 @@ def test_split_shuffles_only_ids(spark):
         assert "text" not in exchange
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_positions_move_the_rows_once(spark, no_broadcast):
+    """Window and join share one partitioning: no second exchange of the rows."""
+    from evalweave.operators.sampling import dense_index
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = plan_of(dense_index(docs, "doc_id", seed=1, by=["lang"]))
+    below_join = plan[plan.index("SortMergeJoin") :].splitlines()
+    rows_side = [line for line in below_join if line.lstrip().startswith(":")]
+    assert sum("Exchange" in line for line in rows_side) == 1
+    assert any("text" in line for line in rows_side)
+
+
+def test_small_samples_use_a_distributed_top_n(spark):
+    from evalweave.operators.sampling import seeded_sample
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert "TakeOrderedAndProject" in plan_of(seeded_sample(docs, 50, row_id="doc_id"))
+
+
+def test_top_k_per_group_is_cut_before_the_shuffle(spark):
+    for name in ("disagreement_report", "top_candidates"):
+        assert plan_of(queries()[name](spark, SF)).count("WindowGroupLimit") == 2
+
+
 def test_column_pruning_reaches_the_scan(spark):
     plan = plan_of(queries()["dense_index"](spark, SF))
     for schema in re.findall(r"ReadSchema: (\S+)", plan):

@@ -173,6 +173,8 @@ ORACLES["chat_examples"] = with_(FLASHCARDS) + f"""SELECT example_id, 'system,us
   {SYSTEM} AS system_text, input AS user_text, output AS assistant_text FROM flashcards"""
 ORACLES["chat_passthrough"] = with_(FLASHCARDS) + f"""SELECT example_id,
   CAST(length(input) AS BIGINT) AS extra, {SYSTEM} AS system_text FROM flashcards"""
+ORACLES["incomplete_rows"] = with_(FLASHCARDS) + """SELECT example_id, length(output) > 0 AS kept
+FROM flashcards"""
 ORACLES["question_reference"] = with_(FLASHCARDS) + f"""SELECT example_id, input AS question,
   {clean('output')} AS reference_answer FROM flashcards"""
 RENDERED = f"""rendered AS (SELECT model_id, example_id, output, split, input, CASE model_id

@@ -204,6 +204,18 @@ def chat_passthrough(spark, sf):
     )
 
 
+@query
+def incomplete_rows(spark, sf):
+    cards = inputs.flashcards(spark, sf)
+    gaps = cards.withColumn("output", F.when(F.length("output") > 0, F.col("output")))
+    kept = reshape.to_chat(reshape.complete_rows(gaps), inputs.SYSTEM_PROMPT)
+    return (
+        reshape.incomplete_rows(gaps)
+        .select("example_id", F.lit(False).alias("kept"))
+        .unionByName(kept.select("example_id", F.lit(True).alias("kept")))
+    )
+
+
 @query
 def question_reference(spark, sf):
     return reshape.questions_and_references(_chat(spark, sf))
