@@ -4,13 +4,71 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from evalweave.operators.joins import lookup_groups
+from evalweave.operators.joins import fetch_groups, lookup_groups
 
 # A mergeable sketch brackets the middle: ranks 0.5 +- 0.0002 with an error of 0.0001.
 _BRACKET = (0.4998, 0.5002)
 _ACCURACY = 10_000
+# Brackets holding more rows than this are narrowed again, on a grid of 1/1000ths.
+MAX_INSIDE = 1_000_000
+_GRID = 1000
+_MAX_ROUNDS = 6
+
+# Per group: number of values, bounds of the bracket (NULL: open), rows below it, rows in it.
+_STATE = ("n", "low", "high", "skipped", "inside")
+_FIRST = "floor((n + 1) / 2)"
+_SECOND = "floor((n + 2) / 2)"
+
+
+def _inside() -> Column:
+    low, high = F.col("low"), F.col("high")
+    return (low.isNull() | (F.col("v") >= low)) & (high.isNull() | (F.col("v") <= high))
+
+
+def _tighten(
+    values: DataFrame, proposed: DataFrame, keys: Sequence[str], salt_by: Sequence[str]
+) -> DataFrame:
+    """Count around the proposed bounds ``a`` and ``b`` and adopt those that hold."""
+    v, a, b = F.col("v"), F.col("a"), F.col("b")
+    counted = (
+        lookup_groups(values, proposed, keys, salt_by)
+        .groupBy(*keys, *_STATE, "a", "b")
+        .agg(F.count_if(v < a).alias("below"), F.count_if(v <= b).alias("up_to"))
+    )
+    from_a = F.expr(_FIRST) > F.col("below")
+    to_b = F.expr(_SECOND) <= F.col("up_to")
+    skipped = F.when(from_a, F.col("below")).otherwise(F.col("skipped"))
+    end = F.when(to_b, F.col("up_to")).otherwise(F.col("skipped") + F.col("inside"))
+    return counted.select(
+        *keys,
+        "n",
+        F.when(from_a, a).otherwise(F.col("low")).alias("low"),
+        F.when(to_b, b).otherwise(F.col("high")).alias("high"),
+        skipped.alias("skipped"),
+        (end - skipped).alias("inside"),
+    )
+
+
+def _narrower(
+    values: DataFrame, state: DataFrame, keys: Sequence[str], salt_by: Sequence[str]
+) -> DataFrame:
+    """Propose the grid cells around the middle's position inside the present bracket."""
+    grid = F.percentile_approx("v", [i / _GRID for i in range(_GRID + 1)], _ACCURACY)
+    cell = F.floor((F.expr(_FIRST) - F.col("skipped")) * _GRID / F.col("inside")).cast("int")
+    cells = (
+        lookup_groups(values, state, keys, salt_by)
+        .filter(_inside())
+        .groupBy(*keys, *_STATE)
+        .agg(grid.alias("grid"))
+    )
+    return cells.select(
+        *keys,
+        *_STATE,
+        F.get("grid", F.greatest(cell - 1, F.lit(0))).alias("a"),
+        F.get("grid", F.least(cell + 2, F.lit(_GRID))).alias("b"),
+    )
 
 
 def exact_median(
@@ -20,39 +78,45 @@ def exact_median(
 
     The built-in exact median keeps every distinct value of a group in one task. Here
     a quantile sketch brackets the middle of each group, rows outside the bracket are
-    only counted, and just the distinct values inside it are ordered. If a sketch ever
-    missed, the counts show on which side the middle lies and that side is ordered
-    instead, so the result never depends on the sketch's error. ``rows`` is read three
-    times and should be a written table.
+    only counted, and just the distinct values inside it are ordered; a bracket that
+    still holds many rows is narrowed first. A bound counts only if exact counts show
+    that the middle lies on its inner side, so the result never depends on a sketch's
+    error. ``rows`` is read at least three times and should be a written table.
     """
     values = rows.select(*keys, F.col(value).alias("v"), *[c for c in salt_by if c not in keys])
     values = values.filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    pivots = (
+    missing = F.lit(None).cast("double")
+    proposed = (
         values.groupBy(*keys)
-        .agg(F.percentile_approx("v", list(_BRACKET), _ACCURACY).alias("p"))
-        .select(*keys, F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
-    )
-    v, low, high = F.col("v"), F.col("low"), F.col("high")
-    n, below, up_to = F.col("n"), F.col("below"), F.col("up_to")
-    counts = (
-        lookup_groups(values, pivots, keys, salt_by)
-        .groupBy(*keys, "low", "high")
         .agg(
             F.count("*").alias("n"),
-            F.count_if(v < low).alias("below"),
-            F.count_if(v <= high).alias("up_to"),
+            F.percentile_approx("v", list(_BRACKET), _ACCURACY).alias("p"),
+        )
+        .select(
+            *keys,
+            "n",
+            missing.alias("low"),
+            missing.alias("high"),
+            F.lit(0).cast("bigint").alias("skipped"),
+            F.col("n").alias("inside"),
+            F.col("p")[0].alias("a"),
+            F.col("p")[1].alias("b"),
         )
-        .withColumn("first", F.floor((n + 1) / 2))
-        .withColumn("second", F.floor((n + 2) / 2))
-        .withColumn("from_low", F.col("first") > below)
-        .withColumn("to_high", F.col("second") <= up_to)
-        .withColumn("skipped", F.when(F.col("from_low"), below).otherwise(F.lit(0)))
     )
-    in_range = (~F.col("from_low") | (v >= low)) & (~F.col("to_high") | (v <= high))
+    state = _tighten(values, proposed, keys, salt_by)
+    for _ in range(_MAX_ROUNDS):
+        fetched = fetch_groups(state)
+        if fetched is None:
+            break
+        state = fetched
+        splittable = F.col("low").isNull() | F.col("high").isNull() | (F.col("low") < F.col("high"))
+        if state.filter(splittable & (F.col("inside") > MAX_INSIDE)).isEmpty():
+            break
+        state = _tighten(values, _narrower(values, state, keys, salt_by), keys, salt_by)
     middle = (
-        lookup_groups(values, counts, keys, salt_by)
-        .filter(in_range)
-        .groupBy(*keys, "first", "second", "skipped", "v")
+        lookup_groups(values, state, keys, salt_by)
+        .filter(_inside())
+        .groupBy(*keys, "n", "skipped", "v")
         .agg(F.count("*").alias("copies"))
     )
     order = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
@@ -61,8 +125,8 @@ def exact_median(
         middle.withColumn("rank", rank)
         .groupBy(*keys)
         .agg(
-            F.min(F.when(F.col("rank") >= F.col("first"), v)).alias("a"),
-            F.min(F.when(F.col("rank") >= F.col("second"), v)).alias("b"),
+            F.min(F.when(F.col("rank") >= F.expr(_FIRST), F.col("v"))).alias("a"),
+            F.min(F.when(F.col("rank") >= F.expr(_SECOND), F.col("v"))).alias("b"),
         )
         .select(*keys, ((F.col("a") + F.col("b")) / 2).alias(name))
     )

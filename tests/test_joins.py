@@ -92,10 +92,19 @@ def median_of(df):
     return {r.g: r.m for r in got}
 
 
-@pytest.mark.parametrize("bracket", [(0.4998, 0.5002), (0.9, 0.95), (0.01, 0.02), (0.5, 0.5)])
-@pytest.mark.parametrize("groups", [10_000, 2])
-def test_exact_median(spark, monkeypatch, bracket, groups):
-    """Also when the sketch's bracket misses the middle on either side."""
+@pytest.mark.parametrize(
+    "bracket, groups, inside, grid",
+    [
+        ((0.4998, 0.5002), 10_000, 10**6, 1000),
+        ((0.9, 0.95), 10_000, 10**6, 1000),
+        ((0.01, 0.02), 2, 10**6, 1000),
+        ((0.3, 0.7), 10_000, 3, 10),
+    ],
+)
+def test_exact_median(spark, monkeypatch, bracket, groups, inside, grid):
+    """Also when the sketch's bracket misses the middle or has to be narrowed."""
+    monkeypatch.setattr(quantiles, "MAX_INSIDE", inside)
+    monkeypatch.setattr(quantiles, "_GRID", grid)
     monkeypatch.setattr(quantiles, "_BRACKET", bracket)
     monkeypatch.setattr(joins, "MAX_GROUPS", groups)
     rng = random.Random(6)

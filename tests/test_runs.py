@@ -23,10 +23,18 @@ def loop_stop(losses, patience):
     return None, None
 
 
-@pytest.mark.parametrize("bits, longest", [(16, 10**6), (2, 0), (0, 0), (3, 20)])
-@pytest.mark.parametrize("patience", [1, 3, 5])
-@pytest.mark.parametrize("groups", [10_000, 3])
-def test_early_stop(spark, monkeypatch, bits, longest, patience, groups):
+@pytest.mark.parametrize(
+    "patience, bits, longest, groups",
+    [
+        (5, 16, 10**6, 10_000),
+        (1, 2, 0, 10_000),
+        (3, 0, 0, 10_000),
+        (3, 3, 20, 10_000),
+        (5, 3, 20, 3),
+        (1, 16, 20, 10_000),
+    ],
+)
+def test_early_stop(spark, monkeypatch, patience, bits, longest, groups):
     """Any block size gives the loop's answer, also with gaps, ties and missing losses."""
     monkeypatch.setattr(runs, "_STEP_BITS", bits)
     monkeypatch.setattr(runs, "MAX_RUN_ROWS", longest)
