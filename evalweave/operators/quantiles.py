@@ -17,37 +17,37 @@ _GRID = 1000
 _MAX_ROUNDS = 6
 
 # Per group: number of values, bounds of the bracket (NULL: open), rows below it, rows in it.
-_STATE = ("n", "low", "high", "skipped", "inside")
-_FIRST = "floor((n + 1) / 2)"
-_SECOND = "floor((n + 2) / 2)"
+_STATE = ("_n", "_low", "_high", "_skipped", "_inside")
+_FIRST = "floor((_n + 1) / 2)"
+_SECOND = "floor((_n + 2) / 2)"
 
 
 def _inside() -> Column:
-    low, high = F.col("low"), F.col("high")
-    return (low.isNull() | (F.col("v") >= low)) & (high.isNull() | (F.col("v") <= high))
+    low, high = F.col("_low"), F.col("_high")
+    return (low.isNull() | (F.col("_v") >= low)) & (high.isNull() | (F.col("_v") <= high))
 
 
 def _tighten(
     values: DataFrame, proposed: DataFrame, keys: Sequence[str], salt_by: Sequence[str]
 ) -> DataFrame:
-    """Count around the proposed bounds ``a`` and ``b`` and adopt those that hold."""
-    v, a, b = F.col("v"), F.col("a"), F.col("b")
+    """Count around the proposed bounds ``_a`` and ``_b`` and adopt those that hold."""
+    v, a, b = F.col("_v"), F.col("_a"), F.col("_b")
     counted = (
         lookup_groups(values, proposed, keys, salt_by)
-        .groupBy(*keys, *_STATE, "a", "b")
-        .agg(F.count_if(v < a).alias("below"), F.count_if(v <= b).alias("up_to"))
+        .groupBy(*keys, *_STATE, "_a", "_b")
+        .agg(F.count_if(v < a).alias("_below"), F.count_if(v <= b).alias("_up_to"))
     )
-    from_a = F.expr(_FIRST) > F.col("below")
-    to_b = F.expr(_SECOND) <= F.col("up_to")
-    skipped = F.when(from_a, F.col("below")).otherwise(F.col("skipped"))
-    end = F.when(to_b, F.col("up_to")).otherwise(F.col("skipped") + F.col("inside"))
+    from_a = F.expr(_FIRST) > F.col("_below")
+    to_b = F.expr(_SECOND) <= F.col("_up_to")
+    skipped = F.when(from_a, F.col("_below")).otherwise(F.col("_skipped"))
+    end = F.when(to_b, F.col("_up_to")).otherwise(F.col("_skipped") + F.col("_inside"))
     return counted.select(
         *keys,
-        "n",
-        F.when(from_a, a).otherwise(F.col("low")).alias("low"),
-        F.when(to_b, b).otherwise(F.col("high")).alias("high"),
-        skipped.alias("skipped"),
-        (end - skipped).alias("inside"),
+        "_n",
+        F.when(from_a, a).otherwise(F.col("_low")).alias("_low"),
+        F.when(to_b, b).otherwise(F.col("_high")).alias("_high"),
+        skipped.alias("_skipped"),
+        (end - skipped).alias("_inside"),
     )
 
 
@@ -55,19 +55,19 @@ def _narrower(
     values: DataFrame, state: DataFrame, keys: Sequence[str], salt_by: Sequence[str]
 ) -> DataFrame:
     """Propose the grid cells around the middle's position inside the present bracket."""
-    grid = F.percentile_approx("v", [i / _GRID for i in range(_GRID + 1)], _ACCURACY)
-    cell = F.floor((F.expr(_FIRST) - F.col("skipped")) * _GRID / F.col("inside")).cast("int")
+    grid = F.percentile_approx("_v", [i / _GRID for i in range(_GRID + 1)], _ACCURACY)
+    cell = F.floor((F.expr(_FIRST) - F.col("_skipped")) * _GRID / F.col("_inside")).cast("int")
     cells = (
         lookup_groups(values, state, keys, salt_by)
         .filter(_inside())
         .groupBy(*keys, *_STATE)
-        .agg(grid.alias("grid"))
+        .agg(grid.alias("_grid"))
     )
     return cells.select(
         *keys,
         *_STATE,
-        F.get("grid", F.greatest(cell - 1, F.lit(0))).alias("a"),
-        F.get("grid", F.least(cell + 2, F.lit(_GRID))).alias("b"),
+        F.get("_grid", F.greatest(cell - 1, F.lit(0))).alias("_a"),
+        F.get("_grid", F.least(cell + 2, F.lit(_GRID))).alias("_b"),
     )
 
 
@@ -83,24 +83,24 @@ def exact_median(
     that the middle lies on its inner side, so the result never depends on a sketch's
     error. ``rows`` is read at least three times and should be a written table.
     """
-    values = rows.select(*keys, F.col(value).alias("v"), *[c for c in salt_by if c not in keys])
-    values = values.filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    values = rows.select(*keys, F.col(value).alias("_v"), *[c for c in salt_by if c not in keys])
+    values = values.filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
     missing = F.lit(None).cast("double")
     proposed = (
         values.groupBy(*keys)
         .agg(
-            F.count("*").alias("n"),
-            F.percentile_approx("v", list(_BRACKET), _ACCURACY).alias("p"),
+            F.count("*").alias("_n"),
+            F.percentile_approx("_v", list(_BRACKET), _ACCURACY).alias("_p"),
         )
         .select(
             *keys,
-            "n",
-            missing.alias("low"),
-            missing.alias("high"),
-            F.lit(0).cast("bigint").alias("skipped"),
-            F.col("n").alias("inside"),
-            F.col("p")[0].alias("a"),
-            F.col("p")[1].alias("b"),
+            "_n",
+            missing.alias("_low"),
+            missing.alias("_high"),
+            F.lit(0).cast("bigint").alias("_skipped"),
+            F.col("_n").alias("_inside"),
+            F.col("_p")[0].alias("_a"),
+            F.col("_p")[1].alias("_b"),
         )
     )
     state = _tighten(values, proposed, keys, salt_by)
@@ -109,24 +109,24 @@ def exact_median(
         if fetched is None:
             break
         state = fetched
-        splittable = F.col("low").isNull() | F.col("high").isNull() | (F.col("low") < F.col("high"))
-        if state.filter(splittable & (F.col("inside") > MAX_INSIDE)).isEmpty():
+        splittable = F.col("_low").isNull() | F.col("_high").isNull() | (F.col("_low") < F.col("_high"))
+        if state.filter(splittable & (F.col("_inside") > MAX_INSIDE)).isEmpty():
             break
         state = _tighten(values, _narrower(values, state, keys, salt_by), keys, salt_by)
     middle = (
         lookup_groups(values, state, keys, salt_by)
         .filter(_inside())
-        .groupBy(*keys, "n", "skipped", "v")
-        .agg(F.count("*").alias("copies"))
+        .groupBy(*keys, "_n", "_skipped", "_v")
+        .agg(F.count("*").alias("_copies"))
     )
-    order = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    rank = F.col("skipped") + F.sum("copies").over(order)
+    order = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    rank = F.col("_skipped") + F.sum("_copies").over(order)
     return (
-        middle.withColumn("rank", rank)
+        middle.withColumn("_rank", rank)
         .groupBy(*keys)
         .agg(
-            F.min(F.when(F.col("rank") >= F.expr(_FIRST), F.col("v"))).alias("a"),
-            F.min(F.when(F.col("rank") >= F.expr(_SECOND), F.col("v"))).alias("b"),
+            F.min(F.when(F.col("_rank") >= F.expr(_FIRST), F.col("_v"))).alias("_a"),
+            F.min(F.when(F.col("_rank") >= F.expr(_SECOND), F.col("_v"))).alias("_b"),
         )
-        .select(*keys, ((F.col("a") + F.col("b")) / 2).alias(name))
+        .select(*keys, ((F.col("_a") + F.col("_b")) / 2).alias(name))
     )

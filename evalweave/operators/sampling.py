@@ -157,26 +157,26 @@ def check_split_sizes(df: DataFrame, expected: Mapping[str, int]) -> DataFrame:
 
 
 def _block_starts(counts: DataFrame, by: Sequence[str], parents: int) -> DataFrame:
-    """Add ``start``, the number of rows before each ``block`` within ``by``.
+    """Add ``_start``, the number of rows before each ``_block`` within ``by``.
 
     Blocks are summed within parent blocks, and those within theirs, so that no window
     spans more than 2 ** 16 records however many blocks there are.
     """
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     if parents == 0:
         return counts.withColumn(
-            "start", F.coalesce(F.sum("n").over(before.partitionBy(*by)), F.lit(0))
+            "_start", F.coalesce(F.sum("_n").over(before.partitionBy(*by)), F.lit(0))
         )
-    nested = counts.withColumn("parent", F.shiftright("block", _PARENT_BITS))
+    nested = counts.withColumn("_parent", F.shiftright("_block", _PARENT_BITS))
     within = nested.withColumn(
-        "within", F.coalesce(F.sum("n").over(before.partitionBy(*by, "parent")), F.lit(0))
+        "_within", F.coalesce(F.sum("_n").over(before.partitionBy(*by, "_parent")), F.lit(0))
     )
-    sums = nested.groupBy(*by, F.col("parent").alias("block")).agg(F.sum("n").alias("n"))
+    sums = nested.groupBy(*by, F.col("_parent").alias("_block")).agg(F.sum("_n").alias("_n"))
     starts = _block_starts(sums, by, parents - 1).select(
-        *by, F.col("block").alias("parent"), F.col("start").alias("parent_start")
+        *by, F.col("_block").alias("_parent"), F.col("_start").alias("_parent_start")
     )
-    return group_join(within, starts, [*by, "parent"], "inner").select(
-        *by, "block", "n", (F.col("parent_start") + F.col("within")).alias("start")
+    return group_join(within, starts, [*by, "_parent"], "inner").select(
+        *by, "_block", "_n", (F.col("_parent_start") + F.col("_within")).alias("_start")
     )
 
 
@@ -197,24 +197,24 @@ def dense_index(
     if seed is None:
         parents = 2
         order = [F.col(row_id)]
-        blocked = df.withColumn("block", F.shiftright(F.col(row_id).cast("bigint"), _ID_BITS))
+        blocked = df.withColumn("_block", F.shiftright(F.col(row_id).cast("bigint"), _ID_BITS))
     else:
         parents = 0
         order = [F.col("_key"), F.col(row_id)]
         blocked = df.withColumn("_key", seeded_key(seed, row_id)).withColumn(
-            "block", F.conv(F.substring("_key", 1, BUCKET_DIGITS), 16, 10).cast("bigint")
+            "_block", F.conv(F.substring("_key", 1, BUCKET_DIGITS), 16, 10).cast("bigint")
         )
-    counts = blocked.groupBy(*by, "block").agg(F.count("*").alias("n"))
+    counts = blocked.groupBy(*by, "_block").agg(F.count("*").alias("_n"))
     # One struct is the key of both the window and the join, so that the join finds the
     # rows already partitioned and sorted; a missing group name is a group of its own.
-    key = F.struct(*by, "block").alias("_block")
-    starts = _block_starts(counts, by, parents).select(key, "start")
-    rank = F.row_number().over(Window.partitionBy("_block").orderBy(*order))
+    key = F.struct(*by, "_block").alias("_group")
+    starts = _block_starts(counts, by, parents).select(key, "_start")
+    rank = F.row_number().over(Window.partitionBy("_group").orderBy(*order))
     return (
-        blocked.withColumn("_block", key)
+        blocked.withColumn("_group", key)
         .withColumn("_rank", rank)
-        .join(starts, "_block")
-        .withColumn(name, F.col("start") + F.col("_rank") - 1)
+        .join(starts, "_group")
+        .withColumn(name, F.col("_start") + F.col("_rank") - 1)
         .select(*df.columns, name)
     )
 

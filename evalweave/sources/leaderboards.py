@@ -7,6 +7,7 @@ newest folder whose job committed.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from evalweave import schemas
@@ -14,6 +15,7 @@ from evalweave.operators.leaderboard import concat, keep_last, sort_leaderboard
 from evalweave.storage import children, committed_children, exists
 
 _PREFIX = "board-"
+_ATTEMPTS = 5
 
 
 def _number(name: str) -> int:
@@ -41,11 +43,20 @@ def write_leaderboard(board: DataFrame, path: str) -> str:
 def update_leaderboard(
     new: DataFrame, path: str, schema: T.StructType = schemas.LEADERBOARD
 ) -> str:
-    """Merge new rows into the stored board: new rows win, others are kept."""
+    """Merge new rows into the stored board: new rows win, others are kept.
+
+    If another writer takes the next version first, the merge is done again on its board.
+    """
     spark = new.sparkSession
-    old = read_leaderboard(spark, path, schema).withColumn("version", F.lit(0))
-    merged = keep_last(concat(old, new.withColumn("version", F.lit(1)))).drop("version")
-    return write_leaderboard(merged.select(*[f.name for f in schema.fields]), path)
+    for attempt in range(_ATTEMPTS):
+        old = read_leaderboard(spark, path, schema).withColumn("version", F.lit(0))
+        merged = keep_last(concat(old, new.withColumn("version", F.lit(1)))).drop("version")
+        try:
+            return write_leaderboard(merged.select(*[f.name for f in schema.fields]), path)
+        except AnalysisException as error:
+            taken = error.getCondition() == "PATH_ALREADY_EXISTS"
+            if not taken or attempt == _ATTEMPTS - 1:
+                raise
 
 
 def append_history(runs: DataFrame, path: str) -> None:

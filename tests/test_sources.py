@@ -109,6 +109,26 @@ def test_leaderboard_versions(spark, tmp_path):
     assert leaderboards.read_leaderboard(spark, path, BOARD).count() == 3
 
 
+def test_two_writers_keep_both_rows(spark, tmp_path, monkeypatch):
+    """A version taken by another writer between reading and writing is merged again."""
+    path = str(tmp_path / "board")
+    row = lambda name: spark.createDataFrame([(name, 0.5, 0.5)], BOARD)
+    leaderboards.update_leaderboard(row("a"), path, BOARD)
+    original, late = leaderboards.children, []
+
+    def children_before_the_other_writer(*args):
+        names = original(*args)
+        if not late:
+            late.append(True)
+            leaderboards.update_leaderboard(row("b"), path, BOARD)
+        return names
+
+    monkeypatch.setattr(leaderboards, "children", children_before_the_other_writer)
+    leaderboards.update_leaderboard(row("c"), path, BOARD)
+    got = leaderboards.read_leaderboard(spark, path, BOARD).collect()
+    assert sorted(r.model_id for r in got) == ["a", "b", "c"]
+
+
 def test_history_keeps_all_columns(spark, tmp_path):
     path = str(tmp_path / "history")
     assert leaderboards.read_history(spark, path) is None
