@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, WindowSpec, functions as F
 
 from evalweave.functions.arrays import not_nan
 from evalweave.operators.joins import fetch_groups, group_join
@@ -49,6 +49,22 @@ def _blocked(rows: DataFrame, counts: DataFrame) -> tuple[DataFrame, bool]:
     return marked.withColumn("block", block).drop("long"), True
 
 
+def _carried(rows: DataFrame, by_block: WindowSpec) -> DataFrame:
+    """Per block: its size, the run's size, and rows and best loss of earlier blocks."""
+    per_block = rows.groupBy("run_id", "block").agg(
+        F.count("*").alias("n"), F.min("loss").alias("best")
+    )
+    earlier = by_block.rowsBetween(Window.unboundedPreceding, -1)
+    return per_block.select(
+        "run_id",
+        "block",
+        "n",
+        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"),
+        F.min("best").over(earlier).alias("best_before"),
+        F.sum("n").over(Window.partitionBy("run_id")).alias("evaluations"),
+    )
+
+
 def early_stop(log: DataFrame, patience: int = 5) -> DataFrame:
     """Where each run would stop: after ``patience`` evaluations in a row without a new best.
 
@@ -63,24 +79,22 @@ def early_stop(log: DataFrame, patience: int = 5) -> DataFrame:
     """
     rows = log.select("run_id", "step", not_nan(F.col("eval_loss")).alias("loss"))
     rows, cut = _blocked(rows, rows.groupBy("run_id").agg(F.count("*").alias("n")))
-    per_block = rows.groupBy("run_id", "block").agg(
-        F.count("*").alias("n"), F.min("loss").alias("best")
-    )
     by_block = Window.partitionBy("run_id").orderBy("block")
-    earlier = by_block.rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_block.select(
-        "run_id",
-        "block",
-        "n",
-        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"),
-        F.min("best").over(earlier).alias("best_before"),
-        F.sum("n").over(Window.partitionBy("run_id")).alias("evaluations"),
-    )
-    in_block = Window.partitionBy("run_id", "block").orderBy("step")
+    whole_block = Window.partitionBy("run_id", "block")
+    in_block = whole_block.orderBy("step")
     seen = in_block.rowsBetween(Window.unboundedPreceding, -1)
+    if cut:
+        carried = _carried(rows, by_block)
+        started = rows.join(carried.drop("n"), ["run_id", "block"])
+    else:
+        started = rows.select(
+            "*",
+            F.lit(0).cast("bigint").alias("before"),
+            F.lit(None).cast("double").alias("best_before"),
+            F.count("*").over(whole_block).alias("evaluations"),
+        )
     numbered = (
-        rows.join(carried.drop("n"), ["run_id", "block"])
-        .withColumn("position", F.col("before") + F.row_number().over(in_block))
+        started.withColumn("position", F.col("before") + F.row_number().over(in_block))
         .withColumn("best", F.least("best_before", F.min("loss").over(seen)))
         .withColumn("ahead", F.lead("step", patience).over(in_block))
     )
