@@ -5,7 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evalweave.llm import packing, quality_rules, token_counts
+from evalweave.llm import (
+    line_quality,
+    packing,
+    quality_rules,
+    secret_scan,
+    token_counts,
+    toxicity,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +24,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), model)
 
 
+def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    field = line_quality.fit(docs, _table(spark, sf_dir, "labels"))
+    return line_quality.score(docs, field)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
@@ -26,9 +39,22 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer)
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return secret_scan.digest(secret_scan.scan(docs, secret_scan.fit(docs)))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op3_token_counts": op3_token_counts,
+    "op4_line_quality": op4_line_quality,
     "op6_quality_rules": op6_quality_rules,
     "op8_packing": op8_packing,
+    "op9_secret_scan": op9_secret_scan,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES = {"op6_quality_rules": quality_rules.oracle_sql()}
