@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from evalweave.llm import (
+    contamination,
     line_quality,
     packing,
     quality_rules,
@@ -19,6 +20,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return contamination.search(docs, items).drop("text_hash")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), model)
@@ -50,6 +56,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_contamination": op1_contamination,
     "op3_token_counts": op3_token_counts,
     "op4_line_quality": op4_line_quality,
     "op6_quality_rules": op6_quality_rules,
@@ -57,4 +64,7 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES = {"op6_quality_rules": quality_rules.oracle_sql()}
+ORACLES = {
+    "op1_contamination": contamination.oracle_sql(),
+    "op6_quality_rules": quality_rules.oracle_sql(),
+}
