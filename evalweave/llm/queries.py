@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from evalweave.llm import (
     contamination,
     line_quality,
+    near_duplicates,
     packing,
     quality_rules,
     secret_scan,
@@ -40,6 +41,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return near_duplicates.join(docs).drop("text_hash", "group_hash")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer)
@@ -60,6 +66,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_line_quality": op4_line_quality,
     "op6_quality_rules": op6_quality_rules,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_packing": op8_packing,
     "op9_secret_scan": op9_secret_scan,
     "op10_toxicity": op10_toxicity,
