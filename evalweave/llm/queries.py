@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evalweave.llm import (
     contamination,
+    line_dedup,
     line_quality,
     near_duplicates,
     packing,
@@ -26,6 +27,17 @@ def op1_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.search(docs, items).drop("text_hash")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = line_dedup.duplicate_lines(docs).withColumn("key", F.struct("doc_id", "text_hash"))
+    text = F.coalesce("text", F.lit(""))
+    own = docs.select("doc_id", F.struct("doc_id", F.xxhash64(text).alias("text_hash")).alias("key"))
+    dropped = F.coalesce("dropped", F.array().cast("array<int>"))
+    return own.join(found.select("key", "dropped"), "key", "left").select(
+        "doc_id", F.size(dropped).cast("long").alias("n_dropped"), dropped.alias("dropped")
+    )
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), model)
@@ -63,6 +75,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_contamination": op1_contamination,
+    "op2_line_dedup": op2_line_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_line_quality": op4_line_quality,
     "op6_quality_rules": op6_quality_rules,
