@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evalweave.llm import (
     contamination,
+    katz,
     line_dedup,
     line_quality,
     near_duplicates,
@@ -49,6 +50,10 @@ def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.score(docs, field)
 
 
+def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
@@ -78,6 +83,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_line_quality": op4_line_quality,
+    "op5_katz_backoff": op5_katz_backoff,
     "op6_quality_rules": op6_quality_rules,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_packing": op8_packing,
