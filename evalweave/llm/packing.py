@@ -8,76 +8,89 @@ ends is cut and moved together, and the very last sequence is cut to powers of t
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-# Distinct words a worker remembers before it starts anew.
-REMEMBERED = 400_000
+# Longer texts go to the tokenizer's own library, which bounds the matching of words.
+LONGEST_FAST = 1 << 22
 ROWS_AT_ONCE = 256
 # Open sequences a task keeps before it cuts and moves them together.
 MOST_OPEN = 4096
 _WORD_BYTES = 4
 
+# Fixed value: the words of byte-level tokenizers of this kind.
+_WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-@cache
-def word_pattern() -> re.Pattern:
-    """The tokenizer's words: contractions, letters, digits, others, white space.
 
-    Letters and digits are written out as ranges, which the standard library matches faster
-    than Unicode properties. White space is Unicode's, not Python's.
-    """
-    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+def _byte_values() -> dict[str, int]:
+    """The byte behind each character of a byte-level vocabulary.
 
-    def ranges(kind: str) -> str:
-        runs = (m[0] for m in regex.finditer(rf"{kind}+", every))
-        return "".join(re.escape(r[0]) + ("-" + re.escape(r[-1]) if len(r) > 1 else "") for r in runs)
+    Printable bytes stand for themselves, the others for the characters from U+0100 on.
+    """
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
-    letter, digit, space = ranges(r"\p{L}"), ranges(r"\p{N}"), ranges(r"\p{White_Space}")
-    return re.compile(
-        rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{digit}]+"
-        rf"| ?[^{space}{letter}{digit}]+|[{space}]+(?![^{space}])|[{space}]+"
-    )
 
+class TextIds:
+    """Ids of texts, as little-endian unsigned 32-bit integers, for a tokenizers file.
 
-class WordIds(dict):
-    """Ids of each word, as little-endian unsigned 32-bit integers."""
+    If the file's merges rank like their ids, a faster library with the same words and
+    merges yields the same ids; it leaves out the offsets that are not needed here.
+    """
 
     def __init__(self, path: str) -> None:
-        super().__init__()
         self.library = Tokenizer.from_file(path)
         special = self.library.get_added_tokens_decoder()
         self.special = {t.content: np.uint32(i).tobytes() for i, t in special.items()}
         marks = "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True))
         self.cut = re.compile(f"({marks})") if marks else None
-        self.words = word_pattern()
+        self.fast = self._same_ids(json.loads(self.library.to_str()), set(special))
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > REMEMBERED:
-            self.clear()
-        ids = np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = ids
-        return ids
+    @staticmethod
+    def _same_ids(spec: dict, special: set[int]) -> tiktoken.Encoding | None:
+        model, values = spec["model"], _byte_values()
+        before = spec["pre_tokenizer"] or {}
+        plain = (
+            model["type"] == "BPE"
+            and spec["normalizer"] is None
+            and before == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+            and not (model.get("ignore_merges") or model.get("end_of_word_suffix") or model.get("dropout"))
+        )
+        if not plain:
+            return None
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        order = [model["vocab"][x + y] for x, y in merges]
+        vocab = {t: i for t, i in model["vocab"].items() if i not in special}
+        if order != sorted(set(order)) or len(order) + 256 != len(vocab):
+            return None
+        ranks = {bytes(values[c] for c in token): i for token, i in vocab.items()}
+        return tiktoken.Encoding("own", pat_str=_WORDS, mergeable_ranks=ranks, special_tokens={})
+
+    def _part(self, text: str) -> bytes:
+        if self.fast is not None and len(text) <= LONGEST_FAST:
+            return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def of(self, text: str) -> bytes:
         """Ids of a text; strings of added tokens in it become those tokens."""
-        parts = self.cut.split(text) if self.cut else [text]
-        return b"".join(
-            self.special[part] if k % 2 else b"".join(map(self.__getitem__, self.words.findall(part)))
-            for k, part in enumerate(parts)
-        )
+        if self.cut is None or not any(mark in text for mark in self.special):
+            return self._part(text)
+        parts = self.cut.split(text)
+        return b"".join(self.special[p] if k % 2 else self._part(p) for k, p in enumerate(parts))
 
 
-# One table per worker process, which serves many tasks.
-_word_ids: dict[str, WordIds] = {}
+# One per worker process, which serves many tasks.
+_text_ids: dict[str, TextIds] = {}
 
 
 class Packer:
@@ -217,9 +230,9 @@ def pack(
     end = np.uint32(end_id).tobytes()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer_path not in _word_ids:
-            _word_ids[tokenizer_path] = WordIds(tokenizer_path)
-        ids = _word_ids[tokenizer_path]
+        if tokenizer_path not in _text_ids:
+            _text_ids[tokenizer_path] = TextIds(tokenizer_path)
+        ids = _text_ids[tokenizer_path]
         packer = Packer(window, TaskContext.get().partitionId() << 40)
         kind = None
 
