@@ -1,0 +1,82 @@
+"""Containment search against all pairs."""
+
+from __future__ import annotations
+
+import random
+import re
+
+import pytest
+
+from evalweave.llm import contamination
+from tests.llm import messy
+
+ITEMS = "item_id long, text string, shingles int, size int, hash long"
+
+
+def shingles(text):
+    words = re.findall(r"[^\W_]+", (text or "").lower())
+    if len(words) < 5:
+        return {" ".join(words)} if words else set()
+    return {" ".join(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+@pytest.fixture(scope="module")
+def made():
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(4))
+    text = lambda n: " ".join(word() for _ in range(n))
+    items = [(i, text(rng.choice([2, 5, 9, 30, 70]))) for i in range(30)]
+    items += [(90, items[3][1]), (91, None), (92, ""), (None, text(20))]
+    docs = list(messy.TEXTS)
+    for i in range(120):
+        words = (items[i % 30][1] + " " + text(40)).split()
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(len(words))] = word()
+        body = text(rng.randrange(300)) + "\n" + " ".join(words).upper().replace(" ", ", ", 3)
+        docs.append((1000 + i, body))
+    return docs, items
+
+
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_search(spark, made, monkeypatch, limit):
+    monkeypatch.setattr(contamination, "MOST_BROADCAST", limit)
+    texts, items = made
+    table = spark.createDataFrame([(*x, 1, 2, 3) for x in items], ITEMS)
+    docs = messy.docs(spark, texts).repartition(3)
+    found = contamination.search(docs, table)
+    got = {(r.doc_id, r.item_id): (r.shared, r.item_shingles, r.n_items) for r in found.collect()}
+    merged = {}
+    for i, t in items:
+        if shingles(t):
+            merged.setdefault(frozenset(shingles(t)), []).append(i)
+    want = {}
+    for d, t in texts:
+        own = shingles(t)
+        for s, ids in merged.items():
+            shared = len(s & own)
+            if shared >= 0.8 * len(s) - 1e-9:
+                first = min((i for i in ids if i is not None), default=None)
+                want[d, first] = (shared, len(s), len(ids))
+    assert got == want and len(want) > 30
+    leaks = {d for d, _ in want}
+    kept = contamination.without_leaks(docs, found)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id for r in kept.collect()), key=messy.key) == sorted(
+        (d for d, _ in texts if d not in leaks), key=messy.key
+    )
+
+
+def test_empty_tables(spark, made):
+    texts, items = made
+    table = spark.createDataFrame([(*x, 1, 2, 3) for x in items], ITEMS)
+    assert contamination.search(messy.empty(spark), table).count() == 0
+    none = table.limit(0)
+    assert contamination.search(messy.docs(spark), none).count() == 0
+
+
+def test_sketches_cannot_miss(spark, made):
+    """Every set that lacks a fifth of an item still holds enough of its sketch."""
+    table = spark.createDataFrame([(*x, 1, 2, 3) for x in made[1]], ITEMS)
+    for r in contamination.sketches(table, 0.8, "item_id", "text").collect():
+        lacking = int(0.2 * r.size + 1e-9)
+        assert len(r.sketch) - lacking >= r.needed >= 1
