@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def keep_last(rows: DataFrame, key: str = "model_id", version: str = "version") -> DataFrame:
@@ -17,13 +17,22 @@ def keep_last(rows: DataFrame, key: str = "model_id", version: str = "version")
     return rows.groupBy(key).agg(newest).select(key, "_row.*").select(*rows.columns)
 
 
-def sort_leaderboard(rows: DataFrame) -> DataFrame:
-    """Best similarity first, then best token F1; missing last, ties by model id."""
-    return rows.orderBy(
+def _best_first() -> list[Column]:
+    return [
         F.desc_nulls_last("answer_similarity_mean"),
         F.desc_nulls_last("token_f1_mean"),
         F.asc("model_id"),
-    )
+    ]
+
+
+def sort_leaderboard(rows: DataFrame) -> DataFrame:
+    """Best similarity first, then best token F1; missing last, ties by model id."""
+    return rows.orderBy(*_best_first())
+
+
+def ranked_leaderboard(rows: DataFrame, name: str = "rank") -> DataFrame:
+    """The sorted board with each model's 1-based rank; a board has one row per model."""
+    return rows.withColumn(name, F.row_number().over(Window.orderBy(*_best_first()))).orderBy(name)
 
 
 def concat(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from evalweave.functions.arrays import not_nan
-from evalweave.operators.joins import fetch_groups, group_join
-from evalweave.storage import materialize
+from evalweave.operators.sampling import dense_index
 
-# Runs of more evaluations than this are cut into blocks of 2 ** 16 steps.
-MAX_RUN_ROWS = 1_000_000
-_STEP_BITS = 16
+# Evaluations of a run are compared in blocks of 2 ** 16.
+BLOCK_BITS = 16
 
 
 def _with_loss(log: DataFrame) -> DataFrame:
@@ -34,119 +32,72 @@ def best_trial(log: DataFrame, group: str = "base_model") -> DataFrame:
     return _with_loss(log).groupBy(group).agg(best).select(group, "best.run_id", "best.eval_loss")
 
 
-def _blocked(rows: DataFrame, counts: DataFrame) -> tuple[DataFrame, bool]:
-    """Add ``block``: 0 for ordinary runs, blocks of steps for very long ones."""
-    by_step = F.shiftright(F.col("step").cast("bigint"), _STEP_BITS)
-    long_runs = fetch_groups(
-        counts.filter(F.col("n") > MAX_RUN_ROWS).select("run_id", F.lit(True).alias("long"))
-    )
-    if long_runs is None:
-        return rows.withColumn("block", by_step), True
-    if long_runs.isEmpty():
-        return rows.withColumn("block", F.lit(0).cast("bigint")), False
-    marked = group_join(rows, F.broadcast(long_runs), ["run_id"], "left")
-    block = F.when(F.col("long"), by_step).otherwise(F.lit(0))
-    return marked.withColumn("block", block).drop("long"), True
-
-
-def _carried(rows: DataFrame, by_block: WindowSpec) -> DataFrame:
-    """Per block: its size, the run's size, and rows and best loss of earlier blocks."""
-    per_block = rows.groupBy("run_id", "block").agg(
-        F.count("*").alias("n"), F.min("loss").alias("best")
-    )
-    earlier = by_block.rowsBetween(Window.unboundedPreceding, -1)
-    return per_block.select(
-        "run_id",
-        "block",
-        "n",
-        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"),
-        F.min("best").over(earlier).alias("best_before"),
-        F.sum("n").over(Window.partitionBy("run_id")).alias("evaluations"),
-    )
-
-
 def early_stop(log: DataFrame, patience: int = 5) -> DataFrame:
     """Where each run would stop: after ``patience`` evaluations in a row without a new best.
 
     Returns ``run_id, evaluations, stop_position, stop_step``; the last two are missing
-    for runs that never stop. ``(run_id, step)`` is unique. Only strict improvement
-    counts, and the first evaluation always does.
-
-    A run too long for one task is cut into blocks of steps. Counts and minima per
-    block are carried forward over the (few) blocks, evaluations are numbered and
-    compared inside their block, and the waiting time between blocks is checked on the
-    blocks' first and last improvements. No window spans more than an ordinary run.
+    for runs that never stop. ``(run_id, step)`` is unique, steps are whole numbers. Only
+    strict improvement counts, and the first evaluation always does.
+
+    One plan for runs of any length: evaluations are numbered and cut into blocks of
+    ``2 ** BLOCK_BITS`` positions. Minima per block are carried forward over the (few)
+    blocks, evaluations are compared inside their block, and the waiting time between
+    blocks is checked on the blocks' first and last improvements. Runs are joined as a
+    struct, so that a run without an id is a run like any other.
     """
-    rows = log.select("run_id", "step", not_nan(F.col("eval_loss")).alias("loss"))
-    rows, cut = _blocked(rows, rows.groupBy("run_id").agg(F.count("*").alias("n")))
-    by_block = Window.partitionBy("run_id").orderBy("block")
-    whole_block = Window.partitionBy("run_id", "block")
-    in_block = whole_block.orderBy("step")
-    seen = in_block.rowsBetween(Window.unboundedPreceding, -1)
-    if cut:
-        carried = _carried(rows, by_block)
-        started = rows.join(carried.drop("n"), ["run_id", "block"])
-    else:
-        started = rows.select(
-            "*",
-            F.lit(0).cast("bigint").alias("before"),
-            F.lit(None).cast("double").alias("best_before"),
-            F.count("*").over(whole_block).alias("evaluations"),
+    rows = log.select(
+        F.struct("run_id").alias("run"), "step", not_nan(F.col("eval_loss")).alias("loss")
+    )
+    position = F.col("position") + 1
+    block = F.shiftright(F.col("position"), BLOCK_BITS).alias("block")
+    numbered = dense_index(rows, "step", by=["run"], name="position").select(
+        "run", "step", "loss", position.alias("position"), block
+    )
+    by_block = Window.partitionBy("run").orderBy("block")
+    in_block = Window.partitionBy("run", "block").orderBy("position")
+    earlier = by_block.rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        numbered.groupBy("run", "block")
+        .agg(F.count("*").alias("n"), F.min("loss").alias("best"))
+        .select(
+            "run",
+            "block",
+            F.min("best").over(earlier).alias("best_before"),
+            F.sum("n").over(Window.partitionBy("run")).alias("evaluations"),
         )
-    numbered = (
-        started.withColumn("position", F.col("before") + F.row_number().over(in_block))
+    )
+    seen = in_block.rowsBetween(Window.unboundedPreceding, -1)
+    improved = (
+        numbered.join(carried, ["run", "block"])
         .withColumn("best", F.least("best_before", F.min("loss").over(seen)))
-        .withColumn("ahead", F.lead("step", patience).over(in_block))
+        .filter(F.col("best").isNull() | (F.col("loss") < F.col("best")))
     )
-    improved = numbered.filter(F.col("best").isNull() | (F.col("loss") < F.col("best")))
-    # An improvement, and the step ``patience`` evaluations later if it is in the block.
-    here = F.struct("position", "ahead")
     blocks = (
         improved.withColumn("next", F.lead("position").over(in_block))
-        .groupBy("run_id", "block")
+        .groupBy("run", "block")
         .agg(
             F.max("evaluations").alias("evaluations"),
             F.min("position").alias("first"),
-            F.max(here).alias("last"),
-            F.min(F.when(F.col("next") - F.col("position") > patience, here)).alias("stall"),
+            F.max("position").alias("last"),
+            F.min(
+                F.when(F.col("next") - F.col("position") > patience, F.col("position"))
+            ).alias("stall"),
         )
     )
     following = F.coalesce(F.lead("first").over(by_block), F.col("evaluations") + 1)
-    waits = F.col("following") - F.col("last.position") > patience
+    waits = F.col("following") - F.col("last") > patience
     stops = (
         blocks.withColumn("following", following)
         .withColumn("between", F.when(waits, F.col("last")))
-        .groupBy("run_id")
+        .groupBy("run")
         .agg(
             F.max("evaluations").alias("evaluations"),
-            F.min(F.least("stall", "between")).alias("stop"),
+            (F.min(F.least("stall", "between")) + patience).alias("stop_position"),
         )
-        .select(
-            "run_id",
-            "evaluations",
-            (F.col("stop.position") + patience).alias("stop_position"),
-            F.col("stop.ahead").alias("stop_step"),
-        )
-    )
-    if not cut:
-        return stops
-    # Stops beyond the block of their last improvement: look the step up in its block.
-    # The stops (one row per run) are read twice from here on, so they are written once.
-    stops = materialize(stops, "stops")
-    ending = (
-        carried.join(stops.filter(F.col("stop_step").isNull()), "run_id")
-        .withColumn("offset", F.col("stop_position") - F.col("before"))
-        .filter((F.col("offset") > 0) & (F.col("offset") <= F.col("n")))
-        .select("run_id", "block", "offset")
     )
-    found = (
-        rows.select("run_id", "block", "step")
-        .join(ending, ["run_id", "block"])
-        .withColumn("position", F.row_number().over(in_block))
-        .filter(F.col("position") == F.col("offset"))
-        .select("run_id", F.col("step").alias("found"))
+    steps = numbered.select(
+        "run", F.col("position").alias("stop_position"), F.col("step").alias("stop_step")
     )
-    step = F.coalesce("stop_step", "found").alias("stop_step")
-    return stops.join(found, "run_id", "left").select(
-        "run_id", "evaluations", "stop_position", step
+    return stops.join(steps, ["run", "stop_position"], "left").select(
+        "run.run_id", "evaluations", "stop_position", "stop_step"
     )

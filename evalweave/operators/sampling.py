@@ -17,8 +17,6 @@ from evalweave.operators.joins import group_join
 
 # 16 ** 4 buckets: the bucket table has at most 65,536 rows whatever the data size.
 BUCKET_DIGITS = 4
-# Below this size the cut is found by a distributed top-n over (hash, id) alone.
-TOP_N_LIMIT = 10_000
 # Positions by id: 2 ** 20 ids per block, 2 ** 16 blocks per parent block.
 _ID_BITS, _PARENT_BITS = 20, 16
 
@@ -28,9 +26,13 @@ def seeded_key(seed: int, row_id: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(row_id).cast("string")))
 
 
-def seeded_shuffle(df: DataFrame, seed: int, row_id: str = "example_id") -> DataFrame:
-    """All rows in seeded order."""
-    return df.orderBy(seeded_key(seed, row_id), row_id)
+def seeded_shuffle(
+    df: DataFrame, seed: int, row_id: str = "example_id", position: str | None = None
+) -> DataFrame:
+    """All rows in seeded order, with their 0-based ``position`` in it if a name is given."""
+    if position is None:
+        return df.orderBy(seeded_key(seed, row_id), row_id)
+    return dense_index(df, row_id, seed=seed, name=position).orderBy(position)
 
 
 def _position(seed: int, row_id: str) -> Column:
@@ -74,9 +76,6 @@ def _cuts(
 
 
 def _first_n_cut(df: DataFrame, n: int, seed: int, row_id: str) -> DataFrame:
-    if n <= TOP_N_LIMIT:
-        at = df.select(_position(seed, row_id).alias("at"))
-        return at.orderBy("at").limit(n).agg(F.max("at").alias("cut"))
     return _cuts(df, seed, row_id, lambda total: [F.least(F.lit(n), total)])
 
 
@@ -126,14 +125,40 @@ def split_caps(
     seed: int = 42,
     row_id: str = "example_id",
 ) -> DataFrame:
-    """Sample every split down to its cap; splits without a cap stay whole."""
+    """Sample every split down to its cap; splits without a cap, also NULL, stay whole.
+
+    All cuts are found in one pass over the ids: counts per split and hash prefix, then the
+    one bucket of each split that holds its cut.
+    """
     capped = {name: n for name, n in caps.items() if n is not None}
-    keep = ~F.col("split").isin(*capped) if capped else F.lit(True)
-    for name, n in capped.items():
-        rows = df.filter(F.col("split") == name)
-        cut = _first_n_cut(rows, n, seed, row_id).scalar()
-        keep = keep | ((F.col("split") == name) & _up_to(cut, seed, row_id))
-    return df.filter(keep)
+    if not capped:
+        return df
+    cap = F.create_map(*[F.lit(x) for pair in capped.items() for x in pair])
+    keyed = (
+        df.filter(F.col("split").isin(*capped))
+        .select("split", _position(seed, row_id).alias("at"))
+        .withColumn("bucket", F.substring("at.key", 1, BUCKET_DIGITS))
+    )
+    running = Window.partitionBy("split").orderBy("bucket")
+    total = F.sum("n").over(Window.partitionBy("split"))
+    found = (
+        keyed.groupBy("split", "bucket")
+        .agg(F.count("*").alias("n"))
+        .withColumn("end", F.sum("n").over(running.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("rank", F.least(F.element_at(cap, F.col("split")), total))
+        .withColumn("offset", F.col("rank") - F.col("end") + F.col("n"))
+        .filter((F.col("offset") > 0) & (F.col("offset") <= F.col("n")))
+        .select("split", "bucket", "offset")
+    )
+    order = Window.partitionBy("split", "bucket").orderBy("at")
+    hits = (
+        keyed.join(F.broadcast(found), ["split", "bucket"])  # one row per capped split
+        .withColumn("position", F.row_number().over(order))
+        .filter(F.col("position") == F.col("offset"))
+    )
+    cuts = hits.agg(F.map_from_entries(F.collect_list(F.struct("split", "at")))).scalar()
+    within = _up_to(F.try_element_at(cuts, F.col("split")), seed, row_id)
+    return df.filter(F.coalesce(~F.col("split").isin(*capped), F.lit(True)) | within)
 
 
 def check_split_sizes(df: DataFrame, expected: Mapping[str, int]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 from evalweave import schemas
 from evalweave.operators.reshape import to_chat
 from evalweave.operators.sampling import split_caps
-from evalweave.storage import committed_children
+from evalweave.storage import newest_version, publish_version
 
 
 def load_dataset(
@@ -18,21 +18,27 @@ def load_dataset(
     revision: str | None = None,
     schema: T.StructType = schemas.FLASHCARDS,
 ) -> DataFrame:
-    """One revision of a data set; without a revision the one committed last."""
+    """One revision of a data set; without a revision the one published last."""
     if not revision:
-        revisions = committed_children(spark, path, "rev=")
-        if not revisions:
+        revision = newest_version(spark, path)[1]
+        if revision is None:
             raise FileNotFoundError(f"no revision under {path}")
-        revision = revisions[-1][1].removeprefix("rev=")
     return spark.read.schema(schema).parquet(f"{path}/rev={revision}")
 
 
 def publish_dataset(
     df: DataFrame, path: str, revision: str, max_records_per_file: int = 0
 ) -> None:
-    """Write a data set revision partitioned by split; a revision is never overwritten."""
+    """Write a data set revision partitioned by split; a revision is never overwritten.
+
+    Its number in the order of publishing is recorded once it is complete, so that copying
+    the folder does not change which revision is the newest.
+    """
+    spark = df.sparkSession
     writer = df.write.partitionBy("split").mode("errorifexists")
     writer.option("maxRecordsPerFile", max_records_per_file).parquet(f"{path}/rev={revision}")
+    while not publish_version(spark, path, newest_version(spark, path)[0] + 1, revision):
+        pass  # another writer was first: the next number
 
 
 def load_prepared(

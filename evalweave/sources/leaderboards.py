@@ -1,43 +1,50 @@
 """Versioned leaderboards and the append-only run history.
 
 Spark can not overwrite a table it is reading, and a reader must never see half a
-board. Every write therefore goes to a new version folder, and readers take the
-newest folder whose job committed.
+board. Every board is therefore written to a folder of its own and then published as
+the next version by creating a small file that names the folder. Creating fails if
+the version exists, so of two writers that read the same board one has to start anew.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from evalweave import schemas
 from evalweave.operators.leaderboard import concat, keep_last, sort_leaderboard
-from evalweave.storage import children, committed_children, exists
-
-_PREFIX = "board-"
-_ATTEMPTS = 5
+from evalweave.storage import exists, newest_version, publish_version
 
-
-def _number(name: str) -> int:
-    return int(name.removeprefix(_PREFIX))
+_ATTEMPTS = 50
 
 
 def read_leaderboard(
     spark: SparkSession, path: str, schema: T.StructType = schemas.LEADERBOARD
 ) -> DataFrame:
-    """The newest complete board, or an empty one where none exists yet."""
-    names = sorted(name for _, name in committed_children(spark, path, _PREFIX))
-    if not names:
+    """The newest published board, or an empty one where none exists yet."""
+    return _read(spark, path, schema, newest_version(spark, path)[1])
+
+
+def _read(spark: SparkSession, path: str, schema: T.StructType, name: str | None) -> DataFrame:
+    if name is None:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).csv(f"{path}/{names[-1]}", header=True)
+    return spark.read.schema(schema).csv(f"{path}/{name}", header=True)
+
+
+def _write(board: DataFrame, path: str) -> str:
+    name = f"data-{uuid.uuid4().hex}"
+    sort_leaderboard(board).write.csv(f"{path}/{name}", header=True)
+    return name
 
 
 def write_leaderboard(board: DataFrame, path: str) -> str:
-    """Write a sorted board as the next version; returns its folder."""
-    taken = children(board.sparkSession, path, _PREFIX)
-    target = f"{path}/{_PREFIX}{(_number(taken[-1]) if taken else 0) + 1:010d}"
-    sort_leaderboard(board).write.mode("errorifexists").csv(target, header=True)
-    return target
+    """Publish a sorted board as the next version; returns its folder."""
+    spark = board.sparkSession
+    name = _write(board, path)
+    while not publish_version(spark, path, newest_version(spark, path)[0] + 1, name):
+        pass  # another writer was first: the next number
+    return f"{path}/{name}"
 
 
 def update_leaderboard(
@@ -45,18 +52,18 @@ def update_leaderboard(
 ) -> str:
     """Merge new rows into the stored board: new rows win, others are kept.
 
-    If another writer takes the next version first, the merge is done again on its board.
+    The merged board is published only as the direct successor of the board it was
+    merged with. If another writer was first, the merge is done again on its board.
     """
     spark = new.sparkSession
-    for attempt in range(_ATTEMPTS):
-        old = read_leaderboard(spark, path, schema).withColumn("version", F.lit(0))
+    for _ in range(_ATTEMPTS):
+        version, parent = newest_version(spark, path)
+        old = _read(spark, path, schema, parent).withColumn("version", F.lit(0))
         merged = keep_last(concat(old, new.withColumn("version", F.lit(1)))).drop("version")
-        try:
-            return write_leaderboard(merged.select(*[f.name for f in schema.fields]), path)
-        except AnalysisException as error:
-            taken = error.getCondition() == "PATH_ALREADY_EXISTS"
-            if not taken or attempt == _ATTEMPTS - 1:
-                raise
+        name = _write(merged.select(*[f.name for f in schema.fields]), path)
+        if publish_version(spark, path, version + 1, name):
+            return f"{path}/{name}"
+    raise RuntimeError(f"{path} changed during each of {_ATTEMPTS} attempts to update it")
 
 
 def append_history(runs: DataFrame, path: str) -> None:

@@ -2,22 +2,34 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 @functools.cache
 def _single_machine_dir() -> str:
-    return tempfile.mkdtemp(prefix="evalweave-")
+    path = tempfile.mkdtemp(prefix="evalweave-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
+# Intermediate tables by application.
+_made: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, which all executors can reach.
 
-    Only a local-mode session without that setting falls back to a temporary folder.
+    A local-mode session without that setting, where driver and executors are one
+    process, gets a folder of its own, which is deleted when the process ends; any other
+    session must name one.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     configured = configured or spark.sparkContext.getCheckpointDir()
@@ -29,8 +41,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """An unused path in the shared folder."""
-    return f"{shared_dir(spark)}/evalweave/{name}-{uuid.uuid4().hex}"
+    """An unused path in the shared folder; ``discard`` deletes what is written there."""
+    path = f"{shared_dir(spark)}/evalweave/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -44,6 +58,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this session.
+
+    They are needed as long as a result that was derived from them is still to be read.
+    """
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        fs, location = _file_system(spark, path)
+        fs.delete(location, True)
+
+
 def _file_system(spark: SparkSession, path: str):
     location = spark._jvm.org.apache.hadoop.fs.Path(path)
     return location.getFileSystem(spark._jsc.hadoopConfiguration()), location
@@ -55,24 +79,48 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(location)
 
 
-def committed_children(spark: SparkSession, path: str, prefix: str) -> list[tuple[int, str]]:
-    """``(commit time, name)`` of complete sub-tables, i.e. those with a success marker."""
-    fs, location = _file_system(spark, path)
-    if not fs.exists(location):
-        return []
-    found = []
-    for status in fs.listStatus(location):
-        name = status.getPath().getName()
-        marker = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith(prefix) and fs.exists(marker):
-            found.append((fs.getFileStatus(marker).getModificationTime(), name))
-    return sorted(found)
-
-
-def children(spark: SparkSession, path: str, prefix: str) -> list[str]:
-    """Names of all sub-folders with a prefix, complete or not."""
+_VERSION = "version-"
+
+
+def newest_version(spark: SparkSession, path: str) -> tuple[int, str | None]:
+    """Number and content of the newest published version; ``(0, None)`` before the first."""
     fs, location = _file_system(spark, path)
     if not fs.exists(location):
-        return []
+        return 0, None
     names = [status.getPath().getName() for status in fs.listStatus(location)]
-    return sorted(name for name in names if name.startswith(prefix))
+    numbers = [int(name.removeprefix(_VERSION)) for name in names if name.startswith(_VERSION)]
+    if not numbers:
+        return 0, None
+    marker = f"{path}/{_VERSION}{max(numbers):010d}"
+    return max(numbers), spark.read.text(marker, wholetext=True).first()[0]
+
+
+def publish_version(spark: SparkSession, path: str, number: int, content: str) -> bool:
+    """Create version ``number`` with its content in one step; False if it already exists.
+
+    The content is complete before the name appears: it is written under another name,
+    which then becomes the version's by a link (local files) or a rename (others, where
+    renaming onto an existing file fails, as in HDFS).
+    """
+    fs, location = _file_system(spark, path)
+    target = f"{location.toUri().getPath()}/{_VERSION}{number:010d}"
+    # Names that begin with "_" are not read as data.
+    draft = f"{location.toUri().getPath()}/_draft-{uuid.uuid4().hex}"
+    fs.mkdirs(location)
+    if fs.getScheme() == "file":
+        Path(draft).write_text(content)
+        try:
+            os.link(draft, target)
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(draft)
+        return True
+    new_path = spark._jvm.org.apache.hadoop.fs.Path
+    out = fs.create(new_path(draft), False)
+    out.write(bytearray(content.encode()))
+    out.close()
+    if not fs.exists(new_path(target)) and fs.rename(new_path(draft), new_path(target)):
+        return True
+    fs.delete(new_path(draft), False)
+    return False

@@ -51,10 +51,8 @@ def test_too_many_training_rows_is_an_error(rows):
         sampling.split_exact(rows, 2501).collect()
 
 
-@pytest.mark.parametrize("limit", [10_000, 0])
 @pytest.mark.parametrize("size", [0, 1, 137, 2500, 9999])
-def test_sample(rows, monkeypatch, limit, size):
-    monkeypatch.setattr(sampling, "TOP_N_LIMIT", limit)
+def test_sample(rows, size):
     expected = set(seeded_order(range(2500), 42)[:size])
     assert ids_of(sampling.seeded_sample(rows, size)) == expected
 
@@ -74,6 +72,8 @@ def test_sample_of_nothing(rows):
 def test_shuffle_is_the_seeded_order(rows):
     got = [r.example_id for r in sampling.seeded_shuffle(rows, 5).collect()]
     assert got == seeded_order(range(2500), 5)
+    placed = sampling.seeded_shuffle(rows, 5, position="position").collect()
+    assert [(r.example_id, r.position) for r in placed] == [(x, i) for i, x in enumerate(got)]
 
 
 def test_caps(rows):
@@ -84,6 +84,9 @@ def test_caps(rows):
     train = [i for i in range(2500) if i % 7]
     assert ids_of(capped.filter("split = 'train'")) == set(seeded_order(train, 42)[:100])
     assert sampling.split_caps(split, {}).count() == 2500
+    unnamed = rows.withColumn("split", F.when(F.col("x") == 0, None).otherwise("train"))
+    sizes = dict(sampling.split_caps(unnamed, {"train": 0, "test": 9}).groupBy("split").count().collect())
+    assert sizes == {None: 358}
 
 
 def test_check_split_sizes(rows):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F, types as T
@@ -30,9 +31,9 @@ def test_revisions(spark, cards, tmp_path):
     assert datasets.load_dataset(spark, path, "v9").count() == 40
     with pytest.raises(Exception, match="already exists"):
         datasets.publish_dataset(cards, path, "v9")
-    # An unfinished revision is not the newest one.
+    # An unfinished revision is not the newest one, whatever the files' times.
     cards.limit(1).write.partitionBy("split").parquet(f"{path}/rev=v11")
-    os.remove(f"{path}/rev=v11/_SUCCESS")
+    os.utime(f"{path}/rev=v9/_SUCCESS")
     assert datasets.load_dataset(spark, path).count() == 3
 
 
@@ -101,34 +102,57 @@ def test_leaderboard_versions(spark, tmp_path):
     leaderboards.update_leaderboard(spark.createDataFrame([("b", 0.5, 0.4)], BOARD), path, BOARD)
     got = leaderboards.read_leaderboard(spark, path, BOARD)
     assert [tuple(r) for r in got.collect()] == [("b", 0.5, 0.4), ("a", 0.1, 1 / 3)]
-    # A version whose job did not finish is never read, nor is its name used again.
-    broken = leaderboards.write_leaderboard(first.limit(1), path)
-    os.remove(f"{broken}/_SUCCESS")
+    # A board that was never published is not read.
+    leaderboards._write(first.limit(1), path)
     assert leaderboards.read_leaderboard(spark, path, BOARD).count() == 2
     leaderboards.update_leaderboard(spark.createDataFrame([("c", 0.9, 0.9)], BOARD), path, BOARD)
     assert leaderboards.read_leaderboard(spark, path, BOARD).count() == 3
+    leaderboards.write_leaderboard(first, path)
+    assert leaderboards.read_leaderboard(spark, path, BOARD).count() == 2
 
 
-def test_two_writers_keep_both_rows(spark, tmp_path, monkeypatch):
-    """A version taken by another writer between reading and writing is merged again."""
+def test_a_late_writer_merges_again(spark, tmp_path, monkeypatch):
+    """A version taken by another writer between reading and publishing is merged again."""
     path = str(tmp_path / "board")
     row = lambda name: spark.createDataFrame([(name, 0.5, 0.5)], BOARD)
     leaderboards.update_leaderboard(row("a"), path, BOARD)
-    original, late = leaderboards.children, []
+    original, late = leaderboards._write, []
 
-    def children_before_the_other_writer(*args):
-        names = original(*args)
+    def write_while_the_other_writer_publishes(*args):
+        name = original(*args)
         if not late:
             late.append(True)
             leaderboards.update_leaderboard(row("b"), path, BOARD)
-        return names
+        return name
 
-    monkeypatch.setattr(leaderboards, "children", children_before_the_other_writer)
+    monkeypatch.setattr(leaderboards, "_write", write_while_the_other_writer_publishes)
     leaderboards.update_leaderboard(row("c"), path, BOARD)
     got = leaderboards.read_leaderboard(spark, path, BOARD).collect()
     assert sorted(r.model_id for r in got) == ["a", "b", "c"]
 
 
+def test_overlapping_writers_lose_nothing(spark, tmp_path):
+    path = str(tmp_path / "board")
+    names = [f"m{i}" for i in range(6)]
+
+    def write(name):
+        leaderboards.update_leaderboard(spark.createDataFrame([(name, 0.5, 0.5)], BOARD), path, BOARD)
+
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(write, names))
+    got = leaderboards.read_leaderboard(spark, path, BOARD).collect()
+    assert sorted(r.model_id for r in got) == names
+
+
+def test_a_version_is_published_once(spark, tmp_path):
+    path = str(tmp_path / "versions")
+    assert storage.newest_version(spark, path) == (0, None)
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda i: storage.publish_version(spark, path, 1, f"w{i}"), range(8)))
+    assert sum(won) == 1
+    assert storage.newest_version(spark, path) == (1, f"w{won.index(True)}")
+
+
 def test_history_keeps_all_columns(spark, tmp_path):
     path = str(tmp_path / "history")
     assert leaderboards.read_history(spark, path) is None
@@ -143,3 +167,6 @@ def test_intermediate_tables_go_to_the_configured_folder(spark):
     assert storage.shared_dir(spark) == folder
     df = storage.materialize(spark.range(5), "five")
     assert df.count() == 5 and all(f.startswith(f"file://{folder}") for f in df.inputFiles())
+    files = df.inputFiles()
+    storage.discard(spark)
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in files)

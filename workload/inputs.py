@@ -113,13 +113,18 @@ def vec_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return gen.join(ref, "example_id")
 
 
+def _spread(example_id: Column) -> Column:
+    """A number that differs between the first turns of neighbouring conversations."""
+    return F.floor(example_id / 1_000_000_000) * 31 + example_id % 1_000_000_000
+
+
 def with_similarity(spark: SparkSession, sf: str, scored: DataFrame) -> DataFrame:
-    """Predictions with the similarity of vector pair ``example_id % number of vectors``."""
+    """Predictions with the similarity of a vector pair; examples are spread over all pairs."""
     pairs = scoring.similarity_where_valid(vec_pairs(spark, sf), "gen_vec", "ref_vec")
     similarity = pairs.select(F.col("example_id").alias("pair_id"), "answer_similarity")
     n = table(spark, sf, "embeddings").agg(F.count("*")).scalar()
     return (
-        scored.withColumn("pair_id", F.col("example_id") % n)
+        scored.withColumn("pair_id", _spread(F.col("example_id")) % n)
         .join(similarity, "pair_id", "left")
         .drop("pair_id")
     )

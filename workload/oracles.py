@@ -98,7 +98,8 @@ PLAIN = "model_id, n, round(token_f1_mean, 6) AS token_f1_mean, round(token_f1_s
 
 # Text metrics -------------------------------------------------------------------------
 
-ORACLES["leaderboard_flagship"] = with_(*SCORED, board("scored", "board")) + f"SELECT {PLAIN} FROM board"
+ORACLES["leaderboard_flagship"] = with_(*SCORED, board("scored", "board")) + f"""SELECT {PLAIN},
+  row_number() OVER (ORDER BY token_f1_mean DESC, model_id) AS rank FROM board"""
 ORACLES["clean_answer"] = with_(*BASE) + f"""SELECT model_id, example_id,
   {clean("chr(32) || chr(10) || raw_generation || ' ' || chr(9) || chr(12288)")} AS cleaned FROM predictions"""
 ORACLES["answer_tokens"] = f"""SELECT doc_id, CAST(len(tokens) AS BIGINT) AS n_tokens,
@@ -143,7 +144,8 @@ ORACLES["seeded_sample"] = f"""SELECT doc_id, lang, n_chars FROM documents
 ORDER BY {seeded(42, 'doc_id')} LIMIT 500"""
 ORACLES["seeded_sample_large"] = f"""SELECT o_orderkey, o_custkey FROM orders
 ORDER BY {seeded(7, 'o_orderkey')} LIMIT 12000"""
-ORACLES["seeded_shuffle"] = f"SELECT doc_id, lang FROM documents ORDER BY {seeded(7, 'doc_id')}"
+ORACLES["seeded_shuffle"] = f"""SELECT doc_id, lang,
+  row_number() OVER (ORDER BY {seeded(7, 'doc_id')}) - 1 AS position FROM documents"""
 ORACLES["split_exact"] = with_(SPLIT_DOCUMENTS) + "SELECT doc_id, split FROM split_documents"
 ORACLES["split_sizes"] = with_(
     SPLIT_DOCUMENTS,
@@ -154,8 +156,9 @@ ORACLES["split_sizes"] = with_(
   coalesce(coalesce(rows, 0) = expected, false) AS ok FROM counts FULL JOIN wanted USING (split)"""
 ORACLES["split_caps"] = with_(SPLIT_DOCUMENTS) + f"""SELECT doc_id, split FROM (
   SELECT *, row_number() OVER (PARTITION BY split ORDER BY {seeded(42, 'doc_id')}) AS k
-  FROM split_documents)
-WHERE split = 'test' OR (split = 'train' AND k <= 300) OR (split = 'validation' AND k <= 50)"""
+  FROM (SELECT doc_id, CASE WHEN split = 'test' AND lang = 'fr' THEN NULL ELSE split END AS split
+    FROM split_documents))
+WHERE split IS NULL OR split = 'test' OR (split = 'train' AND k <= 300) OR (split = 'validation' AND k <= 50)"""
 ORACLES["dense_index"] = f"""SELECT doc_id, lang, row_number() OVER (PARTITION BY lang
   ORDER BY {seeded(42, 'doc_id')}) - 1 AS example_index FROM documents"""
 ORACLES["positional_index"] = """SELECT event_type, event_id, row_number() OVER (
@@ -248,7 +251,8 @@ FROM {source} GROUP BY model_id"""
 
 WITH_SIMILARITY = """with_similarity AS (SELECT s.model_id, s.example_id, s.token_f1,
   v.answer_similarity FROM scored s
-  LEFT JOIN vec_pairs v ON v.example_id = s.example_id % (SELECT count(*) FROM embeddings))"""
+  LEFT JOIN vec_pairs v ON v.example_id = (s.example_id // 1000000000 * 31
+    + s.example_id % 1000000000) % (SELECT count(*) FROM embeddings))"""
 
 ORACLES["embedding_cosine"] = with_(VEC_PAIRS) + """SELECT example_id,
   round(answer_similarity, 6) AS answer_similarity FROM vec_pairs"""

@@ -51,8 +51,9 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 @query
 def leaderboard_flagship(spark, sf):
-    board = leaderboard.sort_leaderboard(summary.summarize_predictions(inputs.scored(spark, sf)))
-    return rounded(board.select("model_id", "n", "token_f1_mean", "token_f1_std"))
+    board = leaderboard.ranked_leaderboard(summary.summarize_predictions(inputs.scored(spark, sf)))
+    rank = F.col("rank").cast("bigint").alias("rank")
+    return rounded(board.select("model_id", rank, "n", "token_f1_mean", "token_f1_std"))
 
 
 @query
@@ -135,7 +136,7 @@ def seeded_sample_large(spark, sf):
 @query
 def seeded_shuffle(spark, sf):
     docs = inputs.table(spark, sf, "documents").select("doc_id", "lang")
-    return sampling.seeded_shuffle(docs, seed=7, row_id="doc_id")
+    return sampling.seeded_shuffle(docs, seed=7, row_id="doc_id", position="position")
 
 
 @query
@@ -153,6 +154,8 @@ def split_sizes(spark, sf):
 @query
 def split_caps(spark, sf):
     split = inputs.split_documents(spark, sf)
+    unnamed = F.when((F.col("split") == "test") & (F.col("lang") == "fr"), None)
+    split = split.withColumn("split", unnamed.otherwise(F.col("split")))
     caps = {"train": 300, "validation": 50, "test": None}
     return sampling.split_caps(split, caps, seed=42, row_id="doc_id").select("doc_id", "split")
 
