@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from evalweave.operators.joins import salted_join
+# A configuration's entry.
+_ENTRY = "struct<key: string, value: string>"
 
 
 def _leaves(schema: T.StructType, path: tuple[str, ...] = ()) -> list[tuple[str, ...]]:
@@ -37,39 +38,33 @@ def _parents(key: Column) -> Column:
     )
 
 
-def _without_replaced(base: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Drop base entries below or above an overridden key: a section replaces a value
-    and a value replaces a section."""
-    parents_of = lambda rows: rows.select(
-        "run_id", F.explode(_parents(F.col("key"))).alias("key")
-    ).distinct()
-    over = overrides.select("run_id", "key")
-    sections = parents_of(base).join(over, ["run_id", "key"], "left_semi")
-    above = parents_of(over)
-    kept = base.join(above, ["run_id", "key"], "left_anti")
-    replaced = sections.withColumnRenamed("key", "section")
-    below = (
-        kept.withColumn("section", F.explode(_parents(F.col("key"))))
-        .transform(
-            lambda rows: salted_join(
-                rows, replaced, ["run_id", "section"], ["key"], "left_semi"
-            )
-        )
-        .select("run_id", "key")
-        .distinct()
-    )
-    return kept.join(below, ["run_id", "key"], "left_anti")
-
-
 def layered_merge(base: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Merge two configurations; the override wins, also when its value is NULL."""
-    over = overrides.select("run_id", "key", F.col("value").alias("new"), F.lit(True).alias("set"))
-    return (
-        _without_replaced(base, overrides)
-        .join(over, ["run_id", "key"], "full")
-        .select(
-            "run_id", "key", F.when(F.col("set"), F.col("new")).otherwise(F.col("value")).alias("value")
-        )
+    """Merge two configurations; the override wins, also when its value is NULL.
+
+    A section replaces a value and a value replaces a section: base entries below or above
+    an overridden key are dropped. Both tables are shuffled once, by run; a run's entries,
+    which make up one configuration, are merged within its row.
+    """
+    entry = F.struct("key", "value")
+    side = lambda df, mine, other: df.select(
+        "run_id", entry.alias(mine), F.lit(None).cast(_ENTRY).alias(other)
+    )
+    runs = (
+        side(base, "base", "over")
+        .unionByName(side(overrides, "over", "base"))
+        .groupBy("run_id")
+        .agg(F.collect_list("base").alias("base"), F.collect_list("over").alias("over"))
+        .withColumn("values", F.transform("over", lambda e: e.key))
+        .withColumn("sections", F.array_distinct(F.flatten(F.transform("values", _parents))))
+    )
+    replaced = lambda e: (
+        F.array_contains("values", e.key)
+        | F.array_contains("sections", e.key)
+        | F.arrays_overlap("values", _parents(e.key))
+    )
+    kept = F.filter("base", lambda e: ~replaced(e))
+    return runs.select("run_id", F.explode(F.concat(kept, "over")).alias("e")).select(
+        "run_id", "e.key", "e.value"
     )
 
 

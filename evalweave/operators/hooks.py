@@ -19,7 +19,7 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from evalweave.functions.arrays import both_answered, cosine
-from evalweave.operators.joins import lookup_groups, skew_join
+from evalweave.operators.joins import lookup_groups
 
 # The functions below run on executors that need not have this package installed.
 cloudpickle.register_pickle_by_value(__import__(__name__, fromlist=["hooks"]))
@@ -27,6 +27,9 @@ cloudpickle.register_pickle_by_value(__import__(__name__, fromlist=["hooks"]))
 # pandas batch in (key and text columns), pandas batch out (key and result columns).
 BatchFn = Callable[[pd.DataFrame], pd.DataFrame]
 
+# Examples that one task passes through its models; bounds what it sorts and repeats.
+ROWS_PER_TASK = 10_000
+
 KEY = ["model_id", "example_id"]
 _KEY_FIELDS = [T.StructField("model_id", T.StringType()), T.StructField("example_id", T.LongType())]
 _CALL_FIELDS = [
@@ -41,10 +44,13 @@ def _lay_out(requests: DataFrame, text: str, partitions: int | None) -> DataFram
     """Even partitions that each hold few models, similar lengths next to each other.
 
     Range partitioning on (model, hash of the example) cuts a model with a third of all
-    examples into as many partitions as it needs.
+    examples into as many partitions as it needs. Their number follows the counted rows:
+    ``ROWS_PER_TASK`` each, and one per core at least. ``requests`` is read three times and
+    should be a written table.
     """
     spread = F.md5(F.col("example_id").cast("string"))
-    n = partitions or requests.sparkSession.sparkContext.defaultParallelism
+    cores = requests.sparkSession.sparkContext.defaultParallelism
+    n = partitions or max(cores, -(-requests.count() // ROWS_PER_TASK))
     return requests.repartitionByRange(n, "model_id", spread).sortWithinPartitions(
         "model_id", F.length(text), "example_id"
     )
@@ -205,6 +211,29 @@ def model_errors(output: DataFrame) -> DataFrame:
     )
 
 
+def merge_errors(errors: DataFrame, more: DataFrame) -> DataFrame:
+    """One row per failed model from the errors of two steps; the first step's text stays."""
+    both = errors.withColumn("step", F.lit(0)).unionByName(more.withColumn("step", F.lit(1)))
+    return both.groupBy("model_id").agg(
+        F.sum("failed_examples").alias("failed_examples"),
+        F.min(F.struct("step", "error"))["error"].alias("error"),
+    )
+
+
+def embedding_errors(predictions: DataFrame, vectors: DataFrame) -> DataFrame:
+    """One row per model with an answer or reference that failed to embed."""
+    failed = vectors.filter(F.col("error").isNotNull()).select("text_key", "error")
+    texts = predictions.select(
+        *KEY, F.explode(F.array("generated_answer", "reference_answer")).alias("text")
+    )
+    return model_errors(
+        texts.withColumn("text_key", _text_key("text"))
+        .join(failed, "text_key")
+        .groupBy(*KEY)
+        .agg(F.min("error").alias("error"))
+    )
+
+
 def without_failed_models(rows: DataFrame, errors: DataFrame) -> DataFrame:
     """Rows of the models that had no error at all."""
     failed = errors.select("model_id").distinct()
@@ -231,29 +260,54 @@ def embed(
     *,
     batch_size: int = 256,
     partitions: int | None = None,
+    on_error: str = "fail",
 ) -> DataFrame:
-    """``(text_key, embedding)`` of ``(text_key, text)``; the embedder is made once per task."""
+    """``(text_key, embedding, error)`` of ``(text_key, text)``.
+
+    The embedder is made once per task. With ``on_error='skip'`` the texts of a failing batch
+    are tried one by one, and those that fail alone get no embedding but their error.
+    """
+
+    def encoded(encode: Callable, batch: pd.DataFrame) -> pd.DataFrame:
+        vectors = [list(v) for v in encode(batch["text"].tolist())]
+        return pd.DataFrame(
+            {"text_key": batch["text_key"].tolist(), "embedding": vectors, "error": None}
+        )
 
     def run(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = None
         for chunk in chunks:
-            encode = encode or make_embedder()
             for at in range(0, len(chunk), batch_size):
                 batch = chunk.iloc[at : at + batch_size]
-                vectors = [list(v) for v in encode(batch["text"].tolist())]
-                yield pd.DataFrame({"text_key": batch["text_key"].tolist(), "embedding": vectors})
+                try:
+                    encode = encode or make_embedder()
+                    yield encoded(encode, batch)
+                    continue
+                except Exception:
+                    if on_error == "fail":
+                        raise
+                for i in range(len(batch)):
+                    one = batch.iloc[i : i + 1]
+                    try:
+                        encode = encode or make_embedder()
+                        yield encoded(encode, one)
+                    except Exception as error:
+                        text = f"{type(error).__name__}: {error}"
+                        yield pd.DataFrame(
+                            {"text_key": one["text_key"].tolist(), "embedding": None, "error": text}
+                        )
 
     # Distinct texts come out of a shuffle evenly spread; more tasks are for slow models.
     spread = texts.repartition(partitions, "text_key") if partitions else texts
-    return spread.mapInPandas(run, "text_key string, embedding array<float>")
+    return spread.mapInPandas(run, "text_key string, embedding array<float>, error string")
 
 
 def attach_similarity(predictions: DataFrame, vectors: DataFrame) -> DataFrame:
     """Add ``answer_similarity`` from ``(text_key, embedding)``; missing for invalid pairs.
 
-    One common answer may stand in a third of all rows, and invalid pairs have no text
-    to look up, hence the skew-aware joins. ``predictions`` is read several times and
-    should be a written table.
+    One common answer may stand in a third of all rows, and invalid pairs have no text to
+    look up; both joins are followed by another shuffle, so adaptive execution splits such
+    keys. Pairs with a text that failed to embed get no similarity.
     """
     valid = both_answered(F.col("generated_answer"), F.col("reference_answer"))
     pairs = predictions.select(
@@ -263,9 +317,7 @@ def attach_similarity(predictions: DataFrame, vectors: DataFrame) -> DataFrame:
     )
     gen = vectors.select(F.col("text_key").alias("gen_key"), F.col("embedding").alias("gen_vec"))
     ref = vectors.select(F.col("text_key").alias("ref_key"), F.col("embedding").alias("ref_vec"))
-    with_gen = skew_join(pairs, gen, "gen_key", salt_by=KEY)
-    with_both = skew_join(with_gen, ref, "ref_key", salt_by=KEY, count_on=pairs)
-    similarity = with_both.select(
+    similarity = pairs.join(gen, "gen_key", "left").join(ref, "ref_key", "left").select(
         *KEY, cosine(F.col("gen_vec"), F.col("ref_vec")).alias("answer_similarity")
     )
     return predictions.join(similarity, KEY)

@@ -1,4 +1,8 @@
-"""Equi-joins that stay balanced when one key holds a large share of the rows."""
+"""Joins of many rows to one record per group, however many rows a group has.
+
+Joins on other keys are left to Spark: its adaptive execution splits the rows of a hot key
+where the join's result is shuffled again, as is the case in this package.
+"""
 
 from __future__ import annotations
 
@@ -10,9 +14,6 @@ SALTS = 64
 # A table with one record per group is broadcast up to this many records, counted
 # before the join is chosen; above it the join is salted.
 MAX_GROUPS = 10_000
-# A key is hot when it holds at least this share of the rows. At most 1 / share keys
-# can be hot, which bounds what is fetched and repeated for them.
-HOT_SHARE = 0.001
 
 
 def _salt(salt_by: Sequence[str], salts: int) -> Column:
@@ -50,14 +51,6 @@ def salted_join(
     return group_join(salted, copies, [*on, "_salt"], how).drop("_salt")
 
 
-def fetch_groups(groups: DataFrame) -> DataFrame | None:
-    """``groups`` as a local table if it has at most ``MAX_GROUPS`` records, else None."""
-    records = groups.limit(MAX_GROUPS + 1).collect()
-    if len(records) > MAX_GROUPS:
-        return None
-    return groups.sparkSession.createDataFrame(records, groups.schema)
-
-
 def lookup_groups(
     rows: DataFrame,
     groups: DataFrame,
@@ -67,54 +60,9 @@ def lookup_groups(
 ) -> DataFrame:
     """Join ``rows`` to one record per group without moving the rows if that is safe.
 
-    ``groups`` is fetched once; few records are broadcast, many are joined salted.
+    ``groups`` is counted, not fetched: few records are broadcast, many are joined salted.
+    It is read twice and should be cheap or a written table.
     """
-    fetched = fetch_groups(groups)
-    if fetched is None:
+    if groups.count() > MAX_GROUPS:
         return salted_join(rows, groups, on, salt_by, how)
-    return group_join(rows, F.broadcast(fetched), on, how)
-
-
-def _hot_keys(keyed: DataFrame, key: str) -> list:
-    """Keys (also NULL) holding at least ``HOT_SHARE`` of the rows: 1 / HOT_SHARE at most."""
-    counts = keyed.groupBy(key).agg(F.count("*").alias("n"))
-    total = F.greatest(keyed.agg(F.count("*") * HOT_SHARE).scalar(), F.lit(2))
-    return [row[0] for row in counts.filter(F.col("n") >= total).select(key).collect()]
-
-
-def skew_join(
-    rows: DataFrame,
-    lookup: DataFrame,
-    key: str,
-    salt_by: Sequence[str],
-    how: str = "left",
-    salts: int = SALTS,
-    count_on: DataFrame | None = None,
-) -> DataFrame:
-    """Join ``rows`` to a large ``lookup`` (unique on ``key``) whatever the key's skew.
-
-    The keys are counted first, on ``count_on`` where that is a cheaper table with the
-    same keys. Rows of hot keys are salted and only their lookup records are repeated;
-    rows without a key are spread as well if there are many.
-    """
-    hot = _hot_keys(count_on or rows, key)
-    if not hot:
-        return rows.join(lookup, key, how)
-    spark = rows.sparkSession
-    flagged = F.struct(key).alias("_flag")
-    names = spark.createDataFrame([(k,) for k in hot], rows.select(key).schema)
-    marked = F.broadcast(names.select(flagged, F.lit(True).alias("_hot")))
-    left = (
-        rows.withColumn("_flag", flagged)
-        .join(marked, "_flag", "left")
-        .withColumn("_salt", F.when(F.col("_hot"), _salt(salt_by, salts)).otherwise(F.lit(0)))
-        .drop("_flag", "_hot")
-    )
-    last = F.when(F.col("_hot"), F.lit(salts - 1)).otherwise(F.lit(0))
-    right = (
-        lookup.withColumn("_flag", flagged)
-        .join(marked, "_flag", "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), last)))
-        .drop("_flag", "_hot")
-    )
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    return group_join(rows, F.broadcast(groups), on, how)

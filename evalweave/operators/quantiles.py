@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from evalweave.operators.joins import fetch_groups, lookup_groups
+from evalweave.operators.joins import lookup_groups
+from evalweave.storage import materialize
 
 # A mergeable sketch brackets the middle: ranks 0.5 +- 0.0002 with an error of 0.0001.
 _BRACKET = (0.4998, 0.5002)
@@ -14,7 +15,6 @@ _ACCURACY = 10_000
 # Brackets holding more rows than this are narrowed again, on a grid of 1/1000ths.
 MAX_INSIDE = 1_000_000
 _GRID = 1000
-_MAX_ROUNDS = 6
 
 # Per group: number of values, bounds of the bracket (NULL: open), rows below it, rows in it.
 _STATE = ("_n", "_low", "_high", "_skipped", "_inside")
@@ -103,16 +103,19 @@ def exact_median(
             F.col("_p")[1].alias("_b"),
         )
     )
-    state = _tighten(values, proposed, keys, salt_by)
-    for _ in range(_MAX_ROUNDS):
-        fetched = fetch_groups(state)
-        if fetched is None:
+    proposed = materialize(proposed, "median-brackets")
+    state = materialize(_tighten(values, proposed, keys, salt_by), "median-brackets")
+    open_ = F.col("_low").isNull() | F.col("_high").isNull() | (F.col("_low") < F.col("_high"))
+    wide = open_ & (F.col("_inside") > MAX_INSIDE)
+    before = None
+    while True:
+        left = state.agg(F.coalesce(F.sum(F.when(wide, F.col("_inside"))), F.lit(0))).first()[0]
+        # Every round shrinks wide brackets a few hundredfold, unless ties prevent it.
+        if not left or left == before:
             break
-        state = fetched
-        splittable = F.col("_low").isNull() | F.col("_high").isNull() | (F.col("_low") < F.col("_high"))
-        if state.filter(splittable & (F.col("_inside") > MAX_INSIDE)).isEmpty():
-            break
-        state = _tighten(values, _narrower(values, state, keys, salt_by), keys, salt_by)
+        before = left
+        cells = materialize(_narrower(values, state, keys, salt_by), "median-brackets")
+        state = materialize(_tighten(values, cells, keys, salt_by), "median-brackets")
     middle = (
         lookup_groups(values, state, keys, salt_by)
         .filter(_inside())

@@ -41,13 +41,16 @@ def score_answers(predictions: DataFrame) -> DataFrame:
 def reference_scores(
     token_logprobs: DataFrame, examples: DataFrame, key: Sequence[str] = KEY
 ) -> DataFrame:
-    """Sum, mean NLL, perplexity and token count per example from one row per token.
+    """Sum, mean NLL, perplexity and token count per example from its tokens.
 
-    ``examples`` lists the keys to report; an example without tokens keeps 0 tokens
-    and missing scores. A non-finite mean leaves the perplexity missing.
+    ``token_logprobs`` has one row per token, or per distinct token with the number ``n`` of
+    its occurrences. ``examples`` lists the keys to report; an example without tokens keeps
+    0 tokens and missing scores. A non-finite mean leaves the perplexity missing.
     """
-    lp = F.col("logprob")
-    sums = token_logprobs.groupBy(*key).agg(F.sum(lp).alias("s"), F.count("*").alias("c"))
+    n = F.col("n") if "n" in token_logprobs.columns else F.lit(1)
+    sums = token_logprobs.groupBy(*key).agg(
+        F.sum(F.col("logprob") * n).alias("s"), F.sum(n).alias("c")
+    )
     return (
         examples.select(*key)
         .join(sums, list(key), "left")

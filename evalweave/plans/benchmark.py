@@ -74,14 +74,16 @@ def evaluate(
         hooks.generate(requests, make_generator, batch_size=batch_size, on_error=on_error),
         "generations",
     )
-    errors = hooks.model_errors(generations)
+    errors = materialize(hooks.model_errors(generations), "errors")
     reference_stats = None
     scores = None
     if make_scorer is not None:
+        # Models that failed to generate are not scored.
+        answered = hooks.without_failed_models(requests, errors)
         scored = materialize(
-            hooks.score_references(requests, make_scorer, on_error=on_error), "reference-scores"
+            hooks.score_references(answered, make_scorer, on_error=on_error), "reference-scores"
         )
-        errors = errors.unionByName(hooks.model_errors(scored))
+        errors = materialize(hooks.merge_errors(errors, hooks.model_errors(scored)), "errors")
         reference_stats = hooks.scoring_stats(scored)
         scores = scoring.reference_scores_from_arrays(scored)
     done = hooks.attach_generations(requests, hooks.without_failed_models(generations, errors))
@@ -93,9 +95,14 @@ def evaluate(
     if make_embedder is not None:
         predictions = materialize(predictions, "scored")
         vectors = materialize(
-            hooks.embed(hooks.distinct_texts(predictions), make_embedder), "embeddings"
+            hooks.embed(hooks.distinct_texts(predictions), make_embedder, on_error=on_error),
+            "embeddings",
+        )
+        failed = hooks.embedding_errors(predictions, vectors)
+        errors = materialize(hooks.merge_errors(errors, failed), "errors")
+        predictions = hooks.attach_similarity(
+            hooks.without_failed_models(predictions, errors), vectors
         )
-        predictions = hooks.attach_similarity(predictions, vectors)
     predictions = materialize(predictions, "predictions")
     telemetry = summary.run_telemetry(hooks.batch_stats(generations), reference_stats)
     if memory_samples is not None:

@@ -142,3 +142,37 @@ def test_similarity_encodes_each_text_once(spark):
     assert by_key["a", 2] is None and by_key["a", 3] is None
     assert by_key["b", 1] == pytest.approx(9 / (17**0.5 * 5**0.5))
     assert by_key["c", 7] == pytest.approx(27 / (170**0.5 * 5**0.5))
+
+
+def make_picky_embedder():
+    def encode(texts):
+        if any("bad" in t for t in texts):
+            raise ValueError("cannot embed this")
+        return [[float(len(t)), 1.0] for t in texts]
+
+    return encode
+
+
+def test_failing_embeddings_are_isolated(spark):
+    rows = [("a", 1, "good one", "fine"), ("a", 2, "good", "fine"), ("b", 1, "bad", "fine")]
+    scored = spark.createDataFrame(
+        rows, "model_id string, example_id long, generated_answer string, reference_answer string"
+    )
+    texts = hooks.distinct_texts(scored)
+    with pytest.raises(Exception, match="cannot embed this"):
+        hooks.embed(texts, make_picky_embedder).collect()
+    vectors = hooks.embed(texts, make_picky_embedder, on_error="skip").cache()
+    assert vectors.filter("embedding is null").count() == 1
+    errors = hooks.embedding_errors(scored, vectors).collect()
+    assert [(e.model_id, e.failed_examples) for e in errors] == [("b", 1)]
+    similar = hooks.attach_similarity(scored, vectors).collect()
+    assert {(r.model_id, r.example_id) for r in similar if r.answer_similarity is not None} == {
+        ("a", 1), ("a", 2),
+    }
+
+
+def test_a_model_that_fails_twice_has_one_row(spark):
+    first = spark.createDataFrame([("a", 2, "one")], "model_id string, failed_examples long, error string")
+    more = spark.createDataFrame([("a", 3, "a two"), ("b", 1, "x")], first.schema)
+    got = {r.model_id: (r.failed_examples, r.error) for r in hooks.merge_errors(first, more).collect()}
+    assert got == {"a": (5, "one"), "b": (1, "x")}

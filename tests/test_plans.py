@@ -7,6 +7,8 @@ import re
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from workload.oracles import ORACLES
+from workload.spark_queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 PYTHON = ("generate_hook", "scorer_hook", "embed_hook", "error_isolation", "benchmark_run",
@@ -71,13 +73,6 @@ def test_positions_move_the_rows_once(spark, no_broadcast):
     assert any("text" in line for line in rows_side)
 
 
-def test_small_samples_use_a_distributed_top_n(spark):
-    from evalweave.operators.sampling import seeded_sample
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    assert "TakeOrderedAndProject" in plan_of(seeded_sample(docs, 50, row_id="doc_id"))
-
-
 def test_top_k_per_group_is_cut_before_the_shuffle(spark):
     for name in ("disagreement_report", "top_candidates"):
         assert plan_of(queries()[name](spark, SF)).count("WindowGroupLimit") == 2
@@ -90,7 +85,21 @@ def test_column_pruning_reaches_the_scan(spark):
 
 
 def test_every_query_has_its_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
+
+
+def test_a_merge_of_configurations_shuffles_each_side_once(spark, no_broadcast):
+    plan = plan_of(queries()["layered_merge"](spark, SF))
+    assert plan.count("Exchange hashpartitioning") <= 2 and "Join" not in plan
+
+
+def test_reference_scores_start_no_job_while_they_are_built(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "building")
+    queries()["reference_scores"](spark, SF)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not tracker.getJobIdsForGroup("building")
 
 
 def test_entry(spark):

@@ -141,6 +141,26 @@ def test_setup_comparison(spark):
     assert tuple(means) == (20.0, 10.0, -50.0)
 
 
+# Published peak reserved memory in MB of eleven models, full and 4-bit.
+FULL = [11860, 29492, 21176, 20140, 25450, 15382, 11208, 10792, 16422, 15058, 6926]
+SMALL = [7078, 15242, 9094, 5762, 6346, 4728, 6844, 9144, 5964, 8058, 2818]
+
+
+def test_published_memory(spark):
+    """Means of 16,718.7 and 7,370.7 MB, a change of -55.9 percent."""
+    boards = [
+        spark.createDataFrame(
+            [(f"m{i}", float(v)) for i, v in enumerate(values)], "model_id string, vram double"
+        )
+        for values in (FULL, SMALL)
+    ]
+    means = compare.setup_means(compare.compare_setups(*boards, "vram"), "vram").first()
+    assert (round(means.vram_left, 1), round(means.vram_right, 1)) == (16718.7, 7370.7)
+    assert round(means.vram_change_percent, 1) == -55.9
+    averages = [summary.cross_model_means(b, "vram").first() for b in boards]
+    assert [round(a.vram_avg, 1) for a in averages] == [16718.7, 7370.7]
+
+
 def test_fingerprint_ignores_order_and_sees_changes(spark):
     a = spark.range(50).select(F.lit("m").alias("model_id"), F.col("id").alias("example_id"))
     first = compare.sample_fingerprint(a, "test").first()

@@ -6,10 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evalweave.functions import text
 from evalweave.operators import sampling, scoring
-from evalweave.operators.joins import skew_join
 from evalweave.operators.reshape import fan_out
 from evalweave.sources.tables import read_table
-from evalweave.storage import materialize
 
 MODELS = ("org/echo", "org/lead", "org/parrot", "org/blank")
 SYSTEM_PROMPT = "You are an expert on every subject.\n"
@@ -133,25 +131,29 @@ def with_similarity(spark: SparkSession, sf: str, scored: DataFrame) -> DataFram
 def token_logprobs(spark: SparkSession, sf: str) -> DataFrame:
     """Reference tokens scored by a smoothed unigram model of all documents.
 
-    References are the same for every model, so tokens are counted and looked up once
-    and then scored per model. A few words make up much of any text: the lookup is the
-    skew-aware join. The word counts are written once, as totals and lookup both read
-    them.
+    One row per model, example and distinct token, with the number of its occurrences:
+    ``model_id, example_id, logprob, n``. References are the same for every model, so
+    tokens are counted and looked up once and then scored per model.
     """
     words = texts(spark, sf, "documents").select(
         F.explode(text.answer_tokens(F.col("text"))).alias("tok")
     )
-    unigram = materialize(words.groupBy("tok").agg(F.count("*").alias("c")), "unigram")
-    tokens = flashcards(spark, sf).select(
-        "example_id",
-        F.posexplode(text.answer_tokens(text.clean_answer(F.col("output")))).alias("pos", "tok"),
+    unigram = words.groupBy("tok").agg(F.count("*").alias("c"))
+    counted = (
+        flashcards(spark, sf)
+        .select(
+            "example_id",
+            F.explode(text.answer_tokens(text.clean_answer(F.col("output")))).alias("tok"),
+        )
+        .groupBy("example_id", "tok")
+        .agg(F.count("*").alias("n"))
+        .join(unigram, "tok", "left")
     )
-    counted = skew_join(tokens, unigram, "tok", salt_by=["example_id", "pos"])
     alpha = F.when(F.col("model_id").isin("org/echo", "org/lead"), 1.0).otherwise(0.5)
     total = unigram.agg(F.struct(F.sum("c").alias("n"), F.count("*").alias("v"))).scalar()
     smoothed = (F.coalesce("c", F.lit(0)) + alpha) / (total["n"] + alpha * (total["v"] + 1))
     return fan_out(counted, MODELS).select(
-        "model_id", "example_id", (F.col("pos") + 1).alias("pos"), F.ln(smoothed).alias("logprob")
+        "model_id", "example_id", F.ln(smoothed).alias("logprob"), "n"
     )
 
 

@@ -249,11 +249,15 @@ def full_board(source: str) -> str:
 FROM {source} GROUP BY model_id"""
 
 
-WITH_SIMILARITY = """with_similarity AS (SELECT s.model_id, s.example_id, s.token_f1,
-  v.answer_similarity FROM scored s
+def similarity(source: str, out: str) -> str:
+    return f"""{out} AS (SELECT s.model_id, s.example_id, s.token_f1,
+  v.answer_similarity FROM {source} s
   LEFT JOIN vec_pairs v ON v.example_id = (s.example_id // 1000000000 * 31
     + s.example_id % 1000000000) % (SELECT count(*) FROM embeddings))"""
 
+
+WITH_SIMILARITY = similarity("scored", "with_similarity")
+
 ORACLES["embedding_cosine"] = with_(VEC_PAIRS) + """SELECT example_id,
   round(answer_similarity, 6) AS answer_similarity FROM vec_pairs"""
 ORACLES["valid_pairs"] = with_(*SCORED) + """SELECT model_id, example_id,
@@ -402,6 +406,31 @@ ORACLES["top_candidates"] = with_(*SCORED, board("scored", "board"), LINEAGE) +
 ORACLES["cross_model_means"] = with_(*SCORED, board("scored", "board")) + """SELECT
   count(*) AS models, round(avg(token_f1_mean), 6) AS token_f1_mean_avg,
   round(avg(token_f1_std), 6) AS token_f1_std_avg FROM board"""
+MEMORY_SETUPS = """memory_setups AS (SELECT model_id, vram_peak_reserved_mb AS l,
+  CASE WHEN model_id <> 'm4' THEN vram_peak_reserved_mb * CAST(0.44 AS DOUBLE) END AS r
+  FROM peak_memory)"""
+ORACLES["quant_memory"] = with_(BATCH_ROWS, PEAK_MEMORY, MEMORY_SETUPS) + """SELECT model_id,
+  round(l, 6) AS vram_peak_reserved_mb_left, round(r, 6) AS vram_peak_reserved_mb_right,
+  round(r - l, 6) AS vram_peak_reserved_mb_change FROM memory_setups"""
+ORACLES["quant_memory_means"] = with_(BATCH_ROWS, PEAK_MEMORY, MEMORY_SETUPS) + """SELECT
+  round(avg(l), 6) AS vram_peak_reserved_mb_left, round(avg(r), 6) AS vram_peak_reserved_mb_right,
+  round(100 * (avg(r) / avg(l) - 1), 6) AS vram_peak_reserved_mb_change_percent
+FROM memory_setups"""
+ORACLES["cross_model_telemetry"] = with_(BATCH_ROWS, RUN_TELEMETRY, PEAK_MEMORY) + """SELECT
+  count(*) AS models, round(avg(vram_peak_reserved_mb), 6) AS vram_peak_reserved_mb_avg,
+  round(avg(vram_peak_allocated_mb), 6) AS vram_peak_allocated_mb_avg,
+  round(avg(generation_tokens_per_second), 6) AS generation_tokens_per_second_avg
+FROM run_telemetry JOIN peak_memory USING (model_id)"""
+ORACLES["quant_similarity"] = with_(
+    *SCORED, VEC_PAIRS, WITH_SIMILARITY, LOW_PRECISION, scored("low_precision", "low_scored"),
+    similarity("low_scored", "low_similarity"),
+    """boards AS (SELECT model_id, avg(a.token_f1) AS fl, avg(b.token_f1) AS fr,
+  avg(a.answer_similarity) AS sl, avg(b.answer_similarity) AS sr
+  FROM with_similarity a JOIN low_similarity b USING (model_id, example_id) GROUP BY model_id)""",
+) + """SELECT round(avg(fl), 6) AS token_f1_mean_left, round(avg(fr), 6) AS token_f1_mean_right,
+  round(avg(sl), 6) AS answer_similarity_mean_left, round(avg(sr), 6) AS answer_similarity_mean_right,
+  round(100 * (avg(fr) / avg(fl) - 1), 6) AS token_f1_mean_change_percent,
+  round(100 * (avg(sr) / avg(sl) - 1), 6) AS answer_similarity_mean_change_percent FROM boards"""
 ORACLES["disagreement_report"] = with_(*SCORED, VEC_PAIRS, WITH_SIMILARITY) + """SELECT model_id,
   example_id, round(token_f1, 6) AS token_f1, round(answer_similarity, 6) AS answer_similarity,
   round(gap, 6) AS gap, gap_rank FROM (SELECT *, row_number() OVER (

@@ -561,6 +561,41 @@ def quant_means(spark, sf):
     return rounded(compare.setup_means(_setups(spark, sf), "token_f1_mean"))
 
 
+def _memory_setups(spark, sf):
+    full = _memory(spark, sf)
+    small = full.withColumn("vram_peak_reserved_mb", F.col("vram_peak_reserved_mb") * 0.44)
+    # A model that was measured in one setup only.
+    small = small.filter(F.col("model_id") != "m4")
+    return compare.compare_setups(full, small, "vram_peak_reserved_mb")
+
+
+@query
+def quant_memory(spark, sf):
+    return rounded(_memory_setups(spark, sf))
+
+
+@query
+def quant_memory_means(spark, sf):
+    return rounded(compare.setup_means(_memory_setups(spark, sf), "vram_peak_reserved_mb"))
+
+
+@query
+def cross_model_telemetry(spark, sf):
+    board = _memory(spark, sf).join(_telemetry(spark, sf), "model_id")
+    metrics = ("vram_peak_reserved_mb", "vram_peak_allocated_mb", "generation_tokens_per_second")
+    return rounded(summary.cross_model_means(board, *metrics))
+
+
+@query
+def quant_similarity(spark, sf):
+    boards = []
+    for source in (inputs.predictions, inputs.low_precision):
+        scored = scoring.score_answers(source(spark, sf)).select("model_id", "example_id", "token_f1")
+        boards.append(summary.summarize_predictions(inputs.with_similarity(spark, sf, scored)))
+    metrics = ("token_f1_mean", "answer_similarity_mean")
+    return rounded(compare.setup_means(compare.compare_setups(*boards, *metrics), *metrics))
+
+
 @query
 def top_candidates(spark, sf):
     best = leaderboard.top_candidates(
