@@ -26,7 +26,7 @@ from evalweave.llm.words import NOT_SPACE, slices, text_bytes, words
 
 # Counts up to this one are discounted.
 LARGEST_DISCOUNTED = 5
-TOKENS_AT_ONCE = 4_000_000
+TOKENS_AT_ONCE = 2_000_000
 _END = np.uint64(0)
 RARE = 0  # number of the class of all words outside the vocabulary
 

@@ -73,7 +73,7 @@ def plain(texts, least_share):
     return rows, table
 
 
-@pytest.mark.parametrize("least_share, chunk", [(0.01, 4_000_000), (0.05, 300), (0.9, 10)])
+@pytest.mark.parametrize("least_share, chunk", [(0.01, 2_000_000), (0.05, 300), (0.9, 10)])
 def test_scores(spark, texts, monkeypatch, least_share, chunk):
     monkeypatch.setattr(katz, "TOKENS_AT_ONCE", chunk)
     df = messy.docs(spark, texts).repartition(3)
