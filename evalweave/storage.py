@@ -64,8 +64,7 @@ def discard(spark: SparkSession) -> None:
     They are needed as long as a result that was derived from them is still to be read.
     """
     for path in _made.pop(spark.sparkContext.applicationId, []):
-        fs, location = _file_system(spark, path)
-        fs.delete(location, True)
+        delete(spark, path)
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -79,20 +78,31 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(location)
 
 
+def children(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """Names of all folders and files under a path with a prefix."""
+    fs, location = _file_system(spark, path)
+    if not fs.exists(location):
+        return []
+    names = [status.getPath().getName() for status in fs.listStatus(location)]
+    return sorted(name for name in names if name.startswith(prefix))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder and all it holds, if it exists."""
+    fs, location = _file_system(spark, path)
+    fs.delete(location, True)
+
+
 _VERSION = "version-"
 
 
 def newest_version(spark: SparkSession, path: str) -> tuple[int, str | None]:
     """Number and content of the newest published version; ``(0, None)`` before the first."""
-    fs, location = _file_system(spark, path)
-    if not fs.exists(location):
-        return 0, None
-    names = [status.getPath().getName() for status in fs.listStatus(location)]
-    numbers = [int(name.removeprefix(_VERSION)) for name in names if name.startswith(_VERSION)]
-    if not numbers:
+    names = children(spark, path, _VERSION)
+    if not names:
         return 0, None
-    marker = f"{path}/{_VERSION}{max(numbers):010d}"
-    return max(numbers), spark.read.text(marker, wholetext=True).first()[0]
+    content = spark.read.text(f"{path}/{names[-1]}", wholetext=True).first()[0]
+    return int(names[-1].removeprefix(_VERSION)), content
 
 
 def publish_version(spark: SparkSession, path: str, number: int, content: str) -> bool:

@@ -2,9 +2,14 @@
 
 Each micro-batch is stored under its batch id and only the models it touched are
 summarized again, because a median can not be merged from parts. A replayed batch
-overwrites its own partition and yields the same board, so the result does not depend
+overwrites its own folder and yields the same board, so the result does not depend
 on where a run was interrupted.
 
+Rows are laid out by a hash of the model, so a store has a fixed number of folders per
+batch, and after every ``BATCHES_KEPT`` batches the store is rewritten as one: only the
+newest evaluation of every example stays. The rewritten store is published as a version
+that names its folder and the last batch in it; readers take it and the batches after it.
+
 An evaluation may arrive in any number of files and batches: rows carry
 ``evaluation``, a number that grows when a model is evaluated anew, and only the rows
 of a model's newest evaluation count.
@@ -12,14 +17,17 @@ of a model's newest evaluation count.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import uuid
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from evalweave.functions.text import model_slug
-from evalweave.operators.joins import lookup_groups, salted_join
+from evalweave.operators.joins import group_join, lookup_groups
 from evalweave.operators.scoring import score_answers
 from evalweave.operators.summary import summarize_predictions
 from evalweave.sources.leaderboards import update_leaderboard
+from evalweave.storage import children, delete, newest_version, publish_version
 
 KEY = ["model_id", "evaluation", "example_id"]
 SUMMARIZED = (
@@ -29,38 +37,87 @@ SUMMARIZED = (
     "reference_answer_token_perplexity",
     "reference_answer_tokens",
 )
-# Up to so many models a batch's models are named in a filter, which prunes the store's
-# partitions; beyond that they are joined.
-MAX_NAMED_MODELS = 1000
+# Folders of a batch, each with the models of one hash value.
+BUCKETS = 32
+# Batches that are stored one by one before the store is rewritten.
+BATCHES_KEPT = 16
+
+
+def _bucket(model_id: Column) -> Column:
+    return F.pmod(F.xxhash64(model_id), F.lit(BUCKETS)).cast("int")
+
+
+def _merged(spark: SparkSession, store: str) -> tuple[int, int, str | None]:
+    """The newest rewrite's version, the last batch in it and its folder."""
+    version, content = newest_version(spark, f"{store}/merged")
+    if content is None:
+        return 0, -1, None
+    last, _, folder = content.partition(" ")
+    return version, int(last), folder
+
+
+def _write(rows: DataFrame, path: str) -> None:
+    rows.hint("rebalance", "bucket").write.partitionBy("bucket").mode("overwrite").parquet(path)
+
+
+def read_store(spark: SparkSession, store: str, schema: T.StructType) -> DataFrame:
+    """All rows of the store: the newest rewrite and the batches after it."""
+    _, last, folder = _merged(spark, store)
+    names = children(spark, f"{store}/batches", "batch-")
+    paths = [f"{store}/batches/{n}" for n in names if int(n.removeprefix("batch-")) > last]
+    paths += [f"{store}/{folder}"] if folder else []
+    # Folders differ in depth from the store, hence one read each.
+    parts = [spark.read.schema(schema).parquet(path) for path in paths]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def store_batch(batch: DataFrame, batch_id: int, store: str) -> DataFrame:
     """Score a batch, write it under its batch id, replacing an earlier attempt, and
-    return the whole store."""
-    scored = (
-        score_answers(batch)
-        .withColumn("model_slug", model_slug(F.col("model_id")))
-        .withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        .hint("rebalance", "model_slug")
-    )
-    (
-        scored.write.partitionBy("batch_id", "model_slug")
-        .mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .parquet(store)
+    return the whole store. A batch that a rewrite already holds is not written again."""
+    scored = score_answers(batch).withColumns(
+        {
+            "bucket": _bucket(F.col("model_id")),
+            "batch_id": F.lit(batch_id).cast("bigint"),
+        }
     )
-    return batch.sparkSession.read.schema(scored.schema).parquet(store)
-
-
-def newest_evaluation(stored: DataFrame) -> DataFrame:
+    spark = batch.sparkSession
+    if batch_id > _merged(spark, store)[1]:
+        _write(scored, f"{store}/batches/batch-{batch_id}")
+    return read_store(spark, store, scored.schema)
+
+
+def compact(spark: SparkSession, store: str, schema: T.StructType) -> None:
+    """Rewrite the store as one folder if ``BATCHES_KEPT`` batches came since the last time.
+
+    The folders of the rewrite before and of its batches are deleted only after the new one
+    is published; a crash in between leaves folders that the next rewrite deletes.
+    """
+    version, last, before = _merged(spark, store)
+    numbers = [int(n.removeprefix("batch-")) for n in children(spark, f"{store}/batches", "batch-")]
+    new = [n for n in numbers if n > last]
+    if len(new) < BATCHES_KEPT:
+        return
+    rows = newest_evaluation(read_store(spark, store, schema), keep_batch=True)
+    folder = f"rewrite-{uuid.uuid4().hex}"
+    _write(rows.withColumn("bucket", _bucket(F.col("model_id"))), f"{store}/{folder}")
+    publish_version(spark, f"{store}/merged", version + 1, f"{max(new)} {folder}")
+    for n in numbers:
+        delete(spark, f"{store}/batches/batch-{n}")
+    for name in children(spark, store, "rewrite-"):
+        if name != folder:
+            delete(spark, f"{store}/{name}")
+
+
+def newest_evaluation(stored: DataFrame, keep_batch: bool = False) -> DataFrame:
     """Rows of each model's newest evaluation; a re-delivered example replaces itself."""
     newest = stored.groupBy("model_id").agg(F.max("evaluation").alias("newest"))
     current = lookup_groups(stored, newest, ["model_id"], ["example_id"]).filter(
         F.col("evaluation") == F.col("newest")
     )
-    rest = [c for c in stored.columns if c not in KEY and c != "batch_id"]
+    rest = [c for c in stored.columns if c not in (*KEY, "batch_id")]
     last = F.max(F.struct("batch_id", *rest)).alias("row")
-    return current.groupBy(*KEY).agg(last).select(*KEY, "row.*")
+    rows = current.groupBy(*KEY).agg(last).select(*KEY, "row.*")
+    return rows.select(*stored.columns) if keep_batch else rows
 
 
 def apply_batch(
@@ -69,16 +126,16 @@ def apply_batch(
     """Store a batch and bring its models' leaderboard rows up to date."""
     stored = store_batch(batch, batch_id, store)
     # Texts are not needed for the summary and stay out of its shuffles.
-    stored = stored.select(
-        "model_slug", "batch_id", *KEY, *[c for c in SUMMARIZED if c in stored.columns]
-    )
-    touched = stored.filter(F.col("batch_id") == batch_id).select("model_slug").distinct()
-    names = [row[0] for row in touched.limit(MAX_NAMED_MODELS + 1).collect()]
-    if len(names) <= MAX_NAMED_MODELS:
-        affected = stored.filter(F.col("model_slug").isin(names))
-    else:
-        affected = salted_join(stored, touched, ["model_slug"], ["example_id"], "left_semi")
+    summarized = [c for c in SUMMARIZED if c in stored.columns]
+    rows = stored.select("bucket", "batch_id", *KEY, *summarized)
+    touched = batch.select("model_id").distinct()
+    # The buckets of the touched models prune the store's folders; there are few of them.
+    buckets = [r[0] for r in touched.select(_bucket(F.col("model_id"))).distinct().collect()]
+    affected = group_join(
+        rows.filter(F.col("bucket").isin(buckets)), touched, ["model_id"], "left_semi"
+    ).drop("bucket")
     update_leaderboard(summarize_predictions(newest_evaluation(affected)), board, schema)
+    compact(batch.sparkSession, store, stored.schema)
 
 
 def start_leaderboard_stream(

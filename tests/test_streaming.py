@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 from pyspark.sql import functions as F, types as T
 
@@ -50,9 +52,9 @@ def expected(*deliveries):
     return board_of(summarize_predictions(score_answers(rows)))
 
 
-@pytest.mark.parametrize("named", [1000, 0])
-def test_stream_equals_batch(spark, folders, monkeypatch, named):
-    monkeypatch.setattr(stream, "MAX_NAMED_MODELS", named)
+@pytest.mark.parametrize("kept", [16, 2])
+def test_stream_equals_batch(spark, folders, monkeypatch, kept):
+    monkeypatch.setattr(stream, "BATCHES_KEPT", kept)
     a = delivery(spark, "org/a", 1, range(10), "word{i} x")
     a_rest = delivery(spark, "org/a", 1, range(10, 15), "other")
     b = delivery(spark, "org/b", 1, range(15), "word{i}")
@@ -65,7 +67,9 @@ def test_stream_equals_batch(spark, folders, monkeypatch, named):
     assert run(spark, folders) == expected(a_again, b)
 
 
-def test_replayed_and_redelivered_batches_change_nothing(spark, folders):
+@pytest.mark.parametrize("kept", [16, 1])
+def test_replayed_and_redelivered_batches_change_nothing(spark, folders, monkeypatch, kept):
+    monkeypatch.setattr(stream, "BATCHES_KEPT", kept)
     a = delivery(spark, "org/a", 1, range(10), "word{i} x")
     store, board = folders["store"], folders["board"]
     for batch_id in (0, 0, 1, 0):
@@ -75,3 +79,16 @@ def test_replayed_and_redelivered_batches_change_nothing(spark, folders):
     stream.apply_batch(corrected, 2, store, board, BOARD)
     rest = a.filter(F.col("example_id") != 3)
     assert board_of(read_leaderboard(spark, board, BOARD)) == expected(rest, corrected)
+
+
+def test_the_store_does_not_grow_in_folders(spark, folders, monkeypatch):
+    monkeypatch.setattr(stream, "BATCHES_KEPT", 3)
+    store, board = folders["store"], folders["board"]
+    seen = []
+    for batch_id in range(8):
+        part = delivery(spark, f"org/m{batch_id % 2}", batch_id // 4, range(5), "word{i} x")
+        stream.apply_batch(part, batch_id, store, board, BOARD)
+        seen.append(sum(len(folders) for _, folders, _ in os.walk(store)))
+    assert max(seen[4:]) <= max(seen[:4]) + 2
+    last = [delivery(spark, f"org/m{i}", 1, range(5), "word{i} x") for i in range(2)]
+    assert board_of(read_leaderboard(spark, board, BOARD)) == expected(*last)
