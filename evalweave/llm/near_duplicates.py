@@ -315,10 +315,19 @@ def join(
         .withColumn("root", F.coalesce("root", "class"))
     )
     firsts = grouped.groupBy("root").agg(F.min("first_row").alias("group_row"))
-    known = (
+    # Written, so that the next join reads both its sides from shuffles of their own: only
+    # then can adaptive execution split the rows of a class with many copies.
+    known = written(
         grouped.join(firsts, "root")
         .join(links, "class", "left")
-        .select("class", "first_row", "n_copies", "group_row", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        .select(
+            "class",
+            "first_row",
+            "n_copies",
+            "group_row",
+            F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        ),
+        "known-classes",
     )
     result = signed.select("row", "class").join(known, "class", "left")
     return result.select(
