@@ -172,7 +172,7 @@ def train(
     """Fit to ``(label, measures, lengths)`` of texts.
 
     Only texts are labelled. Lines start with the label of their text; then lines of bad
-    texts that look good are relabelled, except each text's worst, and the fit goes on.
+    texts that surely look good are relabelled, except each text's worst, and the fit goes on.
     """
     texts = [t for t in texts if len(t[2])]
     field = Field(np.zeros(3 * N_OWN), np.zeros(2), np.zeros((2, 2)))
@@ -192,14 +192,16 @@ def train(
     for turn in range(settings.rounds):
         if turn:
             good, _, _ = marginals(x @ field.weights, first, field)
-            y = np.where((label == 0) & (good > 0.5), 1.0, label)
+            y = np.where((label == 0) & (good > 0.9), 1.0, label)
             for a, b in zip(first[:-1], first[1:]):
                 if label[a] == 0:
                     y[a + int(good[a:b].argmin())] = 0.0
         seen = np.zeros((2, 2))
         np.add.at(seen, (y[inner].astype(int), y[inner + 1].astype(int)), 1)
         opening = np.array([(1 - y[opens]).sum(), y[opens].sum()])
-        for _ in range(settings.steps):
+        for turn_step in range(settings.steps):
+            # Shrinking steps settle; steps of one size would swing around the optimum.
+            rate = settings.rate * (1 - turn_step / settings.steps)
             good, moved, began = marginals(x @ field.weights, first, field)
             steps = [
                 x.T @ ((y - good) * weight) / len(y) - settings.penalty * field.weights,
@@ -210,7 +212,7 @@ def train(
                 zip((field.weights, field.moves, field.first), steps)
             ):
                 sums[k] = 0.9 * sums[k] + 0.1 * step**2
-                value += settings.rate * step / (np.sqrt(sums[k]) + 1e-3)
+                value += rate * step / (np.sqrt(sums[k]) + 1e-3)
     return field
 
 
