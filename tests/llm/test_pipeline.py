@@ -37,7 +37,7 @@ def sf_dir(spark, tmp_path_factory):
     for i in range(0, 60, 5):  # the same words on other lines, and a changed one
         words = docs[i][1].split()
         words[rng.randrange(len(words))] = word()
-        docs.append((1000 + i, "\n".join(" ".join(words[k : k + 17]) for k in range(0, len(words), 17))))
+        docs.append((1000 + i, "\n".join(" ".join(words[k : k + 4]) for k in range(0, len(words), 4))))
     docs += [(2000 + i, docs[2 * i][1]) for i in range(10)] + [(3000, ""), (3001, None)]
     rows = [(i, t, "xx", "s", None if t is None else len(t)) for i, t in docs]
     path = str(tmp_path_factory.mktemp("tables"))
