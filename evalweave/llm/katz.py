@@ -1,12 +1,13 @@
 """LM scoring by a Katz backoff model with Good-Turing discounts.
 
-Frequent words are modelled by their predecessor, all others as one class whose words follow
-their discounted unigram shares, so that probabilities sum to exactly one over all known
-words and one unknown one. Texts are cut into chunks of some million tokens. A chunk asks
-for the corpus counts of its distinct words, and then of its distinct word pairs; counts
-are summed over a table of those requests, partitioned by n-gram, and go back with the
-chunk's number. Every token is then evaluated: its pair if seen in training, else the
-backoff weight of the predecessor times the share of the word.
+Every word of the training rows is modelled by its predecessor; probabilities sum to exactly
+one over all known words and one unknown one. Texts are cut into chunks of some million
+tokens. A chunk asks for the corpus counts of its distinct words, then for those of its
+distinct word pairs and for what its words leave as predecessors; counts are summed over a
+table of those requests, partitioned by n-gram, and go back with the chunk's number. Every
+token is then evaluated: its pair if seen in training, else the backoff weight of the
+predecessor times the share of the word. Nothing that grows with the number of words or
+pairs reaches the driver.
 """
 
 from __future__ import annotations
@@ -18,27 +19,27 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evalweave.llm.labelled import fold
 from evalweave.llm.shared import written
-from evalweave.llm.words import NOT_SPACE, slices, text_bytes, words
+from evalweave.llm.words import NOT_SPACE, mixed, slices, text_bytes, words
 
 # Counts up to this one are discounted.
 LARGEST_DISCOUNTED = 5
 TOKENS_AT_ONCE = 2_000_000
 _END = np.uint64(0)
-RARE = 0  # number of the class of all words outside the vocabulary
+# Numbers of a chunk's classes: words that are not modelled one by one, and a text's start.
+RARE, START = 0, 1
+# What takes the place of a word's hash for these two.
+_RARE_NAME, _START_NAME = 1, 2
 
 
 @dataclass(frozen=True)
 class Settings:
-    """A word of at least this share of the training tokens is in the vocabulary.
+    """Words below ``least_share`` of the training tokens share one class; by default none does."""
 
-    The vocabulary has ``1 / least_share`` words at most, whatever the corpus.
-    """
-
-    least_share: float = 2e-5
+    least_share: float = 0.0
     training_fold: int = 1  # documents of this fold are not learnt from
 
 
@@ -77,29 +78,19 @@ def discounts(counts_of_counts: dict[int, int], total: int) -> Discounts:
     return Discounts(total, ratios, left)
 
 
-@dataclass(frozen=True)
-class Contexts:
-    """Totals, scales of discounted counts, and backoff weights by context class."""
-
-    totals: np.ndarray
-    scale: np.ndarray
-    backoffs: np.ndarray
-
-    @staticmethod
-    def of(n: int, rows: list[tuple[int, int, float, float]]) -> Contexts:
-        """From ``(context, total, kept, lower)``: counts, discounted, shares of followers.
-
-        Discounts leave at least the mass of one token, or none if every class follows; the
-        weight spreads exactly what is left over the classes that do not follow.
-        """
-        found = Contexts(np.ones(n), np.ones(n), np.ones(n))
-        for context, total, kept, lower in rows:
-            mass, unseen = kept / total, 1 - lower
-            open_ = unseen > 1e-12
-            scale = min(1.0, total / (total + 1) / mass) if open_ else 1 / mass
-            found.totals[context], found.scale[context] = total, scale
-            found.backoffs[context] = (1 - scale * mass) / unseen if open_ else 0.0
-        return found
+def backoffs(
+    total: np.ndarray, kept: np.ndarray, lower: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Scales of discounted counts and backoff weights of predecessors.
+
+    From their followers' counts, discounted counts and unigram shares. Discounts leave at
+    least the mass of one token, or none if every class follows; the weight spreads exactly
+    what is left over the classes that do not follow.
+    """
+    mass, unseen = kept / total, 1 - lower
+    open_ = unseen > 1e-12
+    scale = np.where(open_, np.minimum(1.0, total / (total + 1) / mass), 1 / mass)
+    return scale, np.where(open_, (1 - scale * mass) / np.where(open_, unseen, 1), 0.0)
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -205,15 +196,28 @@ def _counts_of_counts(counted: DataFrame) -> tuple[dict[int, int], int, int]:
     return few, row["total"], row["kinds"]
 
 
-def _pairs(row_lengths: np.ndarray, classes: np.ndarray, start: int) -> np.ndarray:
-    """Each token's pair: the class before it, or ``start``, and its own class."""
+def _pairs(row_lengths: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Each token's pair: the class before it, or ``START``, and its own class."""
     before = np.empty_like(classes)
     before[1:] = classes[:-1]
     first = np.cumsum(row_lengths) - row_lengths
-    before[first] = start
+    before[first] = START
     return before.astype(np.int64) << 32 | classes
 
 
+def _pair_names(contexts: np.ndarray, words_: np.ndarray) -> np.ndarray:
+    """64-bit hashes of pairs of words' hashes."""
+    names = contexts.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + words_.view(np.uint64)
+    return mixed(names).view(np.int64)
+
+
+def _ratio(found: Discounts, counts: Column) -> Column:
+    """The discount ratio of each count."""
+    last = len(found.ratios) - 1
+    ratios = F.array(*(F.lit(float(r)) for r in found.ratios))
+    return F.element_at(ratios, F.least(counts, F.lit(last)).cast("int") + 1)
+
+
 def score(
     docs: DataFrame,
     settings: Settings = Settings(),
@@ -228,7 +232,6 @@ def score(
     row; without training rows all tokens are unknown; other columns are ignored whatever
     their names. A task holds one chunk of ``TOKENS_AT_ONCE`` tokens, or one text.
     """
-    spark = docs.sparkSession
     id_kind = docs.schema[id_col].dataType.simpleString()
     chunks = written(_chunks(docs, settings, id_col, text_col), "lm-chunks")
     n_learnt = chunks.agg(F.coalesce(F.sum("n_learnt"), F.lit(0))).first()[0]
@@ -253,124 +256,141 @@ def score(
     requests = chunks.select("chunk", "kinds", "trained").mapInArrow(
         word_requests, "chunk long, place int, word long, n int"
     )
-    # Only words of the vocabulary are needed by name later on.
     unigrams = written(
-        _counted(requests, ["word"]).select(
-            "chunk", "place", "c", "first", F.when(F.col("c") >= least, F.col("word")).alias("word")
-        ),
-        "lm-unigrams",
+        _counted(requests, ["word"]).select("chunk", "place", "word", "c", "first"), "lm-unigrams"
     )
     few, total, n_kinds = _counts_of_counts(unigrams)
     uni = discounts(few, total)
-    # At most 1 / least_share rows.
-    vocabulary = sorted(
-        (r.word, r.c) for r in unigrams.filter("first AND word IS NOT NULL").select("word", "c").collect()
-    )
-    known = np.array([w for w, _ in vocabulary], np.int64)
-    n_start = len(known) + 1
-    # Share of each class: of the rare one at RARE, then of the vocabulary.
-    shares = uni.share(np.array([0] + [c for _, c in vocabulary], np.int64)) / max(total, 1)
-    shares[RARE] = max(1 - shares.sum(), 1e-300)
+    own = F.col("c") * _ratio(uni, F.col("c"))
+    frequent = unigrams.filter(F.col("first") & (F.col("c") >= least)).agg(F.sum(own)).first()[0]
+    rare_share = max(1 - (frequent or 0.0) / max(total, 1), 1e-300)
     floor = np.log10(total + 0.5 * (n_kinds + 1))
 
     def classify(left: pa.Table, right: pa.Table) -> pa.Table:
         """Replace a chunk's tokens by their classes and sum up what unigrams decide."""
         counts = np.zeros(len(right), np.int64)
-        names = np.zeros(len(right), np.int64)
-        place = right["place"].to_numpy()
-        counts[place] = right["c"].to_numpy()
-        frequent = right["word"].is_valid().to_numpy()
-        names[place] = right["word"].fill_null(0).to_numpy()
-        spot = np.flatnonzero(np.isin(np.arange(len(right)), place[frequent]))
-        kind_class = np.full(len(right), RARE)
-        kind_class[spot] = np.searchsorted(known, names[spot]) + 1
+        counts[right["place"].to_numpy()] = right["c"].to_numpy()
+        kind_class = np.where(counts >= least, np.arange(len(right)) + 2, RARE)
         chance = np.where(counts > 0, uni.share(counts) / max(total, 1), uni.left)
-        inside = np.where(kind_class == RARE, np.log10(chance / shares[RARE]), 0.0)
+        inside = np.where(kind_class == RARE, np.log10(chance / rare_share), 0.0)
         base = np.log10(counts + 0.5) - floor
-        out = {k: [] for k in ("classes", "base", "inside", "n_known")}
+        out = {k: [] for k in ("classes", "class_counts", "base", "inside", "n_known")}
         for tokens, lengths in zip(left["tokens"].to_pylist(), left["lengths"].to_pylist()):
             tokens, lengths = _unpacked(tokens), _unpacked(lengths)
             first = np.cumsum(lengths) - lengths
             out["classes"].append(_packed(kind_class[tokens]))
+            out["class_counts"].append(np.concatenate(([0, 0], counts)).tobytes())
             out["base"].append(np.add.reduceat(base[tokens], first).tolist())
             out["inside"].append(np.add.reduceat(inside[tokens], first).tolist())
             out["n_known"].append(np.add.reduceat((counts > 0)[tokens].astype(np.int64), first).tolist())
-        table = left.select(["chunk", "ids", "held_out", "lengths"])
-        for name, kind in (("classes", pa.binary()), ("base", pa.list_(pa.float64())), ("inside", pa.list_(pa.float64())), ("n_known", pa.list_(pa.int64()))):
+        table = left.select(["chunk", "ids", "held_out", "lengths", "kinds"])
+        for name, kind in (("classes", pa.binary()), ("class_counts", pa.binary()), ("base", pa.list_(pa.float64())), ("inside", pa.list_(pa.float64())), ("n_known", pa.list_(pa.int64()))):
             table = table.append_column(name, pa.array(out[name], kind))
         return table
 
-    asked = chunks.select("chunk", "ids", "held_out", "lengths", "tokens").groupBy("chunk")
+    asked = chunks.select("chunk", "ids", "held_out", "lengths", "kinds", "tokens").groupBy("chunk")
     classed = written(
-        asked.cogroup(unigrams.select("chunk", "place", "c", "word").groupBy("chunk")).applyInArrow(
+        asked.cogroup(unigrams.select("chunk", "place", "c").groupBy("chunk")).applyInArrow(
             classify,
-            f"chunk long, ids array<{id_kind}>, held_out array<boolean>, lengths binary, "
-            "classes binary, base array<double>, inside array<double>, n_known array<long>",
+            f"chunk long, ids array<{id_kind}>, held_out array<boolean>, lengths binary, kinds binary, "
+            "classes binary, class_counts binary, base array<double>, inside array<double>, n_known array<long>",
         ),
         "lm-classes",
     )
 
     def pair_requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, out, lengths, classes in zip(*(c.to_pylist() for c in batch.columns)):
+            for chunk, out, lengths, kinds, classes, class_counts in zip(*(c.to_pylist() for c in batch.columns)):
                 lengths = _unpacked(lengths)
-                pairs, number = np.unique(_pairs(lengths, _unpacked(classes), n_start), return_inverse=True)
+                pairs, number = np.unique(_pairs(lengths, _unpacked(classes)), return_inverse=True)
                 learnt = np.repeat(~np.asarray(out, bool), lengths)
                 trained = np.bincount(number[learnt], minlength=len(pairs)).astype(np.int32)
+                names = np.concatenate(([_RARE_NAME, _START_NAME], np.frombuffer(kinds, np.int64)))
+                follower_counts = np.frombuffer(class_counts, np.int64)
                 for at in range(0, len(pairs), 100_000):
                     part = pairs[at : at + 100_000]
+                    context, word = names[part >> 32], part & 0xFFFFFFFF
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.full(len(part), chunk)),
                             pa.array(np.arange(at, at + len(part), dtype=np.int32)),
-                            pa.array(part),
+                            pa.array(_pair_names(context, names[word])),
                             pa.array(trained[at : at + 100_000]),
+                            pa.array(context),
+                            pa.array(follower_counts[word]),
                         ],
-                        ["chunk", "place", "pair", "n"],
+                        ["chunk", "place", "pair", "n", "context", "follower"],
                     )
 
-    requests = classed.select("chunk", "held_out", "lengths", "classes").mapInArrow(
-        pair_requests, "chunk long, place int, pair long, n int"
+    requests = classed.select("chunk", "held_out", "lengths", "kinds", "classes", "class_counts").mapInArrow(
+        pair_requests, "chunk long, place int, pair long, n int, context long, follower long"
     )
+    learnt = F.col("first") & (F.col("c") > 0)
     bigrams = written(
-        _counted(requests, ["pair"]).select("chunk", "place", "pair", "c", "first"), "lm-bigrams"
+        _counted(requests, ["pair"]).select(
+            "chunk",
+            "place",
+            "c",
+            "first",
+            F.when(learnt, F.col("context")).alias("context"),
+            F.when(learnt, F.col("follower")).alias("follower"),
+        ),
+        "lm-bigrams",
     )
     few, total_pairs, _ = _counts_of_counts(bigrams)
     bi = discounts(few, total_pairs)
-    ratio = F.element_at(
-        F.array(*(F.lit(float(r)) for r in bi.ratios)),
-        F.least(F.col("c"), F.lit(len(bi.ratios) - 1)).cast("int") + 1,
-    )
-    class_shares = spark.createDataFrame(
-        list(enumerate(shares.tolist())), "word int, share double"
-    )
-    # At most one row per class.
-    contexts = (
-        bigrams.filter("first AND c > 0")
-        .select(
-            F.shiftright("pair", 32).cast("int").alias("context"),
-            F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("word"),
-            "c",
-            (F.col("c") * ratio).alias("kept"),
-        )
-        .join(F.broadcast(class_shares), "word")
+    # The class of rare words has no count of its own here.
+    follower = F.col("follower")
+    share = F.when(follower == 0, rare_share).otherwise(follower * _ratio(uni, follower) / total)
+    contexts = written(
+        bigrams.filter(learnt)
         .groupBy("context")
-        .agg(F.sum("c").alias("total"), F.sum("kept").alias("kept"), F.sum("share").alias("lower"))
-        .collect()
+        .agg(
+            F.sum("c").alias("total"),
+            F.sum(F.col("c") * _ratio(bi, F.col("c"))).alias("kept"),
+            F.sum(share).alias("lower"),
+        ),
+        "lm-contexts",
+    )
+    two = {
+        r.context - _RARE_NAME: (r.total, r.kept, r.lower)
+        for r in contexts.filter(F.col("context").isin(_RARE_NAME, _START_NAME)).collect()
+    }
+    # One table of a chunk's answers: those on words as predecessors have negative places.
+    answers = bigrams.select(
+        "chunk", "place", "c", F.lit(0.0).alias("kept"), F.lit(0.0).alias("lower")
+    ).unionByName(
+        unigrams.filter(F.col("c") >= least)
+        .join(contexts.withColumnRenamed("context", "word"), "word")
+        .select("chunk", (-F.col("place") - 1).alias("place"), F.col("total").alias("c"), "kept", "lower")
     )
-    model = Contexts.of(n_start + 1, [(r.context, r.total, r.kept, r.lower) for r in contexts])
 
     def evaluate(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Score a chunk's documents from the counts of its distinct pairs."""
-        counts = np.zeros(len(right), np.int64)
-        counts[right["place"].to_numpy()] = right["c"].to_numpy()
+        """Score a chunk's documents from its distinct pairs and words."""
+        place, found_counts = right["place"].to_numpy(), right["c"].to_numpy()
+        of_pair = place >= 0
+        counts = np.zeros(int(of_pair.sum()), np.int64)
+        counts[place[of_pair]] = found_counts[of_pair]
         columns: dict[str, list] = {k: [] for k in ("id", "held_out", "n_tokens", "n_known", "base_score", "score")}
         for row in left.to_pylist():
+            class_counts = np.frombuffer(row["class_counts"], np.int64)
+            totals, scales, weights = (np.ones(len(class_counts)) for _ in range(3))
+            number = np.concatenate((1 - place[~of_pair], np.array(list(two), np.int64)))
+            stated = np.concatenate(
+                (
+                    np.stack([right[k].to_numpy()[~of_pair] for k in ("c", "kept", "lower")], 1),
+                    np.array(list(two.values()), float).reshape(-1, 3),
+                )
+            )
+            totals[number] = stated[:, 0]
+            scales[number], weights[number] = backoffs(*stated.T)
+            shares = uni.share(class_counts) / max(total, 1)
+            shares[RARE] = rare_share
             lengths, classes = _unpacked(row["lengths"]), _unpacked(row["classes"])
-            pairs, number = np.unique(_pairs(lengths, classes, n_start), return_inverse=True)
+            pairs, number = np.unique(_pairs(lengths, classes), return_inverse=True)
             context, word = pairs >> 32, pairs & 0xFFFFFFFF
-            seen = bi.share(counts) * model.scale[context] / model.totals[context]
-            chance = np.where(counts > 0, seen, model.backoffs[context] * shares[word])
+            seen = bi.share(counts) * scales[context] / totals[context]
+            chance = np.where(counts > 0, seen, weights[context] * shares[word])
             first = np.cumsum(lengths) - lengths
             value = np.add.reduceat(np.log10(chance)[number], first) + np.array(row["inside"])
             columns["id"] += row["ids"]
@@ -383,8 +403,9 @@ def score(
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(columns.items(), kinds)})
 
     found = (
-        classed.groupBy("chunk")
-        .cogroup(bigrams.select("chunk", "place", "c").groupBy("chunk"))
+        classed.drop("kinds")
+        .groupBy("chunk")
+        .cogroup(answers.groupBy("chunk"))
         .applyInArrow(
             evaluate,
             f"id {id_kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double",

@@ -103,3 +103,14 @@ def test_packed_integers():
     values = np.array([0, 1, 70_000, 2**31 - 1, 5], np.int32)
     assert katz._unpacked(katz._packed(values)).tolist() == values.tolist()
     assert katz._unpacked(katz._packed(np.zeros(0, int))).tolist() == []
+
+
+def test_every_word_is_a_predecessor(spark, texts):
+    # So many tokens that a share of 2e-5 of them is more than one.
+    filler = (next(i for i in range(1000, 1100) if not held_out(i)), "aa bb cc " * 40_000)
+    made = texts + [filler]
+    got = katz.score(messy.docs(spark, made).repartition(3)).collect()
+    want, table = plain(made, 0)
+    assert Counter((*r[:5], round(r[5], 6), round(r[6], 6)) for r in got) == want
+    learnt = {("word", t) for i, text in made if not held_out(i) for t in tokens(text)[:-1]}
+    assert learnt | {"start"} == set(table)
