@@ -231,6 +231,25 @@ def test_pigeonhole(spark):
     assert df.filter(~both).count() == 0
 
 
+@pytest.mark.parametrize("block", [512, 3])
+def test_all_lines_of_a_bucket_meet(spark, monkeypatch, block):
+    """Similar lines are found although others hold the ends of their buckets."""
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for pair in range(10):
+        words = [word() for _ in range(12)]
+        rows += [(4 * pair + 20, " ".join(words)), (4 * pair + 21, " ".join([*words[:-1], "x" + words[-1][1:]]))]
+    rows += [(0, " ".join(word() for _ in range(12))), (99, " ".join(word() for _ in range(12)))]
+    found = line_dedup.lines(messy.docs(spark, rows))
+    distinct = line_dedup.simhashes(found).withColumn("sim", F.lit(7).cast("long"))
+    distinct = distinct.withColumn("n_chars", F.lit(80))
+    of = {r.key: r.id for r in found.collect()}
+    got = {tuple(sorted((of[r.a], of[r.b]))) for r in line_dedup.similar_lines(found, distinct, 0.8).collect()}
+    assert got == {(4 * pair + 20, 4 * pair + 21) for pair in range(10)}
+
+
 def test_no_python_on_the_main_path(spark, line_texts):
     plan = line_dedup.simhashes(line_dedup.lines(messy.docs(spark, line_texts)))
     assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()
