@@ -244,12 +244,28 @@ def test_all_lines_of_a_bucket_meet(spark, monkeypatch, block):
     rows += [(0, " ".join(word() for _ in range(12))), (99, " ".join(word() for _ in range(12)))]
     found = line_dedup.lines(messy.docs(spark, rows))
     distinct = line_dedup.simhashes(found).withColumn("sim", F.lit(7).cast("long"))
-    distinct = distinct.withColumn("n_chars", F.lit(80))
+    distinct = distinct.withColumn("n_chars", F.lit(80)).withColumn("gram_sim", F.lit(7).cast("long"))
     of = {r.key: r.id for r in found.collect()}
     got = {tuple(sorted((of[r.a], of[r.b]))) for r in line_dedup.similar_lines(found, distinct, 0.8).collect()}
     assert got == {(4 * pair + 20, 4 * pair + 21) for pair in range(10)}
 
 
+def test_pigeonhole_of_unequal_lengths(spark):
+    """Hashes that differ in three bits share a key at all lengths that can be similar."""
+    rng = random.Random(18)
+    rows = []
+    for n in range(400):
+        a = rng.getrandbits(63)
+        b = a
+        for bit in rng.sample(range(63), 3):
+            b ^= 1 << bit
+        long = rng.randrange(10, 10_000) if n else 10
+        rows.append((a, b, long, -(-long * 4 // 5)))
+    df = spark.createDataFrame(rows, "a long, b long, m int, n int")
+    keys = [line_dedup.block_keys(F.col(c), F.col(n)) for c, n in ("am", "bn")]
+    assert df.filter(~F.arrays_overlap(*keys)).count() == 0
+
+
 def test_no_python_on_the_main_path(spark, line_texts):
     plan = line_dedup.simhashes(line_dedup.lines(messy.docs(spark, line_texts)))
     assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()
