@@ -266,6 +266,20 @@ def test_pigeonhole_of_unequal_lengths(spark):
     assert df.filter(~F.arrays_overlap(*keys)).count() == 0
 
 
+def test_long_lines_are_compared_by_characters(spark):
+    """Neither a long word counts as one edit, nor a letter as a whole word."""
+    rng = random.Random(19)
+    blob = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    words = [blob(5) for _ in range(9)]
+    many = [blob(8) for _ in range(600)]
+    rows = [
+        (1, " ".join([*words, blob(5000)]), " ".join([*words, blob(5000)])),
+        (2, " ".join(many), " ".join(w[:-1] + "x" if k % 3 == 0 else w for k, w in enumerate(many))),
+    ]
+    df = spark.createDataFrame(rows, "id int, x string, y string")
+    assert [r.id for r in line_dedup.within_edits(df, 0.8, ["id"]).collect()] == [2]
+
+
 def test_no_python_on_the_main_path(spark, line_texts):
     plan = line_dedup.simhashes(line_dedup.lines(messy.docs(spark, line_texts)))
     assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()
