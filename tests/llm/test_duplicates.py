@@ -280,6 +280,17 @@ def test_long_lines_are_compared_by_characters(spark):
     assert [r.id for r in line_dedup.within_edits(df, 0.8, ["id"]).collect()] == [2]
 
 
+def test_lines_of_few_words(spark):
+    """Repeated words, other white space and scripts without spaces take part."""
+    han = "".join(chr(0x4E00 + 37 * k) for k in range(60))
+    lines = ["one\ttwo\tthree\tfour\tfive\tsix\tseven\teight\tnine\tten", han]
+    pairs = [(line, line[:-1] + "z") for line in lines]
+    pairs.append(("alpha beta gamma delta " * 6, "alpha beta gamma delta " * 6 + "alpha"))
+    docs = messy.docs(spark, [(2 * k + e, pair[e]) for k, pair in enumerate(pairs) for e in (0, 1)])
+    got = {r.doc_id: r.dropped for r in line_dedup.duplicate_lines(docs).collect()}
+    assert got == {1: [0], 3: [0], 5: [0]}
+
+
 def test_no_python_on_the_main_path(spark, line_texts):
     plan = line_dedup.simhashes(line_dedup.lines(messy.docs(spark, line_texts)))
     assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()
