@@ -43,7 +43,7 @@ def layered_merge(base: DataFrame, overrides: DataFrame) -> DataFrame:
 
     A section replaces a value and a value replaces a section: base entries below or above
     an overridden key are dropped. Both tables are shuffled once, by run; a run's entries,
-    which make up one configuration, are merged within its row.
+    which make up one configuration, are merged within its row. A NULL key replaces nothing.
     """
     entry = F.struct("key", "value")
     side = lambda df, mine, other: df.select(
@@ -57,10 +57,12 @@ def layered_merge(base: DataFrame, overrides: DataFrame) -> DataFrame:
         .withColumn("values", F.transform("over", lambda e: e.key))
         .withColumn("sections", F.array_distinct(F.flatten(F.transform("values", _parents))))
     )
-    replaced = lambda e: (
+    # A NULL key makes these NULL if nothing matches: then nothing is replaced.
+    replaced = lambda e: F.coalesce(
         F.array_contains("values", e.key)
         | F.array_contains("sections", e.key)
-        | F.arrays_overlap("values", _parents(e.key))
+        | F.arrays_overlap("values", _parents(e.key)),
+        F.lit(False),
     )
     kept = F.filter("base", lambda e: ~replaced(e))
     return runs.select("run_id", F.explode(F.concat(kept, "over")).alias("e")).select(

@@ -96,3 +96,11 @@ def test_changed_keys(spark):
     assert as_dicts(config.changed_keys(table(spark, base), table(spark, over))) == {
         1: {"a.c": "2", "a.d": None}
     }
+
+
+def test_null_keys_and_runs(spark):
+    """A NULL key replaces no other key, and a NULL run is a run like others."""
+    base = spark.createDataFrame([(1, "a", "x"), (1, "b.c", "y"), (None, "a", "z"), (None, "d", "z")], SCHEMA)
+    over = spark.createDataFrame([(1, None, "n"), (1, "a", "new"), (None, "a.b", "m")], SCHEMA)
+    got = {tuple(r) for r in config.layered_merge(base, over).collect()}
+    assert got == {(1, "a", "new"), (1, "b.c", "y"), (1, None, "n"), (None, "a.b", "m"), (None, "d", "z")}
