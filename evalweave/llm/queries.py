@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from evalweave.llm import (
     contamination,
     katz,
+    lexical_search,
     line_dedup,
     line_quality,
     near_duplicates,
@@ -78,6 +79,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return lexical_search.search(docs, items, k=10)
+
+
 QUERIES = {
     "op1_contamination": op1_contamination,
     "op2_line_dedup": op2_line_dedup,
@@ -89,8 +95,10 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_secret_scan": op9_secret_scan,
     "op10_toxicity": op10_toxicity,
+    "op11_lexical_search": op11_lexical_search,
 }
 ORACLES = {
     "op1_contamination": contamination.oracle_sql(),
     "op6_quality_rules": quality_rules.oracle_sql(),
+    "op11_lexical_search": lexical_search.oracle_sql(k=10),
 }
