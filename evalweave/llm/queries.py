@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evalweave.llm import (
+    bpe_codec,
     contamination,
     katz,
     lexical_search,
@@ -84,6 +85,11 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(docs, items, k=10)
 
 
+def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return bpe_codec.digests(_table(spark, sf_dir, "documents"), tokenizer)
+
+
 QUERIES = {
     "op1_contamination": op1_contamination,
     "op2_line_dedup": op2_line_dedup,
@@ -96,6 +102,7 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_toxicity": op10_toxicity,
     "op11_lexical_search": op11_lexical_search,
+    "op12_bpe_codec": op12_bpe_codec,
 }
 ORACLES = {
     "op1_contamination": contamination.oracle_sql(),
