@@ -14,6 +14,7 @@ from evalweave.llm import (
     line_quality,
     near_duplicates,
     packing,
+    phrase_mining,
     quality_rules,
     secret_scan,
     token_counts,
@@ -90,6 +91,10 @@ def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(_table(spark, sf_dir, "documents"), tokenizer)
 
 
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.mine(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_contamination": op1_contamination,
     "op2_line_dedup": op2_line_dedup,
@@ -103,9 +108,11 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_lexical_search": op11_lexical_search,
     "op12_bpe_codec": op12_bpe_codec,
+    "op13_phrase_mining": op13_phrase_mining,
 }
 ORACLES = {
     "op1_contamination": contamination.oracle_sql(),
     "op6_quality_rules": quality_rules.oracle_sql(),
     "op11_lexical_search": lexical_search.oracle_sql(k=10),
+    "op13_phrase_mining": phrase_mining.oracle_sql(),
 }
