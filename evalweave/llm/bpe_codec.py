@@ -124,18 +124,23 @@ def _chunks(docs: DataFrame, path: str, buckets: int, id_kind: str) -> DataFrame
 
         def done() -> pa.RecordBatch:
             nonlocal numbers, ids, lengths, held, n_chunks
+            # Frequent words get small numbers, which compress well.
+            number = np.concatenate(held) if held else np.zeros(0, np.int32)
+            by_count = np.argsort(-np.bincount(number, minlength=len(numbers)), kind="stable")
+            rank = np.empty(len(by_count), np.int64)
+            rank[by_count] = np.arange(len(by_count))
             words = [w.encode() for w in numbers]
+            words = [words[i] for i in by_count]
             bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
             order = np.argsort(bucket, kind="stable")
-            place = np.empty(len(words), np.int64)
-            place[order] = np.arange(len(words))
             kinds, first = np.unique(bucket[order], return_index=True)
             lists = np.split(order, first[1:]) if len(kinds) else []
             row = [
                 pa.array([task << 20 | n_chunks], pa.int64()),
                 pa.ListArray.from_arrays(pa.array([0, len(lengths)], pa.int32()), pa.concat_arrays(ids)),
                 pa.array([pack(np.array(lengths, np.int64), "<i8")], pa.binary()),
-                pa.array([pack(place[np.concatenate(held)] if held else place)], pa.binary()),
+                pa.array([pack(rank[number])], pa.binary()),
+                pa.array([pack(bucket)], pa.binary()),
                 pa.array([kinds.tolist()], pa.list_(pa.int32())),
                 pa.array([[_listed([words[i] for i in some]) for some in lists]], pa.list_(pa.binary())),
             ]
@@ -157,10 +162,11 @@ def _chunks(docs: DataFrame, path: str, buckets: int, id_kind: str) -> DataFrame
         if ids:
             yield done()
 
-    names = ["chunk", "ids", "lengths", "numbers", "buckets", "words"]
+    names = ["chunk", "ids", "lengths", "numbers", "word_buckets", "buckets", "words"]
     return docs.mapInArrow(
         run,
-        f"chunk long, ids array<{id_kind}>, lengths binary, numbers binary, buckets array<int>, words array<binary>",
+        f"chunk long, ids array<{id_kind}>, lengths binary, numbers binary, word_buckets binary, "
+        "buckets array<int>, words array<binary>",
     )
 
 
@@ -259,7 +265,12 @@ def _evaluated(coded: tuple[DataFrame, DataFrame], path: str, id_col: str, id_ki
         for row in left.to_batches(max_chunksize=1):
             if not row.num_rows:
                 continue
-            numbers, words = unpack(row["numbers"][0].as_py()), unpack(row["lengths"][0].as_py(), "<i8")
+            words = unpack(row["lengths"][0].as_py(), "<i8")
+            # The answers hold a chunk's words by bucket, and by number within a bucket.
+            order = np.argsort(unpack(row["word_buckets"][0].as_py()), kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            numbers = place[unpack(row["numbers"][0].as_py())]
             ids = word_ids[runs(starts[numbers], n_ids[numbers])]
             before = np.concatenate(([0], np.cumsum(n_ids[numbers])))
             firsts = before[np.concatenate(([0], np.cumsum(words)))]
@@ -278,6 +289,6 @@ def _evaluated(coded: tuple[DataFrame, DataFrame], path: str, id_col: str, id_ki
     names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["id", "n_tokens", "ids", "decoded"]
     kinds = ("string", "string") if digests else ("binary", "string")
     schema = f"id {id_kind}, n_tokens long, {names[2]} {kinds[0]}, {names[3]} {kinds[1]}"
-    asked = chunks.select("chunk", "ids", "lengths", "numbers").groupBy("chunk")
+    asked = chunks.select("chunk", "ids", "lengths", "numbers", "word_buckets").groupBy("chunk")
     found = asked.cogroup(answers.groupBy("chunk")).applyInArrow(join, schema)
     return found.select(F.col("id").alias(id_col), *names[1:])

@@ -10,7 +10,7 @@ def pack(values: np.ndarray, kind: str = "<i4") -> bytes:
     """Integers as bytes, compressed plane by plane."""
     flat = np.ascontiguousarray(values, kind)
     planes = flat.view(np.uint8).reshape(-1, flat.itemsize).T
-    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(planes).tobytes())
+    return zstandard.ZstdCompressor(3).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def unpack(data: bytes, kind: str = "<i4") -> np.ndarray:
@@ -21,7 +21,7 @@ def unpack(data: bytes, kind: str = "<i4") -> np.ndarray:
 
 def pack_bytes(data: bytes) -> bytes:
     """Compressed bytes."""
-    return zstandard.ZstdCompressor(1).compress(data)
+    return zstandard.ZstdCompressor(3).compress(data)
 
 
 def unpack_bytes(data: bytes) -> bytes:
