@@ -26,7 +26,8 @@ from evalweave.llm.words import _LOWER, byte_class, mixed, slices, text_bytes, w
 
 LONGEST = 4
 # Words of a chunk; a longer text is a chunk by itself.
-WORDS_AT_ONCE = 2_000_000
+WORDS_AT_ONCE = 1_000_000
+_SLICE = 1 << 20
 # Occurrences from which the next word takes part in a suffix's route, and suffixes per task.
 LARGEST_ROUTE, SUFFIXES_AT_ONCE = 1 << 16, 1 << 20
 _SALTS = 64
@@ -55,12 +56,14 @@ def _chunks(docs: DataFrame) -> DataFrame:
         def done() -> pa.RecordBatch:
             nonlocal langs, held, n_chunks, size
             offsets = np.cumsum([0] + [len(h[0]) for h in held[:-1]])
-            data = np.concatenate([h[0] for h in held])
-            starts = np.concatenate([h[1] + at for h, at in zip(held, offsets)])
-            lengths, lang, hashes, first = (np.concatenate([h[i] for h in held]) for i in (2, 3, 4, 5))
-            names = mixed(hashes + lang.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            lang, first = (np.concatenate([h[i] for h in held]) for i in (3, 5))
+            names = np.concatenate([h[4] for h in held])
+            names = mixed(names + lang.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             _, example, number, n = np.unique(names, return_index=True, return_inverse=True, return_counts=True)
-            size_of = lengths[example]
+            del names
+            data = np.concatenate([h[0] for h in held])
+            starts = np.concatenate([h[1].astype(np.int64) + at for h, at in zip(held, offsets)])
+            size_of = np.concatenate([h[2] for h in held])[example].astype(np.int64)
             ends = np.concatenate(([0], np.cumsum(size_of))).astype(np.int32)
             texts = _LOWER[data[runs(starts[example], size_of)]].tobytes()
             kinds = pa.StringArray.from_buffers(len(example), pa.py_buffer(ends), pa.py_buffer(texts))
@@ -80,7 +83,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays(row, columns)
 
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, _SLICE):
                 data, bounds = text_bytes(part[1])
                 found = words(data, bounds, _WORD)
                 if not len(found.starts):
@@ -90,8 +93,9 @@ def _chunks(docs: DataFrame) -> DataFrame:
                 first = np.ones(len(found.starts), bool)
                 first[1:] = before[found.starts[1:]] > before[found.ends[:-1]]
                 first[found.first[:-1][np.diff(found.first) > 0]] = True
-                lang = np.array([langs.setdefault(x, len(langs)) for x in part[0].to_pylist()], np.int64)
-                held.append((data, found.starts, found.ends - found.starts, lang[found.docs], found.hashes, first))
+                lang = np.array([langs.setdefault(x, len(langs)) for x in part[0].to_pylist()], np.int32)
+                lengths = (found.ends - found.starts).astype(np.int32)
+                held.append((data, found.starts.astype(np.int32), lengths, lang[found.docs], found.hashes, first))
                 size += len(found.starts)
                 if size >= WORDS_AT_ONCE:
                     yield done()
