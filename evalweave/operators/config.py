@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-# A configuration's entry.
-_ENTRY = "struct<key: string, value: string>"
+from evalweave.operators.joins import group_join
 
 
 def _leaves(schema: T.StructType, path: tuple[str, ...] = ()) -> list[tuple[str, ...]]:
@@ -41,33 +40,20 @@ def _parents(key: Column) -> Column:
 def layered_merge(base: DataFrame, overrides: DataFrame) -> DataFrame:
     """Merge two configurations; the override wins, also when its value is NULL.
 
-    A section replaces a value and a value replaces a section: base entries below or above
-    an overridden key are dropped. Both tables are shuffled once, by run; a run's entries,
-    which make up one configuration, are merged within its row. A NULL key replaces nothing.
+    A section replaces a value and a value replaces a section: base entries at, above or
+    below an overridden key are dropped. An override names itself and its parents, a base
+    entry its parents, and what they share is found by joins on ``(run_id, key)``, whose
+    partitions adaptive execution can split: no run's entries have to meet in one row or
+    task. A run without an id is a run like any other; a NULL key replaces nothing.
     """
-    entry = F.struct("key", "value")
-    side = lambda df, mine, other: df.select(
-        "run_id", entry.alias(mine), F.lit(None).cast(_ENTRY).alias(other)
-    )
-    runs = (
-        side(base, "base", "over")
-        .unionByName(side(overrides, "over", "base"))
-        .groupBy("run_id")
-        .agg(F.collect_list("base").alias("base"), F.collect_list("over").alias("over"))
-        .withColumn("values", F.transform("over", lambda e: e.key))
-        .withColumn("sections", F.array_distinct(F.flatten(F.transform("values", _parents))))
-    )
-    # A NULL key makes these NULL if nothing matches: then nothing is replaced.
-    replaced = lambda e: F.coalesce(
-        F.array_contains("values", e.key)
-        | F.array_contains("sections", e.key)
-        | F.arrays_overlap("values", _parents(e.key)),
-        F.lit(False),
-    )
-    kept = F.filter("base", lambda e: ~replaced(e))
-    return runs.select("run_id", F.explode(F.concat(kept, "over")).alias("e")).select(
-        "run_id", "e.key", "e.value"
-    )
+    named = overrides.filter(F.col("key").isNotNull()).select("run_id", "key").distinct()
+    with_parents = F.concat(_parents(F.col("key")), F.array("key"))
+    at_or_above = named.select("run_id", F.explode(with_parents).alias("key"))
+    parents = base.select("run_id", F.col("key").alias("entry"), F.explode(_parents(F.col("key"))).alias("key"))
+    below = group_join(parents, named, ["run_id", "key"], "left_semi")
+    replaced = at_or_above.unionByName(below.select("run_id", F.col("entry").alias("key"))).distinct()
+    kept = group_join(base.select("run_id", "key", "value"), replaced, ["run_id", "key"], "left_anti")
+    return kept.unionByName(overrides.select("run_id", "key", "value"))
 
 
 def dotted_overrides(base: DataFrame, overrides: DataFrame) -> DataFrame:

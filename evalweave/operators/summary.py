@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evalweave.functions.arrays import array_sum, finite, not_nan
+from evalweave.operators.joins import group_join
 from evalweave.operators.quantiles import exact_median
 
 PERPLEXITY = "reference_answer_token_perplexity"
@@ -48,7 +49,7 @@ def summarize_predictions(
         median = exact_median(
             predictions, ["model_id"], PERPLEXITY, salt_by, f"{PERPLEXITY}_median"
         )
-        summary = summary.join(median, "model_id", "left")
+        summary = group_join(summary, median, ["model_id"], "left")
     return summary
 
 

@@ -104,3 +104,28 @@ def test_null_keys_and_runs(spark):
     over = spark.createDataFrame([(1, None, "n"), (1, "a", "new"), (None, "a.b", "m")], SCHEMA)
     got = {tuple(r) for r in config.layered_merge(base, over).collect()}
     assert got == {(1, "a", "new"), (1, "b.c", "y"), (1, None, "n"), (None, "a.b", "m"), (None, "d", "z")}
+
+
+def test_a_run_with_a_third_of_all_keys(spark, capsys):
+    """A million entries, a third of them in one run; nothing gathers a run's entries."""
+    n = 1_000_000
+    ids = spark.range(n)
+    run = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 1000 + 1).cast("long")
+    section = F.concat(F.lit("s"), (F.col("id") % 7).cast("string"))
+    key = F.concat(section, F.lit(".k"), F.col("id").cast("string"))
+    base = ids.select(run.alias("run_id"), key.alias("key"), F.lit("old").alias("value"))
+    changed = base.filter(F.xxhash64("key") % 5 == 0).withColumn("value", F.lit("new"))
+    whole = spark.createDataFrame([(0, "s3", "gone"), (1, "s2.k1.deep", "x")], SCHEMA)
+    merged = config.layered_merge(base, changed.unionByName(whole))
+    merged.explain()
+    assert "collect_list" not in capsys.readouterr().out
+    got = merged.groupBy((F.col("run_id") == 0).alias("hot")).agg(
+        F.count("*").alias("n"), F.count_if(F.col("value") == "old").alias("old")
+    )
+    gone = (F.col("run_id") == 0) & (F.split("key", r"\.")[0] == "s3")
+    kept = base.join(changed.select("run_id", "key"), ["run_id", "key"], "left_anti").filter(~gone)
+    want = {
+        bool(hot): (kept.filter((F.col("run_id") == 0) == hot).count(), changed.filter((F.col("run_id") == 0) == hot).count() + 1)
+        for hot in (True, False)
+    }
+    assert {r.hot: (r.old, r.n - r.old) for r in got.collect()} == want

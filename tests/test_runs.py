@@ -23,21 +23,36 @@ def loop_stop(losses, patience):
     return None, None
 
 
-@pytest.mark.parametrize("patience, bits", [(5, 16), (1, 2), (3, 0), (3, 3), (5, 3)])
+@pytest.fixture
+def partitions(spark, request):
+    """Ranges that stay apart, so that runs are cut into blocks."""
+    settings = {
+        "spark.sql.shuffle.partitions": str(request.param),
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield request.param
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("patience, partitions", [(5, 1), (1, 3), (3, 40), (5, 7), (9, 200)], indirect=["partitions"])
 @pytest.mark.parametrize("spread", [1, 10**7])
-def test_early_stop(spark, monkeypatch, patience, bits, spread):
-    """Any block size gives the loop's answer, also with gaps, ties, missing losses and ids.
+def test_early_stop(spark, patience, partitions, spread):
+    """Any blocks give the loop's answer, also with gaps, ties, missing losses and ids.
 
-    Steps may be as sparse as timestamps.
+    Steps may be as sparse as timestamps, and blocks shorter than the patience.
     """
-    monkeypatch.setattr(runs, "BLOCK_BITS", bits)
-    rng = random.Random(bits * 10 + patience)
+    rng = random.Random(partitions * 10 + patience)
     logs = {}
     for run in [None, *range(100)]:
         steps = sorted(rng.sample(range(1, 120), rng.randrange(1, 40)))
         trend = rng.choice([-0.2, 0.0, 0.3])
         losses = [round(5 + trend * i + rng.random() * 2, 1) for i in range(len(steps))]
-        losses = [loss if i == 0 or rng.random() > 0.1 else None for i, loss in enumerate(losses)]
+        missing = rng.choice([0.0, 0.1, 0.6, 1.0])
+        losses = [loss if rng.random() >= missing else None for loss in losses]
         logs[run] = list(zip([step * spread for step in steps], losses))
     rows = [(run, "b", step, loss) for run, log in logs.items() for step, loss in log]
     got = runs.early_stop(spark.createDataFrame(rows, SCHEMA).repartition(5), patience).collect()
@@ -46,6 +61,14 @@ def test_early_stop(spark, monkeypatch, patience, bits, spread):
     }
 
 
+def test_early_stop_moves_rows_twice(spark, capsys):
+    log = spark.createDataFrame([(1, "b", 1, 0.5)], SCHEMA)
+    runs.early_stop(log).explain()
+    plan = capsys.readouterr().out
+    # Two exchanges of rows, one of block summaries, and no join.
+    assert plan.count("Exchange ") == 3 and "Join" not in plan
+
+
 def test_best_checkpoint_and_trial(spark):
     nan = float("nan")
     rows = [
