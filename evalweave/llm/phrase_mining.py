@@ -6,8 +6,8 @@ words, up to and with the first one that is not very frequent, so that no route
 suffixes than such a word has occurrences. A task sorts pointers to its suffixes by a three-way
 quicksort, word by word: a partition of pointers that are equal up to some word counts that
 phrase, one with too few pointers is abandoned, and no pointer is compared beyond the longest
-phrase. Counts of phrases of very frequent words alone, which several routes share, are added
-up afterwards. Equal suffixes of a chunk of texts are one pointer with a weight.
+phrase. A phrase of very frequent words alone is routed as a suffix of its own. Equal suffixes
+of a chunk of texts are one pointer with a weight.
 """
 
 from __future__ import annotations
@@ -133,8 +133,12 @@ def _numbered(rows: DataFrame) -> DataFrame:
 
 
 def _suffixes(left: pa.Table, right: pa.Table) -> pa.Table:
-    """A chunk's distinct suffixes of two words or more: route, words, weight and the
-    number of very frequent words at the front."""
+    """A chunk's distinct suffixes: words, and weight and lead as one number.
+
+    The first ``lead`` words are very frequent ones, whose prefixes are not counted from this
+    suffix: every prefix of two words or more that has only such words is a suffix by itself,
+    counted at its full length alone.
+    """
     out = []
     for row in left.to_pylist():
         n_words = row["n_words"]
@@ -144,43 +148,46 @@ def _suffixes(left: pa.Table, right: pa.Table) -> pa.Table:
         numbers = unpack(row["numbers"])
         first = np.unpackbits(np.frombuffer(row["first"], np.uint8), count=len(numbers)).astype(bool)
         word, is_hot = ids[numbers], hot[numbers]
-        w, lead, open_, led = [word], is_hot.astype(np.int8), word > 0, is_hot
-        route = word.astype(np.uint64)
+        w, open_ = [word], word > 0
+        led = [is_hot & open_]
         for d in range(1, LONGEST):
-            follows = np.zeros(len(word), bool)
-            follows[:-d] = ~first[d:] & (word[d:] > 0) if d < len(word) else False
-            open_ = open_ & follows
-            next_word, next_hot = np.zeros_like(word), np.zeros_like(is_hot)
+            follows, next_word, next_hot = (np.zeros_like(x) for x in (first, word, is_hot))
             if d < len(word):
-                next_word[:-d], next_hot[:-d] = word[d:], is_hot[d:]
+                follows[:-d], next_word[:-d], next_hot[:-d] = ~first[d:], word[d:], is_hot[d:]
+            open_ = open_ & follows & (next_word > 0)
             w.append(np.where(open_, next_word, 0))
-            route = np.where(led, mixed(route * np.uint64(0x9E3779B97F4A7C15) + w[d].astype(np.uint64)), route)
-            led = led & open_ & next_hot
-            lead += led
-        kept = w[1] > 0
-        k1, k2 = (w[0] << 32 | w[1])[kept], (w[2] << 32 | w[3])[kept]
-        route, lead = route[kept], lead[kept]
+            led.append(led[-1] & open_ & next_hot)
+        lead = np.sum(led, axis=0)
+        ends = np.stack([*(x == 0 for x in w), np.ones(len(word), bool)])
+        whole = (w[1] > 0) & ~ends[lead, np.arange(len(word))]
+        k1, k2 = w[0] << 32 | w[1], w[2] << 32 | w[3]
+        masks = (0, 0, 0, -(1 << 32), -1)  # the second number of a prefix, by its length
+        found = [(k1[whole], k2[whole], lead[whole])]
+        for length in range(2, LONGEST + 1):
+            some = led[length - 1]
+            found.append((k1[some], k2[some] & masks[length], np.full(int(some.sum()), length - 1)))
+        k1, k2, lead = (np.concatenate([x[i] for x in found]) for i in range(3))
         order = np.lexsort((k2, k1))
         k1, k2 = k1[order], k2[order]
         edge = np.ones(len(k1), bool)
         edge[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
         at = np.flatnonzero(edge)
-        n = np.diff(np.append(at, len(k1)))
-        out.append(
-            pa.table(
-                [
-                    pa.array(route[order][at].view(np.int64)),
-                    pa.array(k1[at]),
-                    pa.array(k2[at]),
-                    pa.array(n.astype(np.int64)),
-                    pa.array(lead[order][at].astype(np.int32)),
-                ],
-                ["route", "k1", "k2", "n", "lead"],
-            )
-        )
+        n = np.diff(np.append(at, len(k1))).astype(np.int64)
+        out.append(pa.table([pa.array(k1[at]), pa.array(k2[at]), pa.array(n << 3 | lead[order][at])], ["k1", "k2", "n_lead"]))
     return pa.concat_tables(out)
 
 
+def _route() -> list[Column]:
+    """The leading words up to and with the first one that is not very frequent."""
+    lead = F.col("n_lead").bitwiseAND(F.lit(7))
+    first = F.shiftleft(F.shiftright("k1", 32), 32)
+    third = F.shiftleft(F.shiftright("k2", 32), 32)
+    return [
+        F.when(lead == 0, first).otherwise(F.col("k1")),
+        F.when(lead <= 1, 0).when(lead == 2, third).otherwise(F.col("k2")),
+    ]
+
+
 def frequent_prefixes(
     w: list[np.ndarray], n: np.ndarray, lead: np.ndarray, least: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,8 +195,7 @@ def frequent_prefixes(
 
     ``w[d]`` holds the word of depth ``d`` of every suffix, 0 behind its end. Returns a suffix
     with the prefix, the prefix's length and its weight. Prefixes lighter than ``least`` are
-    abandoned, except those that lie within the first ``lead`` words of their suffix: these
-    are counted in part here, and returned with any weight.
+    abandoned; those within the first ``lead`` words of their suffix are only sorted.
     """
     found: list[tuple[int, int, int]] = []
     stack: list[tuple[np.ndarray, int, int]] = []
@@ -197,7 +203,7 @@ def frequent_prefixes(
     def push(pointers: np.ndarray, depth: int) -> None:
         shared = lead[pointers] > depth
         if shared.any():
-            stack.append((pointers[shared], depth, 1))
+            stack.append((pointers[shared], depth, 0))
             pointers = pointers[~shared]
         if len(pointers):
             stack.append((pointers, depth, least))
@@ -205,7 +211,7 @@ def frequent_prefixes(
     push(np.arange(len(n)), 0)
     while stack:
         pointers, depth, few = stack.pop()
-        if few > 1 and int(n[pointers].sum()) < few:
+        if few and int(n[pointers].sum()) < few:
             continue
         key = w[depth][pointers]
         a, b, c = key[0], key[len(key) // 2], key[-1]
@@ -222,7 +228,7 @@ def frequent_prefixes(
         weight = int(n[pointers].sum())
         if weight < few:
             continue
-        if depth:
+        if depth and few == least:
             found.append((int(pointers[0]), depth + 1, weight))
         if depth + 1 < LONGEST:
             longer = pointers[w[depth + 1][pointers] > 0]
@@ -242,18 +248,18 @@ def _counted(suffixes: DataFrame, least: int) -> DataFrame:
         rows = [[c.to_numpy() for c in batch.columns] for batch in batches]
         if not rows:
             return
-        k1, k2, n, lead = (np.concatenate([r[i] for r in rows]) for i in range(4))
+        k1, k2, n_lead = (np.concatenate([r[i] for r in rows]) for i in range(3))
         rows.clear()
+        n, lead = n_lead >> 3, n_lead & 7
         w = [k1 >> 32, k1 & _LOW, k2 >> 32, k2 & _LOW]
         w = [x.astype(np.int32) for x in w]
         at, length, weight = frequent_prefixes(w, n, lead, least)
-        masks = np.array([0, 0, 0, -(1 << 32), -1])  # third word only, or both
+        masks = np.array([0, 0, 0, -(1 << 32), -1])
         yield pa.RecordBatch.from_arrays(
             [pa.array(k1[at]), pa.array(k2[at] & masks[length]), pa.array(weight)], ["k1", "k2", "a"]
         )
 
-    found = suffixes.select("k1", "k2", "n", "lead").mapInArrow(run, "k1 long, k2 long, a long")
-    return found.groupBy("k1", "k2").agg(F.sum("a").alias("a")).filter(F.col("a") >= least)
+    return suffixes.mapInArrow(run, "k1 long, k2 long, a long")
 
 
 def _key(*ids: Column) -> tuple[Column, Column]:
@@ -359,10 +365,10 @@ def mine(
     suffixes = (
         asked.groupBy("chunk")
         .cogroup(answers.groupBy("asking"))
-        .applyInArrow(_suffixes, "route long, k1 long, k2 long, n long, lead int")
+        .applyInArrow(_suffixes, "k1 long, k2 long, n_lead long")
     )
     tasks = max(1, -(-n_words // SUFFIXES_AT_ONCE))
-    phrases = written(_counted(suffixes.repartition(tasks, "route"), settings.least), "phrases")
+    phrases = written(_counted(suffixes.repartition(tasks, *_route()), settings.least), "phrases")
     best = _scored(phrases, frequent)
     kept = written(_independent(best, settings.covered), "phrases")
     spelt = (
