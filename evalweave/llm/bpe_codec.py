@@ -27,7 +27,7 @@ from evalweave.llm.shared import written
 from evalweave.llm.words import slices
 
 # Words of a chunk; a longer text is a chunk by itself.
-WORDS_AT_ONCE = 2_000_000
+WORDS_AT_ONCE = 3_000_000
 _ID = 4
 
 # Fixed value: the words of byte-level tokenizers of this kind.
@@ -102,16 +102,16 @@ class _Numbers(dict):
 
 
 def _listed(words: list[bytes]) -> bytes:
-    """A list of words as compressed bytes: their number, lengths and texts."""
-    lengths = np.array([len(words), *map(len, words)], "<i4")
-    return pack_bytes(lengths.tobytes() + b"".join(words))
+    """A list of words as compressed bytes: lengths, and texts one after another."""
+    lengths = pack(np.array([*map(len, words)], np.int64))
+    return len(lengths).to_bytes(4, "little") + lengths + pack_bytes(b"".join(words))
 
 
 def _unlisted(data: bytes) -> list[bytes]:
-    data = unpack_bytes(data)
-    n = int(np.frombuffer(data, "<i4", 1)[0])
-    ends = np.cumsum(np.frombuffer(data, "<i4", n, 4), dtype=np.int64) + 4 * (n + 1)
-    return [data[a:b] for a, b in zip([4 * (n + 1), *ends[:-1]], ends)]
+    at = 4 + int.from_bytes(data[:4], "little")
+    ends = np.cumsum(unpack(data[4:at]), dtype=np.int64)
+    texts = unpack_bytes(data[at:])
+    return [texts[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
 
 def _chunks(docs: DataFrame, path: str, buckets: int, id_kind: str) -> DataFrame:
@@ -124,12 +124,14 @@ def _chunks(docs: DataFrame, path: str, buckets: int, id_kind: str) -> DataFrame
 
         def done() -> pa.RecordBatch:
             nonlocal numbers, ids, lengths, held, n_chunks
-            # Frequent words get small numbers, which compress well.
+            # Frequent words get small numbers, and words that are about as frequent stand
+            # in alphabetical order: both compress well.
             number = np.concatenate(held) if held else np.zeros(0, np.int32)
-            by_count = np.argsort(-np.bincount(number, minlength=len(numbers)), kind="stable")
+            classes = np.log2(np.bincount(number, minlength=len(numbers)).clip(1)).astype(int).tolist()
+            words = [w.encode() for w in numbers]
+            by_count = sorted(range(len(words)), key=lambda i: (-classes[i], words[i]))
             rank = np.empty(len(by_count), np.int64)
             rank[by_count] = np.arange(len(by_count))
-            words = [w.encode() for w in numbers]
             words = [words[i] for i in by_count]
             bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
             order = np.argsort(bucket, kind="stable")
@@ -214,7 +216,7 @@ def encode_decode(
     tokens. A NULL text counts as empty (no ids, empty text), a NULL id stays NULL, repeated
     rows give a row each, an empty table gives none, and other columns are ignored whatever
     their names. A task holds one chunk (``WORDS_AT_ONCE`` words, or one text) or the distinct
-    words of one of ``buckets`` buckets: eight per shuffle partition by default.
+    words of one of ``buckets`` buckets: as many as shuffle partitions by default.
     """
     chunks = _coded(docs, path, id_col, text_col, buckets)
     id_kind = docs.schema[id_col].dataType.simpleString()
@@ -240,7 +242,7 @@ def _coded(docs: DataFrame, path: str, id_col: str, text_col: str, buckets: int
     spark = docs.sparkSession
     codec(path)  # fails on the driver for other kinds of files
     if buckets is None:
-        buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     id_kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))

@@ -6,11 +6,15 @@ import numpy as np
 import zstandard
 
 
+# The tables go to disk and through shuffles, so size counts for more than speed.
+_LEVEL = 9
+
+
 def pack(values: np.ndarray, kind: str = "<i4") -> bytes:
     """Integers as bytes, compressed plane by plane."""
     flat = np.ascontiguousarray(values, kind)
     planes = flat.view(np.uint8).reshape(-1, flat.itemsize).T
-    return zstandard.ZstdCompressor(3).compress(np.ascontiguousarray(planes).tobytes())
+    return zstandard.ZstdCompressor(_LEVEL).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def unpack(data: bytes, kind: str = "<i4") -> np.ndarray:
@@ -21,7 +25,7 @@ def unpack(data: bytes, kind: str = "<i4") -> np.ndarray:
 
 def pack_bytes(data: bytes) -> bytes:
     """Compressed bytes."""
-    return zstandard.ZstdCompressor(3).compress(data)
+    return zstandard.ZstdCompressor(_LEVEL).compress(data)
 
 
 def unpack_bytes(data: bytes) -> bytes:
