@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from evalweave import schemas
 from evalweave.functions import chat
 from evalweave.operators import hooks, reshape, sampling, scoring, summary
-from evalweave.sources.leaderboards import update_leaderboard
-from evalweave.sources.predictions import write_predictions
+from evalweave.sources.evaluations import publish_evaluation
 from evalweave.storage import materialize
 
 
@@ -112,11 +111,10 @@ def evaluate(
 
 
 def save(evaluation: Evaluation, path: str) -> None:
-    """Replace the evaluated models' predictions and merge their leaderboard rows."""
-    write_predictions(evaluation.predictions, f"{path}/predictions")
+    """Replace the evaluated models' predictions and board rows in one published version."""
     missing = [
         F.lit(None).cast(field.dataType).alias(field.name)
         for field in schemas.LEADERBOARD.fields
         if field.name not in evaluation.summary.columns
     ]
-    update_leaderboard(evaluation.summary.select("*", *missing), f"{path}/leaderboard")
+    publish_evaluation(evaluation.predictions, evaluation.summary.select("*", *missing), path)

@@ -8,6 +8,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -105,6 +106,65 @@ def newest_version(spark: SparkSession, path: str) -> tuple[int, str | None]:
     return int(names[-1].removeprefix(_VERSION)), content
 
 
+def versions(spark: SparkSession, path: str, newest: int | None = None) -> list[tuple[int, str]]:
+    """Numbers and contents of the published versions, the newest first."""
+    names = children(spark, path, _VERSION)[::-1][:newest]
+    if not names:
+        return []
+    files = spark.read.text([f"{path}/{n}" for n in names], wholetext=True)
+    rows = files.select("value", "_metadata.file_name").collect()
+    return sorted(((int(r[1].removeprefix(_VERSION)), r[0]) for r in rows), reverse=True)
+
+
+# A folder that was begun on one of this many newest versions may still be published.
+PROTECTED = 10
+
+
+def attempt_name(version: int) -> str:
+    """A new name for a folder of files that are to be published after ``version``."""
+    return f"{version}-{uuid.uuid4().hex}"
+
+
+def vacuum(
+    spark: SparkSession,
+    path: str,
+    keep: int,
+    prefix: str,
+    named_by: Callable[[str], set[str]],
+) -> list[str]:
+    """Delete old and lost folders of a versioned table; returns their names.
+
+    ``prefix`` begins the folders' names, an ``attempt_name`` follows, and ``named_by`` lists
+    the folders that a version's content names. Kept are those of the newest ``keep`` versions
+    and, as their writer may not have finished, those that were begun on one of the newest
+    ``max(keep, PROTECTED)``: a writer must not publish what it began on an older one. Files
+    of older versions are deleted after their folders, so that a version whose folders are
+    gone is not left behind; the newest version always stays.
+    """
+    if keep < 1:
+        raise ValueError("the newest version is always kept")
+    folders = children(spark, path, prefix)
+    found = versions(spark, path)
+    if not found:
+        return []
+    newest = found[0][0]
+    needed = {name for _, content in found[:keep] for name in named_by(content)}
+    oldest_writer = newest - max(keep, PROTECTED)
+
+    def begun(folder: str) -> int:
+        number = folder.removeprefix(prefix).partition("-")[0]
+        return int(number) if number.isdecimal() else newest
+
+    gone = [f for f in folders if f not in needed and begun(f) < oldest_writer]
+    lost = {*gone}
+    for folder in gone:
+        delete(spark, f"{path}/{folder}")
+    for number, content in found[keep:]:
+        if named_by(content) & lost:
+            delete(spark, f"{path}/{_VERSION}{number:010d}")
+    return gone
+
+
 def publish_version(spark: SparkSession, path: str, number: int, content: str) -> bool:
     """Create version ``number`` with its content in one step; False if it already exists.
 

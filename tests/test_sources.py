@@ -10,7 +10,7 @@ from pyspark.sql import functions as F, types as T
 
 from evalweave import schemas, storage
 from evalweave.operators import reshape
-from evalweave.sources import datasets, leaderboards, predictions
+from evalweave.sources import datasets, evaluations, leaderboards, predictions
 
 CARDS = "example_id long, instruction string, input string, output string, split string"
 
@@ -32,9 +32,11 @@ def test_revisions(spark, cards, tmp_path):
     with pytest.raises(Exception, match="already exists"):
         datasets.publish_dataset(cards, path, "v9")
     # An unfinished revision is not the newest one, whatever the files' times.
-    cards.limit(1).write.partitionBy("split").parquet(f"{path}/rev=v11")
-    os.utime(f"{path}/rev=v9/_SUCCESS")
+    cards.limit(1).write.partitionBy("split").parquet(f"{path}/data-2-lost")
+    os.utime(f"{path}/version-0000000001")
     assert datasets.load_dataset(spark, path).count() == 3
+    with pytest.raises(FileNotFoundError):
+        datasets.load_dataset(spark, path, "v11")
 
 
 def test_a_split_reads_only_its_partition(spark, cards, tmp_path):
@@ -118,7 +120,7 @@ def test_a_late_writer_merges_again(spark, tmp_path, monkeypatch):
     leaderboards.update_leaderboard(row("a"), path, BOARD)
     original, late = leaderboards._write, []
 
-    def write_while_the_other_writer_publishes(*args):
+    def write_while_the_other_writer_publishes(*args, **kwargs):
         name = original(*args)
         if not late:
             late.append(True)
@@ -162,6 +164,134 @@ def test_history_keeps_all_columns(spark, tmp_path):
     assert got == {"r1": (1, None), "r2": (None, 2.5)}
 
 
+def test_history_schema_is_checked_and_widened(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "history")
+    append = lambda row, schema: leaderboards.append_history(spark.createDataFrame([row], schema), path)
+    append(("r1", 1, (1,)), "run string, a int, c struct<x: int>")
+    append(("r2", 2**40, (2, 0.5)), "run string, A bigint, c struct<x: int, y: float>")
+    append(("r3", 3, None), "run string, a int, d void")
+    with pytest.raises(ValueError, match="column a holds bigint, not string"):
+        append(("r4", "four"), "run string, a string")
+    with pytest.raises(ValueError, match="c.x"):
+        append(("r4", ("five",)), "run string, c struct<x: string>")
+
+    assert leaderboards._history_schema(spark, path)[1].names == ["run", "a", "c", "d"]
+
+    # Reading opens no file to find the columns: that would need an option of the reader.
+    logged = storage.newest_version(spark, f"{path}/_schema")
+    monkeypatch.setattr(leaderboards, "newest_version", lambda *args: logged)
+    monkeypatch.delattr(type(spark.read), "option")
+    got = {r.run: (r.a, r.c and tuple(r.c), r.d) for r in leaderboards.read_history(spark, path).collect()}
+    assert got == {"r1": (1, (1, None), None), "r2": (2**40, (2, 0.5), None), "r3": (3, None, None)}
+
+
+def test_a_history_without_a_log_is_taken_over(spark, tmp_path):
+    path = str(tmp_path / "history")
+    spark.createDataFrame([("r0", 0)], "run string, a int").write.parquet(path)
+    leaderboards.append_history(spark.createDataFrame([("r1", 1.5)], "run string, a double"), path)
+    got = {r.run: r.a for r in leaderboards.read_history(spark, path).collect()}
+    assert got == {"r0": 0.0, "r1": 1.5}
+
+
+# Predictions and board published together ---------------------------------------------------
+
+PREDICTED = T.StructType([T.StructField("model_id", T.StringType()), T.StructField("example_id", T.LongType())])
+
+
+def evaluation(spark, models, n, score):
+    rows = [(m, i) for m in models for i in range(n)]
+    board = [(m, score, score) for m in models]
+    return spark.createDataFrame(rows, PREDICTED), spark.createDataFrame(board, BOARD)
+
+
+def seen(spark, path):
+    at = evaluations.published(spark, path)
+    rows = evaluations.read_predictions(spark, path, PREDICTED, at).groupBy("model_id").count().collect()
+    board = evaluations.read_board(spark, path, BOARD, at).collect()
+    return {r["model_id"]: r["count"] for r in rows}, {r.model_id: r.token_f1_mean for r in board}
+
+
+def test_predictions_and_board_change_together(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "evaluations")
+    assert seen(spark, path) == ({}, {})
+    evaluations.publish_evaluation(*evaluation(spark, ["org/a", "org/b", "x=1:%"], 3, 0.1), path, BOARD)
+    evaluations.publish_evaluation(*evaluation(spark, ["org/b", None], 5, 0.2), path, BOARD)
+    before = ({"org/a": 3, "x=1:%": 3, "org/b": 5, None: 5}, {"org/a": 0.1, "x=1:%": 0.1, "org/b": 0.2, None: 0.2})
+    assert seen(spark, path) == before
+    steps = [(evaluations, "sort_leaderboard"), (evaluations, "publish_version")]
+    for module, step in steps:
+        def crash(*args):
+            raise RuntimeError("crash")
+
+        with monkeypatch.context() as patch:
+            patch.setattr(module, step, crash)
+            with pytest.raises(RuntimeError, match="crash"):
+                evaluations.publish_evaluation(*evaluation(spark, ["org/a"], 9, 0.9), path, BOARD)
+        # Its predictions are written, but nobody reads them with the old board.
+        assert seen(spark, path) == before
+    evaluations.publish_evaluation(*evaluation(spark, ["org/a"], 9, 0.9), path, BOARD)
+    assert seen(spark, path)[0]["org/a"] == 9 and seen(spark, path)[1]["org/a"] == 0.9
+
+
+def test_overlapping_evaluations_keep_both(spark, tmp_path):
+    path = str(tmp_path / "evaluations")
+
+    def publish(i):
+        evaluations.publish_evaluation(*evaluation(spark, [f"m{i}"], i + 1, i / 10), path, BOARD)
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(publish, range(4)))
+    assert seen(spark, path) == ({f"m{i}": i + 1 for i in range(4)}, {f"m{i}": i / 10 for i in range(4)})
+
+
+# Retention ----------------------------------------------------------------------------------
+
+
+def test_vacuum_keeps_what_readers_and_writers_need(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "PROTECTED", 2)
+    path = str(tmp_path / "board")
+    row = lambda i: spark.createDataFrame([(f"m{i}", 0.5, 0.5)], BOARD)
+    for i in range(6):
+        leaderboards.update_leaderboard(row(i), path, BOARD)
+    lost = leaderboards._write(row(9), path, 1)
+    reader = leaderboards._read(spark, path, BOARD, storage.versions(spark, path)[2][1])
+    original = leaderboards._write
+    deleted = []
+
+    def write_while_others_sweep(*args):
+        name = original(*args)
+        deleted.extend(leaderboards.vacuum_leaderboard(spark, path, keep=3))
+        assert os.path.exists(f"{path}/{name}")
+        return name
+
+    monkeypatch.setattr(leaderboards, "_write", write_while_others_sweep)
+    leaderboards.update_leaderboard(row(7), path, BOARD)
+    assert lost in deleted and len(deleted) == 4
+    assert reader.count() == 4
+    got = {r.model_id for r in leaderboards.read_leaderboard(spark, path, BOARD).collect()}
+    assert got == {"m0", "m1", "m2", "m3", "m4", "m5", "m7"}
+    # Versions whose folders are gone are gone as well; the rest can be read.
+    for _, name in storage.versions(spark, path):
+        leaderboards._read(spark, path, BOARD, name).count()
+
+
+def test_vacuum_of_revisions_and_evaluations(spark, cards, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "PROTECTED", 0)
+    path = str(tmp_path / "cards")
+    for i in range(4):
+        datasets.publish_dataset(cards.limit(i + 1), path, f"r{i}")
+    assert len(datasets.vacuum_dataset(spark, path, keep=2)) == 2
+    assert [datasets.load_dataset(spark, path, f"r{i}").count() for i in (2, 3)] == [3, 4]
+    with pytest.raises(FileNotFoundError):
+        datasets.load_dataset(spark, path, "r0")
+    path = str(tmp_path / "evaluations")
+    for i, models in enumerate((["a", "b"], ["a"], ["a"])):
+        evaluations.publish_evaluation(*evaluation(spark, models, i + 1, i / 10), path, BOARD)
+    # The first folder still holds the newest predictions of one model.
+    assert len(evaluations.vacuum_evaluations(spark, path, keep=1)) == 3
+    assert seen(spark, path) == ({"a": 3, "b": 1}, {"a": 0.2, "b": 0.0})
+
+
 def test_intermediate_tables_go_to_the_configured_folder(spark):
     folder = spark.conf.get("spark.checkpoint.dir")
     assert storage.shared_dir(spark) == folder

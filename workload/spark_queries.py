@@ -21,7 +21,7 @@ from evalweave.operators import (
     summary,
 )
 from evalweave.plans import benchmark, dataset
-from evalweave.sources import datasets, leaderboards, predictions as prediction_files
+from evalweave.sources import datasets, evaluations, leaderboards, predictions as prediction_files
 from evalweave.storage import fresh_path, materialize
 from evalweave.streaming import leaderboard as stream
 from workload import inputs, stubs
@@ -728,7 +728,7 @@ def benchmark_run(spark, sf):
     )
     path = fresh_path(spark, "benchmark")
     benchmark.save(result, path)
-    board = leaderboards.read_leaderboard(spark, f"{path}/leaderboard")
+    board = evaluations.read_board(spark, path)
     measured = [c for c in schemas.LEADERBOARD_METRICS if c != "reference_answer_nll_std"]
     return rounded(board.select("model_id", "n", *measured, "generation_tokens"), 5)
 
