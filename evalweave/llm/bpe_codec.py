@@ -27,7 +27,7 @@ from evalweave.llm.shared import written
 from evalweave.llm.words import slices
 
 # Words of a chunk; a longer text is a chunk by itself.
-WORDS_AT_ONCE = 3_000_000
+WORDS_AT_ONCE = 4_000_000
 _ID = 4
 
 # Fixed value: the words of byte-level tokenizers of this kind.
