@@ -7,19 +7,33 @@ in Spark expressions.
 
 Model calls are costly and their output feeds several later steps, so callers should
 pass the output through :func:`evalweave.storage.materialize`.
+
+With a ``journal`` folder every answered batch is also written there by the task that called
+the model, before anything else happens to it. A restarted job takes the answers of the same
+``(model_id, example_id)`` and inputs from the journal and calls the model for the rest; a
+retried task finds the batches of its earlier attempt and repeats at most the one that was
+under way. The folder must be reachable by all executors through ``pyarrow.fs``: a path or URI
+of a shared disk, or of a store that it knows. Failed batches are not kept.
 """
 
 from __future__ import annotations
 
+import hashlib
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from evalweave.functions.arrays import both_answered, cosine
-from evalweave.operators.joins import lookup_groups
+from evalweave.operators.joins import group_join, lookup_groups
+from evalweave.storage import exists, qualified
 
 # The functions below run on executors that need not have this package installed.
 cloudpickle.register_pickle_by_value(__import__(__name__, fromlist=["hooks"]))
@@ -56,14 +70,51 @@ def _lay_out(requests: DataFrame, text: str, partitions: int | None) -> DataFram
     )
 
 
+class _Journal:
+    """Answered batches as files, named by what was asked.
+
+    A file appears under its name when it is complete. Two attempts of a task that run at the
+    same time write the same answers or, if the model is not deterministic, either's.
+    """
+
+    def __init__(self, folder: str, schema: pa.Schema) -> None:
+        self.schema = schema
+        if "://" in folder:
+            self.fs, self.folder = pyarrow.fs.FileSystem.from_uri(folder)
+        else:
+            self.fs, self.folder = pyarrow.fs.LocalFileSystem(), folder
+        self.fs.create_dir(self.folder, recursive=True)
+
+    def _file(self, batch: pd.DataFrame) -> str:
+        asked = hashlib.sha256()
+        for row in batch.itertuples(index=False):
+            asked.update(repr(tuple(row)).encode())
+        return f"{self.folder}/batch-{asked.hexdigest()}.parquet"
+
+    def find(self, batch: pd.DataFrame) -> pd.DataFrame | None:
+        file = self._file(batch)
+        if self.fs.get_file_info(file).type == pyarrow.fs.FileType.NotFound:
+            return None
+        return pyarrow.parquet.read_table(file, filesystem=self.fs).to_pandas()
+
+    def keep(self, batch: pd.DataFrame, result: pd.DataFrame) -> None:
+        table = pa.Table.from_pandas(result, self.schema, preserve_index=False)
+        # Names that begin with "_" are not read as data.
+        draft = f"{self.folder}/_{uuid.uuid4().hex}"
+        pyarrow.parquet.write_table(table, draft, filesystem=self.fs)
+        self.fs.move(draft, self._file(batch))
+
+
 def _call_per_model(
     make: Callable[[str], BatchFn],
     inputs: list[str],
     outputs: list[str],
     batch_size: int,
     on_error: str,
+    journal: Callable[[], _Journal] | None = None,
 ) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     columns = [*KEY, *outputs, "batch_id", "batch_rows", "batch_seconds", "error"]
+    asked = [*KEY, *inputs]
 
     def call(function: BatchFn, batch: pd.DataFrame) -> pd.DataFrame:
         result = function(batch[["example_id", *inputs]])
@@ -77,13 +128,20 @@ def _call_per_model(
     def run(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get()
         prefix = f"{task.partitionId() if task else 0}"
+        kept = journal() if journal else None
+        if kept:
+            # Batches of several jobs meet in a journal.
+            prefix = f"{uuid.uuid4().hex}-{prefix}"
         current, function, broken, serial = None, None, None, 0
         for chunk in chunks:
-            for model_id, rows in chunk.groupby("model_id", sort=False):
+            for model_id, rows in chunk.groupby("model_id", sort=False, dropna=False):
                 if model_id != current:
                     current, function, broken = model_id, None, None
                 for at in range(0, len(rows), batch_size):
                     batch = rows.iloc[at : at + batch_size]
+                    if kept and (known := kept.find(batch[asked])) is not None:
+                        yield known[columns]
+                        continue
                     started = time.perf_counter()
                     try:
                         if broken is not None:
@@ -100,17 +158,31 @@ def _call_per_model(
                             broken = problem
                         result = batch[KEY].assign(**{name: None for name in outputs})
                         error = repr(problem)
-                    yield result.assign(
+                    result = result.assign(
                         batch_id=f"{prefix}-{serial}",
                         batch_rows=len(batch),
                         batch_seconds=time.perf_counter() - started,
                         error=error,
-                    )[columns]
+                    )
+                    if kept and error is None:
+                        kept.keep(batch[asked], result.assign(**{i: batch[i].tolist() for i in inputs}))
+                    yield result[columns]
                     serial += 1
 
     return run
 
 
+def _answered(requests: DataFrame, journal: str, schema: T.StructType, inputs: list[str]) -> DataFrame:
+    """What the journal holds for the same keys and inputs, once per key."""
+    spark = requests.sparkSession
+    texts = [T.StructField(i, T.StringType()) for i in inputs]
+    kept = spark.read.schema(T.StructType([*schema.fields, *texts])).parquet(journal)
+    asked = group_join(kept, requests.select(*KEY, *inputs), [*KEY, *inputs], "left_semi")
+    rest = [c for c in schema.names if c not in KEY]
+    one = F.min(F.struct("batch_id", *[c for c in rest if c != "batch_id"])).alias("row")
+    return asked.groupBy(*KEY).agg(one).select(*KEY, "row.*").select(*schema.names)
+
+
 def _map_models(
     requests: DataFrame,
     make: Callable[[str], BatchFn],
@@ -119,15 +191,29 @@ def _map_models(
     batch_size: int,
     on_error: str,
     partitions: int | None,
+    journal: str | None,
 ) -> DataFrame:
     if on_error not in ("skip", "fail"):
         raise ValueError("on_error is 'skip' or 'fail'")
     schema = T.StructType(
         _KEY_FIELDS + [T.StructField(n, t) for n, t in outputs.items()] + _CALL_FIELDS
     )
-    rows = _lay_out(requests.select(*KEY, *inputs), inputs[0], partitions)
-    run = _call_per_model(make, inputs, list(outputs), batch_size, on_error)
-    return rows.mapInPandas(run, schema)
+    asked = requests.select(*KEY, *inputs)
+    if journal is None:
+        run = _call_per_model(make, inputs, list(outputs), batch_size, on_error)
+        return _lay_out(asked, inputs[0], partitions).mapInPandas(run, schema)
+    known = None
+    if exists(asked.sparkSession, journal):
+        known = _answered(asked, journal, schema, inputs)
+        asked = group_join(asked, known.select(*KEY), KEY, "left_anti")
+    texts = [T.StructField(i, T.StringType()) for i in inputs]
+    layout = to_arrow_schema(T.StructType([*schema.fields, *texts]))
+    folder = qualified(requests.sparkSession, journal)
+    run = _call_per_model(
+        make, inputs, list(outputs), batch_size, on_error, lambda: _Journal(folder, layout)
+    )
+    new = _lay_out(asked, inputs[0], partitions).mapInPandas(run, schema)
+    return new if known is None else known.unionByName(new)
 
 
 def generate(
@@ -137,17 +223,19 @@ def generate(
     batch_size: int = 32,
     on_error: str = "skip",
     partitions: int | None = None,
+    journal: str | None = None,
 ) -> DataFrame:
     """Answers for ``(model_id, example_id, prompt)``.
 
     The generator maps ``(example_id, prompt)`` to ``(example_id, raw_generation,
     generated_tokens)``. Returns the key, both outputs and, for accounting, the batch,
     its size, its seconds and the error, if any. ``on_error='fail'`` lets the first
-    exception end the job instead.
+    exception end the job instead. With a ``journal`` folder, answers that it holds are not
+    generated again; they keep the batch in which they were.
     """
     outputs = {"raw_generation": T.StringType(), "generated_tokens": T.IntegerType()}
     return _map_models(
-        requests, make_generator, ["prompt"], outputs, batch_size, on_error, partitions
+        requests, make_generator, ["prompt"], outputs, batch_size, on_error, partitions, journal
     )
 
 
@@ -158,11 +246,13 @@ def score_references(
     batch_size: int = 32,
     on_error: str = "skip",
     partitions: int | None = None,
+    journal: str | None = None,
 ) -> DataFrame:
     """Token log-probabilities of ``reference_answer`` after ``prompt``.
 
     The scorer maps ``(example_id, prompt, reference_answer)`` to ``(example_id,
-    token_logprobs)``; sums, means and perplexities are computed by Spark afterwards.
+    token_logprobs)``; sums, means and perplexities are computed by Spark afterwards. A
+    ``journal`` of scores is a folder of its own, not that of the generator.
     """
     outputs = {"token_logprobs": T.ArrayType(T.DoubleType())}
     return _map_models(
@@ -173,6 +263,7 @@ def score_references(
         batch_size,
         on_error,
         partitions,
+        journal,
     )
 
 

@@ -10,14 +10,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-SALTS = 64
-# A table with one record per group is broadcast up to this many records, counted
-# before the join is chosen; above it the join is salted.
-MAX_GROUPS = 10_000
+from evalweave.storage import materialize
 
+# Rows of a group that a task may get; a larger group is dealt over several tasks.
+ROWS_PER_SALT = 100_000
+# A table with one record per group is broadcast up to so many bytes, measured before the
+# join is chosen; above it the join is salted.
+MAX_BYTES = 16 << 20
 
-def _salt(salt_by: Sequence[str], salts: int) -> Column:
-    return F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int")
+
+def _salt(salt_by: Sequence[str], salts: Column) -> Column:
+    return F.pmod(F.xxhash64(*salt_by), salts).cast("int")
 
 
 def group_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
@@ -31,24 +34,49 @@ def group_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -
     return left.withColumn("_key", key).join(right.select(key, *rest), "_key", how).drop("_key")
 
 
+def group_salts(rows: DataFrame, on: Sequence[str], rows_per_salt: int | None = None) -> DataFrame:
+    """``on`` and ``_salts`` of the groups with more rows than a task should get.
+
+    Rows are counted per group, which adds up within tasks first. There is one record for
+    every ``rows_per_salt`` rows at most, so the table is small beside the rows.
+    """
+    most = rows_per_salt or ROWS_PER_SALT
+    sizes = rows.groupBy(*on).agg(F.count("*").alias("_n")).filter(F.col("_n") > most)
+    return sizes.select(*on, F.ceil(F.col("_n") / most).cast("int").alias("_salts"))
+
+
 def salted_join(
     rows: DataFrame,
     groups: DataFrame,
     on: Sequence[str],
     salt_by: Sequence[str],
     how: str = "inner",
-    salts: int = SALTS,
+    rows_per_salt: int | None = None,
 ) -> DataFrame:
     """Join many ``rows`` to a table with one record per group (model, run, ...).
 
-    Each group record is repeated ``salts`` times and every row picks one copy, so a
-    group with a third of all rows is spread over ``salts`` partitions. ``salt_by``
-    names columns that tell the rows of a group apart. ``how`` is ``inner``, ``left``,
-    ``left_semi`` or ``left_anti``.
+    Every group gets as many salts as its measured size asks for, ``rows_per_salt`` rows each;
+    its record is repeated for them and every row picks one, so a group with a third of all
+    rows is spread over many tasks and other groups are not copied. ``salt_by`` names columns
+    that tell the rows of a group apart. ``how`` is ``inner``, ``left``, ``left_semi`` or
+    ``left_anti``. ``rows`` is read twice.
     """
-    copies = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = rows.withColumn("_salt", _salt(salt_by, salts))
-    return group_join(salted, copies, [*on, "_salt"], how).drop("_salt")
+    salts = materialize(group_salts(rows, on, rows_per_salt), "salts")
+    if fits(salts):
+        salts = F.broadcast(salts)
+    number = F.coalesce("_salts", F.lit(1))
+    copies = group_join(groups, salts, on, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), number - 1))
+    )
+    salted = group_join(rows, salts, on, "left").withColumn("_salt", _salt(salt_by, number))
+    return group_join(salted.drop("_salts"), copies.drop("_salts"), [*on, "_salt"], how).drop("_salt")
+
+
+def fits(table: DataFrame, most: int | None = None) -> bool:
+    """Whether a table may be broadcast, by the measured size of its values."""
+    value = lambda f: F.length(F.to_json(F.struct(F.col(f"`{f.name}`").alias("v"))))
+    size = sum((F.coalesce(value(f), F.lit(0)) for f in table.schema.fields), F.lit(16))
+    return (table.agg(F.sum(size)).first()[0] or 0) <= (MAX_BYTES if most is None else most)
 
 
 def lookup_groups(
@@ -60,9 +88,9 @@ def lookup_groups(
 ) -> DataFrame:
     """Join ``rows`` to one record per group without moving the rows if that is safe.
 
-    ``groups`` is counted, not fetched: few records are broadcast, many are joined salted.
+    ``groups`` is measured, not fetched: a small table is broadcast, a large one joined salted.
     It is read twice and should be cheap or a written table.
     """
-    if groups.count() > MAX_GROUPS:
+    if not fits(groups):
         return salted_join(rows, groups, on, salt_by, how)
     return group_join(rows, F.broadcast(groups), on, how)

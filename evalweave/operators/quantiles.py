@@ -71,6 +71,27 @@ def _narrower(
     )
 
 
+def _inner(
+    values: DataFrame, state: DataFrame, keys: Sequence[str], salt_by: Sequence[str]
+) -> DataFrame:
+    """Propose the next values inside the present bounds, which leaves out ties with these."""
+    v, low, high = F.col("_v"), F.col("_low"), F.col("_high")
+    above = F.min(F.when(low.isNull() | (v > low), v))
+    below = F.max(F.when(high.isNull() | (v < high), v))
+    return (
+        lookup_groups(values, state, keys, salt_by)
+        .filter(_inside())
+        .groupBy(*keys, *_STATE)
+        .agg(above.alias("_next"), below.alias("_last"))
+        .select(
+            *keys,
+            *_STATE,
+            F.coalesce("_next", "_low").alias("_a"),
+            F.coalesce("_last", "_high").alias("_b"),
+        )
+    )
+
+
 def exact_median(
     rows: DataFrame, keys: Sequence[str], value: str, salt_by: Sequence[str], name: str
 ) -> DataFrame:
@@ -107,15 +128,22 @@ def exact_median(
     state = materialize(_tighten(values, proposed, keys, salt_by), "median-brackets")
     open_ = F.col("_low").isNull() | F.col("_high").isNull() | (F.col("_low") < F.col("_high"))
     wide = open_ & (F.col("_inside") > MAX_INSIDE)
-    before = None
-    while True:
-        left = state.agg(F.coalesce(F.sum(F.when(wide, F.col("_inside"))), F.lit(0))).first()[0]
-        # Every round shrinks wide brackets a few hundredfold, unless ties prevent it.
-        if not left or left == before:
-            break
+    def left_in(state: DataFrame) -> int:
+        return state.agg(F.coalesce(F.sum(F.when(wide, F.col("_inside"))), F.lit(0))).first()[0]
+
+    left = left_in(state)
+    while left:
         before = left
-        cells = materialize(_narrower(values, state, keys, salt_by), "median-brackets")
-        state = materialize(_tighten(values, cells, keys, salt_by), "median-brackets")
+        # A round shrinks wide brackets a few hundredfold. Where many rows tie with a bound, no
+        # grid does, and the bound is moved past them.
+        for propose in (_narrower, _inner):
+            cells = materialize(propose(values, state, keys, salt_by), "median-brackets")
+            state = materialize(_tighten(values, cells, keys, salt_by), "median-brackets")
+            left = left_in(state)
+            if 2 * left <= before:
+                break
+        if left == before:
+            break
     middle = (
         lookup_groups(values, state, keys, salt_by)
         .filter(_inside())

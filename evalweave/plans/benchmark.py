@@ -45,12 +45,14 @@ def evaluate(
     memory_samples: DataFrame | None = None,
     batch_size: int = 32,
     on_error: str = "skip",
+    journal: str | None = None,
 ) -> Evaluation:
     """Generate, score and summarize for all models in one pass.
 
     Model outputs are written to the shared folder before they are used, since several
     later steps read them. A model with any failed example is left out of predictions
-    and summary and listed in ``errors``.
+    and summary and listed in ``errors``. With a ``journal`` folder that all executors reach,
+    a run that is started again calls models only for what the earlier one did not answer.
     """
     requests = reshape.fan_out(examples, model_ids)
     if templates is None:
@@ -70,7 +72,13 @@ def evaluate(
         "requests",
     )
     generations = materialize(
-        hooks.generate(requests, make_generator, batch_size=batch_size, on_error=on_error),
+        hooks.generate(
+            requests,
+            make_generator,
+            batch_size=batch_size,
+            on_error=on_error,
+            journal=journal and f"{journal}/generations",
+        ),
         "generations",
     )
     errors = materialize(hooks.model_errors(generations), "errors")
@@ -80,7 +88,10 @@ def evaluate(
         # Models that failed to generate are not scored.
         answered = hooks.without_failed_models(requests, errors)
         scored = materialize(
-            hooks.score_references(answered, make_scorer, on_error=on_error), "reference-scores"
+            hooks.score_references(
+                answered, make_scorer, on_error=on_error, journal=journal and f"{journal}/scores"
+            ),
+            "reference-scores",
         )
         errors = materialize(hooks.merge_errors(errors, hooks.model_errors(scored)), "errors")
         reference_stats = hooks.scoring_stats(scored)

@@ -73,6 +73,14 @@ def _file_system(spark: SparkSession, path: str):
     return location.getFileSystem(spark._jsc.hadoopConfiguration()), location
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of its file system; a path of this machine's disks as it is."""
+    fs, location = _file_system(spark, path)
+    if fs.getScheme() == "file":
+        return location.toUri().getPath()
+    return fs.makeQualified(location).toString()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder exists on the path's file system."""
     fs, location = _file_system(spark, path)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections import Counter
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -176,3 +180,78 @@ def test_a_model_that_fails_twice_has_one_row(spark):
     more = spark.createDataFrame([("a", 3, "a two"), ("b", 1, "x")], first.schema)
     got = {r.model_id: (r.failed_examples, r.error) for r in hooks.merge_errors(first, more).collect()}
     assert got == {"a": (5, "one"), "b": (1, "x")}
+
+
+# The journal ---------------------------------------------------------------------------------
+
+
+def counting(calls, dies_at=None):
+    """A generator that notes its calls in files, and ends its process at one of them."""
+
+    def make(model_id):
+        generate = make_backwards(model_id)
+
+        def noted(batch):
+            (calls / uuid.uuid4().hex).write_text("\n".join(f"{model_id} {i}" for i in batch["example_id"]))
+            if dies_at is not None and len(list(calls.iterdir())) >= dies_at:
+                os._exit(1)
+            return generate(batch)
+
+        return noted
+
+    return make
+
+
+def asked(calls):
+    return Counter(line for file in calls.iterdir() for line in file.read_text().split("\n"))
+
+
+def answers(df):
+    return sorted((r.model_id, r.example_id, r.raw_generation, r.generated_tokens) for r in df.collect())
+
+
+def test_a_killed_task_repeats_one_batch_at_most(requests, tmp_path):
+    calls, journal = tmp_path / "calls", str(tmp_path / "journal")
+    calls.mkdir()
+    with pytest.raises(Exception):
+        hooks.generate(requests, counting(calls, 6), batch_size=10, partitions=1, journal=journal).collect()
+    assert len(list(calls.iterdir())) == 6
+    again = hooks.generate(requests, counting(calls), batch_size=10, partitions=1, journal=journal)
+    assert answers(again) == answers(hooks.generate(requests, make_backwards))
+    assert sorted(asked(calls).values()) == [1] * 190 + [2] * 10
+    # Batches keep their time and size; other layouts and further readings ask for nothing.
+    assert hooks.batch_stats(again).agg(F.sum("generated_tokens")).first()[0] == 400
+    other = hooks.generate(requests, counting(calls), batch_size=7, partitions=5, journal=journal)
+    assert answers(other) == answers(again) and sum(asked(calls).values()) == 210
+
+
+def test_a_retried_task_finds_its_own_batches(requests, tmp_path):
+    """The journal is looked into for every batch, not only when the job is planned."""
+    calls, journal = tmp_path / "calls", str(tmp_path / "journal")
+    calls.mkdir()
+    planned = hooks.generate(requests, counting(calls), batch_size=10, partitions=3, journal=journal)
+    first = answers(planned)
+    assert answers(planned) == first and set(asked(calls).values()) == {1}
+
+
+def test_changed_prompts_and_failures_are_asked_again(requests, tmp_path):
+    calls, journal = tmp_path / "calls", str(tmp_path / "journal")
+    calls.mkdir()
+    failed = hooks.generate(requests, make_sometimes_broken, batch_size=10, journal=journal)
+    n_failed = failed.filter("error is not null").count()
+    changed = requests.withColumn(
+        "prompt", F.when(F.col("example_id") < 5, F.lit("new")).otherwise(F.col("prompt"))
+    )
+    got = answers(hooks.generate(changed, counting(calls), batch_size=10, journal=journal))
+    assert got == answers(hooks.generate(changed, make_backwards))
+    lost = {f"b {r.example_id}" for r in failed.filter("error is not null").collect()} if n_failed else set()
+    assert {f"{m} {i}" for m in "ab" for i in range(5)} <= set(asked(calls))
+    assert len(asked(calls)) <= 10 + max(n_failed, len(lost))
+
+
+def test_scores_are_kept_as_well(requests, tmp_path):
+    journal = str(tmp_path / "journal")
+    first = hooks.score_references(requests, make_scorer, journal=journal).collect()
+    again = hooks.score_references(requests, make_unloadable, journal=journal, on_error="fail").collect()
+    pick = lambda rows: sorted((r.model_id, r.example_id, r.token_logprobs) for r in rows)
+    assert pick(again) == pick(first)

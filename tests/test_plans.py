@@ -11,7 +11,7 @@ from workload.oracles import ORACLES
 from workload.spark_queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-PYTHON = ("generate_hook", "scorer_hook", "embed_hook", "error_isolation", "benchmark_run",
+PYTHON = ("generate_hook", "generate_resumed", "scorer_hook", "embed_hook", "error_isolation", "benchmark_run",
           "generation_accounting")
 
 

@@ -498,6 +498,7 @@ HOOKED = (FLASHCARDS, MODELS, REQUESTS, GENERATED)
 
 ORACLES["generate_hook"] = with_(*HOOKED) + f"""SELECT model_id, example_id, raw_generation,
   {words('raw_generation')} AS generated_tokens FROM generated"""
+ORACLES["generate_resumed"] = ORACLES["generate_hook"]
 ORACLES["generation_accounting"] = with_(*HOOKED) + f"""SELECT model_id,
   CAST(sum({words('raw_generation')}) AS BIGINT) AS generation_tokens, true AS timed, true AS batched
 FROM generated GROUP BY model_id"""

@@ -661,6 +661,23 @@ def generate_hook(spark, sf):
     )
 
 
+@query
+def generate_resumed(spark, sf):
+    """A run that was interrupted after some models and is started again for all of them."""
+    requests = _requests(spark, sf)
+    journal = fresh_path(spark, "journal")
+    first = requests.filter(F.col("model_id") == inputs.MODELS[0])
+    materialize(hooks.generate(first, stubs.make_generator, journal=journal), "generations")
+    resumed = hooks.generate(requests, stubs.make_generator, journal=journal)
+    answered = hooks.attach_generations(requests, materialize(resumed, "generations"))
+    return answered.select(
+        "model_id",
+        "example_id",
+        "raw_generation",
+        F.col("generated_tokens").cast("bigint").alias("generated_tokens"),
+    )
+
+
 @query
 def generation_accounting(spark, sf):
     generations = materialize(
