@@ -195,7 +195,9 @@ def frequent_prefixes(
 
     ``w[d]`` holds the word of depth ``d`` of every suffix, 0 behind its end. Returns a suffix
     with the prefix, the prefix's length and its weight. Prefixes lighter than ``least`` are
-    abandoned; those within the first ``lead`` words of their suffix are only sorted.
+    abandoned; those within the first ``lead`` words of their suffix are only sorted. Whether
+    a prefix of some suffix is counted from it must depend on the prefix and the suffix's end
+    alone, as it does for suffixes cut and routed by how frequent their words are.
     """
     found: list[tuple[int, int, int]] = []
     stack: list[tuple[np.ndarray, int, int]] = []
