@@ -147,49 +147,58 @@ def _shared_counts(sets: list[np.ndarray], n_left: int) -> np.ndarray:
     return total.round().astype(np.int64)
 
 
+def _smallest_linked(linked: np.ndarray) -> np.ndarray:
+    """The first place that each place is connected to by a symmetric table of links."""
+    labels = np.arange(len(linked))
+    while True:
+        near = np.where(linked, labels, len(labels)).min(1, initial=len(labels))
+        lower = np.minimum(labels, near)
+        lower = lower[lower]
+        if (lower == labels).all():
+            return labels
+        labels = lower
+
+
 def compare_block(
     nodes: np.ndarray, sets: list[np.ndarray], n_left: int, least: float, within: bool
 ) -> tuple[np.ndarray, np.ndarray]:
     """Links of the first ``n_left`` sets with the others, or with each other if ``within``.
 
-    Returns each node's number of links and the smallest node that links lead to.
+    Returns each node's number of links and a node that it is connected to. Nodes of each side
+    stand in rising order. Two blocks are contracted by their own links first, which each
+    block's comparison with itself reports: only a block's smallest node of a connected part
+    is connected to the other block's, so that alike sets add few connections.
     """
-    shared = _shared_counts(sets, n_left)
+    shared = _shared_counts(sets, n_left if within else len(sets))
     sizes = np.array([len(s) for s in sets])
-    union = sizes[:n_left, None] + sizes[None, :] - shared
-    linked = shared >= least * union - 1e-9
+    linked = shared >= least * (sizes[: len(shared), None] + sizes - shared) - 1e-9
+    np.fill_diagonal(linked, False)
     if within:
-        np.fill_diagonal(linked, False)
-    else:
-        linked[:, :n_left] = False
-    links = linked.sum(1)
-    links = np.concatenate((links, linked[:, n_left:].sum(0)))
-    parent = np.arange(len(nodes))
-
-    def top(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for i in np.flatnonzero(linked.any(1)):
-        for j in np.flatnonzero(linked[i]):
-            a, b = top(i), top(int(j))
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    order = np.array([top(i) for i in range(len(nodes))], int)
+        return linked.sum(1), nodes[_smallest_linked(linked)]
+    own = linked.copy()
+    own[:n_left, n_left:] = own[n_left:, :n_left] = False
+    across = linked & ~own
+    part = _smallest_linked(own)
+    heads, place = np.unique(part, return_inverse=True)
+    between = np.zeros((len(heads), len(heads)), bool)
+    x, y = np.nonzero(across)
+    between[place[x], place[y]] = True
+    joined = _smallest_linked(between)
+    # The smallest node of every connected set of parts, which may be of either block.
+    smallest = np.full(len(heads), np.iinfo(np.int64).max)
+    np.minimum.at(smallest, joined, nodes[heads])
     root = nodes.copy()
-    np.minimum.at(root, order, nodes)
-    return links, root[order]
+    root[heads] = smallest[joined]
+    return across.sum(1), root
 
 
-def _verify(candidates: DataFrame, least: float) -> DataFrame:
-    """``(class, links, root)`` from ``(class, shingles, group, block, blocks)``.
+def _verify(candidates: DataFrame, n_sets: int, least: float) -> DataFrame:
+    """``(class, links, root)`` from ``(class, shingles, group, block, blocks)`` of ``n_sets``.
 
     A group of one block is compared with other small groups in one task; a larger one is
     dealt out as pairs of blocks, each its own task.
     """
-    n_tasks = max(1, candidates.count() // 1000)
+    n_tasks = max(1, n_sets // 1000)
     small = candidates.filter("blocks = 1").select(
         F.pmod(F.xxhash64("group"), F.lit(n_tasks)).alias("task"),
         F.lit(0).alias("other"),
@@ -290,7 +299,8 @@ def join(
         .withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")),
         "candidates",
     )
-    wanted = F.broadcast(members) if members.count() <= MOST_BROADCAST else members
+    n_sets = members.count()
+    wanted = F.broadcast(members) if n_sets <= MOST_BROADCAST else members
     # Rows of one id and text are the same; one of them is enough.
     texts = _rows(docs, id_col, text_col).join(wanted, "row").dropDuplicates(["class"])
 
@@ -306,7 +316,7 @@ def join(
     candidates = texts.select("text", "class", "group", "block", "blocks").mapInArrow(
         sets, "class long, group long, block int, blocks int, shingles binary"
     )
-    verified = written(_verify(candidates, least), "links")
+    verified = written(_verify(candidates, n_sets, least), "links")
     links = verified.groupBy("class").agg(F.sum("links").alias("n_links"))
     roots = components(verified.filter("class <> root"), "class", "root")
     grouped = (

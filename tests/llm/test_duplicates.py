@@ -63,6 +63,31 @@ def near_texts():
     return texts
 
 
+def test_blocks_add_few_connections():
+    """A group of alike sets in blocks: connections grow with the blocks, not with the sets."""
+    rng = np.random.default_rng(1)
+    common = np.sort(rng.integers(0, 1 << 60, 60).astype(np.uint64))
+    edges = {}
+    for n in (256, 512, 1024):
+        sets = [np.unique(np.append(common[rng.permutation(60)[:57]], np.uint64(i))) for i in range(n)]
+        nodes, size, seen = np.arange(n) * 7 % n, 64, set()
+        blocks = [np.sort(nodes[at : at + size]) for at in range(0, n, size)]
+        links = Counter()
+        for a, left in enumerate(blocks):
+            for right in blocks[a:]:
+                within = left is right
+                both = left if within else np.concatenate([left, right])
+                found, root = near_duplicates.compare_block(both, [sets[i] for i in both], size, 0.8, within)
+                links.update(dict(zip(both.tolist(), found.tolist())))
+                seen |= {(int(x), int(r)) for x, r in zip(both, root) if x != r}
+        edges[n] = len(seen)
+        close = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+        some = range(0, n, 101)
+        assert all(links[i] == sum(close(sets[i], s) for j, s in enumerate(sets) if j != i) for i in some)
+        assert set(union(n, list(seen))) == {union(n, list(seen))[0]}
+    assert edges[1024] <= 4.5 * edges[256] and edges[1024] < 1024 + (1024 // 64) ** 2
+
+
 @pytest.mark.parametrize("block, limit", [(512, 10**6), (7, 0)])
 def test_jaccard_join(spark, near_texts, monkeypatch, block, limit):
     monkeypatch.setattr(near_duplicates, "BLOCK", block)
