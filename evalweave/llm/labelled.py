@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from evalweave.llm.shared import written
 
 FOLDS = 5
-# Texts beyond this size are left out of samples (never out of scoring).
-LARGEST_SAMPLED = 1 << 16
+# Bytes of text after which a label's sample takes no further document.
+SAMPLE_BYTES = 16 << 20
 
 
 def fold(id_col: str = "doc_id", folds: int = FOLDS) -> Column:
@@ -30,10 +32,11 @@ def labelled_sample(
 ) -> DataFrame:
     """``(label, part, text)`` of at most ``per_class`` documents for either label.
 
-    Only ids outside the held-out fold are used, those of the smallest hashes first. An id
-    with both labels, without one or without a text is left out, as is a text of more than
-    ``LARGEST_SAMPLED`` bytes; an id with several texts counts with the smallest. ``part``
-    (0 to 9) splits the sample at random.
+    Only ids outside the held-out fold are used, those of the smallest hashes first, until
+    their texts hold ``SAMPLE_BYTES``; the text that passes this bound is the last one, whole,
+    so no text is left out for its size. An id with both labels, without one or with a NULL or
+    empty text is left out; an id with several texts counts with the smallest, repeated rows
+    count once, and other columns are ignored. ``part`` (0 to 9) splits the sample at random.
     """
     label = F.col(label_col).cast("int")
     known = (
@@ -47,12 +50,20 @@ def labelled_sample(
     chosen = chosen.union(known.filter("label = 1").orderBy(order, "id").limit(per_class))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     # At most two ids and labels per sampled row: small whatever the tables' sizes.
-    return (
-        texts.filter(F.octet_length("text").between(1, LARGEST_SAMPLED))
+    found = written(
+        texts.filter("text <> ''")
         .join(F.broadcast(chosen.select("id", "label")), "id")
         .groupBy("id", "label")
-        .agg(F.min("text").alias("text"))
-        .select("label", F.pmod(F.xxhash64("id", F.lit("part")), F.lit(10)).alias("part"), "text")
+        .agg(F.min("text").alias("text")),
+        "sample",
+    )
+    # One short row per sampled document.
+    before = Window.partitionBy("label").orderBy(order, "id").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = found.select("id", "label", F.octet_length("text").cast("long").alias("size"))
+    kept = sizes.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    kept = kept.filter(F.col("before") < SAMPLE_BYTES).select("id")
+    return found.join(F.broadcast(kept), "id").select(
+        "label", F.pmod(F.xxhash64("id", F.lit("part")), F.lit(10)).alias("part"), "text"
     )
 
 

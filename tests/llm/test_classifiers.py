@@ -159,3 +159,17 @@ def test_best_cut():
     assert labelled.best_cut(scores, labels) == pytest.approx(0.5)
     slope, offset = labelled.platt(scores, labels)
     assert slope > 0 and labelled.sigmoid(slope * 0.9 + offset) > 0.5
+
+
+def test_the_sample_is_bounded_by_bytes_not_by_a_text_s_size(spark, monkeypatch):
+    long = "long line of words\n" * 5000  # over 64 KB
+    texts = [(i, long if i == 3 else f"text {i}") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2, 0, "x", 9) for i in range(40)], LABELS)
+    docs = messy.docs(spark, texts + [(3, None), (3, long)])
+    take = lambda: labelled.labelled_sample(docs, labels, "quality", 100).collect()
+    assert long in {r.text for r in take()}
+    kept = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    assert len(take()) == len(kept)
+    monkeypatch.setattr(labelled, "SAMPLE_BYTES", 1)
+    few = take()
+    assert len(few) == 2 and {r.label for r in few} == {0, 1}
