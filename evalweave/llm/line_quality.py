@@ -217,7 +217,13 @@ def train(
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Field:
-    """Train on a bounded sample of labelled documents; a fifth of it sets the curve."""
+    """Train on a bounded sample of labelled documents; a fifth of it sets the curve.
+
+    Of ``docs``, ids with a label 0 or 1 and a text are used, see ``labelled_sample`` for NULLs,
+    empty texts, repeated rows and ties; texts of any size count, columns besides ids and texts
+    do not. Without documents of both labels the field cannot tell lines apart and gives every
+    text the same score.
+    """
 
     def features(column: pa.Array) -> list[bytes]:
         x, length, first = measures(*text_bytes(column))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 
 import corpus_pipeline
 from evalweave.llm import line_quality
 from evalweave.llm.shared import written
+from tests.llm import messy
 from tests.llm.test_contamination import shingles as item_shingles
 from tests.llm.test_duplicates import shingles, union
 from tests.llm.test_tokens import check_packing
@@ -110,3 +112,27 @@ def test_every_stage(spark, sf_dir):
 def test_run_applies_all_stages(spark, sf_dir):
     pieces = corpus_pipeline.run(spark, sf_dir)
     assert pieces.columns[:3] == ["doc_id", "start", "length"] and pieces.count() > 50
+
+
+def test_stages_take_awkward_rows(spark, sf_dir):
+    """NULL ids and texts, empty and very long texts, repeated rows, clashing columns."""
+    docs = written(messy.docs(spark), "messy")
+    rows = Counter((r.doc_id, r.text) for r in docs.collect())
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        result = stage(spark, docs, sf_dir)
+        assert result.schema.simpleString() == docs.schema.simpleString()
+        got = Counter((r.doc_id, r.text) for r in result.collect())
+        assert stage(spark, messy.empty(spark), sf_dir).count() == 0
+        if name == "quality_classifier":
+            assert got <= rows
+        elif name == "line_dedup":
+            assert Counter(i for i, _ in got.elements()) == Counter(i for i, _ in rows.elements())
+            assert {i for i, t in got if t is None} == {i for i, t in rows if t is None}
+            assert sum("quick brown fox" in (t or "") for _, t in got.elements()) == 1
+        elif name == "near_duplicates":
+            assert set(got) == set(rows) - {(2, messy.TEXTS[1][1])} and max(got.values()) == 1
+        else:
+            assert got == rows
+    packing = corpus_pipeline.STAGES[-1][1]
+    assert check_packing(packing(spark, docs, sf_dir).collect(), list(rows.elements()), 1024) == 0
+    assert packing(spark, messy.empty(spark), sf_dir).count() == 0
