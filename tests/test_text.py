@@ -101,7 +101,7 @@ def test_word_characters_match_python(values):
 
 
 def test_token_f1_literals(spark):
-    sentence = "The primary long-term intervention for persistent asthma is {}inhaled corticosteroids."
+    sentence = "The early sea-green ferry for quiet harbours is {}painted wood."
     cases = [
         ("acute kidney injury", "acute renal injury", 2 / 3),
         ("", "", 1.0),
