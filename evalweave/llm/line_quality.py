@@ -221,8 +221,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
 
     Of ``docs``, ids with a label 0 or 1 and a text are used, see ``labelled_sample`` for NULLs,
     empty texts, repeated rows and ties; texts of any size count, columns besides ids and texts
-    do not. Without documents of both labels the field cannot tell lines apart and gives every
-    text the same score.
+    do not. Without documents of both labels no curve is fitted, and a score only says what
+    share of a text's lines the field takes for good (half without any label).
     """
 
     def features(column: pa.Array) -> list[bytes]:

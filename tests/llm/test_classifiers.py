@@ -173,3 +173,11 @@ def test_the_sample_is_bounded_by_bytes_not_by_a_text_s_size(spark, monkeypatch)
     monkeypatch.setattr(labelled, "SAMPLE_BYTES", 1)
     few = take()
     assert len(few) == 2 and {r.label for r in few} == {0, 1}
+
+
+def test_without_both_labels(spark, corpus):
+    docs, labels = corpus
+    for known in (labels.limit(0), labels.filter("toxic = 0 AND quality = 1")):
+        assert toxicity.score(docs, toxicity.fit(docs, known)).filter("predicted = 1").isEmpty()
+        scores = line_quality.score(docs, line_quality.fit(docs, known))
+        assert scores.filter("score BETWEEN 0 AND 1").count() == docs.count()
