@@ -89,9 +89,12 @@ def test_every_query_has_its_sql():
     assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
 
 
-def test_a_merge_of_configurations_shuffles_each_side_once(spark, no_broadcast):
+def test_a_merge_of_configurations_joins_on_runs_and_keys(spark, no_broadcast):
+    """Joins that adaptive execution can split, and no array of a run's entries."""
     plan = plan_of(queries()["layered_merge"](spark, SF))
-    assert plan.count("Exchange hashpartitioning") <= 2 and "Join" not in plan
+    assert "collect_list" not in plan and "CartesianProduct" not in plan
+    assert plan.count("SortMergeJoin") == 2 and "LeftAnti" in plan and "LeftSemi" in plan
+    assert plan.count("named_struct(run_id") + plan.count("struct(run_id") >= 2
 
 
 def test_reference_scores_count_nothing_while_they_are_built(spark):
