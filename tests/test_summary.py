@@ -185,3 +185,15 @@ def test_disagreements(spark):
     got = scoring.disagreements(df, 0.8, 0.6, 5).collect()
     assert [(r.example_id, r.gap_rank) for r in got] == [(2, 1), (1, 2)]
     assert scoring.disagreements(df, 0.8, 0.6, 1).count() == 1
+
+
+def test_an_approximate_median_on_request(spark):
+    rows = [(m, i, 0.5, float(v)) for m in ("a", None) for i, v in enumerate([*range(1, 2002), float("nan")])]
+    schema = "model_id string, example_id long, token_f1 double, reference_answer_token_perplexity double"
+    df = spark.createDataFrame(rows, schema)
+    exact = {r.model_id: r for r in summary.summarize_predictions(df).collect()}
+    near = {r.model_id: r for r in summary.summarize_predictions(df, median_accuracy=1000).collect()}
+    assert set(near["a"].asDict()) == set(exact["a"].asDict())
+    for model in ("a", None):
+        name = "reference_answer_token_perplexity_median"
+        assert exact[model][name] == 1001.0 and abs(near[model][name] - 1001) <= 3
