@@ -1,17 +1,21 @@
-"""LM scoring by a Katz backoff model with Good-Turing discounts.
-
-Every word of the training rows is modelled by its predecessor; probabilities sum to exactly
-one over all known words and one unknown one. Texts are cut into chunks of some million
-tokens. A chunk asks for the corpus counts of its distinct words, then for those of its
-distinct word pairs and for what its words leave as predecessors; counts are summed over a
-table of those requests, partitioned by n-gram, and go back with the chunk's number. Every
-token is then evaluated: its pair if seen in training, else the backoff weight of the
-predecessor times the share of the word. Nothing that grows with the number of words or
-pairs reaches the driver.
+"""LM scoring by a Katz backoff model of any order with Good-Turing discounts.
+
+An n-gram's chance is its discounted share of its context's followers if it was seen in
+training, else the context's backoff weight times the chance of its suffix, and so on down to
+single words; probabilities sum to exactly one over all known words and one unknown one.
+
+Texts are cut into chunks of some million tokens. A chunk sends the hashes of its distinct
+n-grams of every order with their counts, ascending and as differences, one row per bucket of
+hashes; a bucket adds up the counts of all chunks and answers each. From then on a chunk knows
+what the corpus says of its n-grams. A context's discounted followers and their chances at
+the order below are summed where they lie: each n-gram is summed by the one chunk that owns it,
+and contexts that several chunks hold are added up in buckets again, order after order. Nothing
+that grows with the number of words or n-grams reaches the driver.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from evalweave.llm.labelled import fold
 from evalweave.llm.shared import written
@@ -28,18 +32,17 @@ from evalweave.llm.words import NOT_SPACE, mixed, slices, text_bytes, words
 # Counts up to this one are discounted.
 LARGEST_DISCOUNTED = 5
 TOKENS_AT_ONCE = 2_000_000
-_END = np.uint64(0)
-# Numbers of a chunk's classes: words that are not modelled one by one, and a text's start.
-RARE, START = 0, 1
-# What takes the place of a word's hash for these two.
-_RARE_NAME, _START_NAME = 1, 2
+# Tokens of the corpus per bucket of n-gram hashes: a bucket holds at most as many n-grams.
+TOKENS_PER_BUCKET = 1_000_000
+# Hashes of a text's end and of what comes before its first word.
+_END, _START = np.uint64(0), np.uint64(1)
+# Added to an order, this is the number of the step that sums up its contexts.
+_SUMS = 1000
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Words below ``least_share`` of the training tokens share one class; by default none does."""
-
-    least_share: float = 0.0
+    order: int = 3  # words of the longest n-grams, at least 2
     training_fold: int = 1  # documents of this fold are not learnt from
 
 
@@ -93,15 +96,25 @@ def backoffs(
     return scale, np.where(open_, (1 - scale * mass) / np.where(open_, unseen, 1), 0.0)
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """Small integers as bytes, compressed plane by plane."""
-    planes = np.ascontiguousarray(values, "<i4").view(np.uint8).reshape(-1, 4).T
+def _packed(values: np.ndarray, kind: str = "<i4") -> bytes:
+    """Small numbers as bytes, compressed plane by plane."""
+    flat = np.ascontiguousarray(values, kind)
+    planes = flat.view(np.uint8).reshape(-1, flat.itemsize).T
     return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(planes).tobytes())
 
 
-def _unpacked(data: bytes) -> np.ndarray:
+def _unpacked(data: bytes, kind: str = "<i4") -> np.ndarray:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").ravel()
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _packed_names(names: np.ndarray) -> bytes:
+    """Ascending hashes, as differences."""
+    return _packed(np.diff(names, prepend=np.uint64(0)), "<u8")
+
+
+def _unpacked_names(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(data, "<u8"), dtype=np.uint64)
 
 
 def _chunks(docs: DataFrame, settings: Settings, id_col: str, text_col: str) -> DataFrame:
@@ -122,19 +135,15 @@ def _chunks(docs: DataFrame, settings: Settings, id_col: str, text_col: str) ->
             order = np.argsort(-counts, kind="stable")
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
-            number = rank[number]
-            learnt = np.repeat(~out, lengths)
-            trained = np.bincount(number[learnt], minlength=len(kinds))
             one = np.array([0, len(ids)], np.int32)
             row = [
                 pa.array([task << 20 | n_chunks], pa.int64()),
                 pa.ListArray.from_arrays(pa.array(one), ids),
                 pa.ListArray.from_arrays(pa.array(one), pa.array(out)),
                 pa.array([_packed(lengths)], pa.binary()),
-                pa.array([_packed(number)], pa.binary()),
+                pa.array([_packed(rank[number])], pa.binary()),
                 pa.array([kinds[order].tobytes()], pa.binary()),
-                pa.array([_packed(trained)], pa.binary()),
-                pa.array([int(learnt.sum())], pa.int64()),
+                pa.array([len(tokens)], pa.int64()),
             ]
             held, size, n_chunks = [], 0, n_chunks + 1
             return pa.RecordBatch.from_arrays(row, names)
@@ -152,7 +161,7 @@ def _chunks(docs: DataFrame, settings: Settings, id_col: str, text_col: str) ->
         if held:
             yield done()
 
-    names = ["chunk", "ids", "held_out", "lengths", "tokens", "kinds", "trained", "n_learnt"]
+    names = ["chunk", "ids", "held_out", "lengths", "tokens", "kinds", "n_tokens"]
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(
         F.col(id_col).alias("id"),
@@ -162,60 +171,205 @@ def _chunks(docs: DataFrame, settings: Settings, id_col: str, text_col: str) ->
     return rows.mapInArrow(
         run,
         f"chunk long, ids array<{kind}>, held_out array<boolean>, lengths binary, "
-        "tokens binary, kinds binary, trained binary, n_learnt long",
+        "tokens binary, kinds binary, n_tokens long",
     )
 
 
-def _counted(requests: DataFrame, by: list[str]) -> DataFrame:
-    """Add the corpus count ``c`` of each requested n-gram, and ``first``: one request of each.
+@dataclass
+class Level:
+    """A chunk's distinct n-grams of one order, by ascending hash.
 
-    An n-gram has one request per chunk at most, so none dominates the shuffle.
+    An n-gram is known by the numbers of its context (all but its last word) and of its suffix
+    (all but its first) among the n-grams one order lower.
     """
-    same = Window.partitionBy(*by)
-    return requests.withColumns(
-        {
-            "c": F.sum("n").over(same),
-            "first": F.min("chunk").over(same) == F.col("chunk"),
-        }
-    )
-
 
-def _counts_of_counts(counted: DataFrame) -> tuple[dict[int, int], int, int]:
-    """Counts of the smallest counts, all occurrences and all kinds."""
-    c = F.col("c")
-    row = (
-        counted.filter("first AND c > 0")
-        .agg(
-            *(F.count(F.when(c == r, 1)).alias(f"n{r}") for r in range(1, LARGEST_DISCOUNTED + 2)),
-            F.coalesce(F.sum("c"), F.lit(0)).alias("total"),
-            F.count("*").alias("kinds"),
-        )
-        .first()
+    names: np.ndarray
+    at: np.ndarray  # tokens with enough words before them
+    number: np.ndarray  # of each of these tokens: its n-gram
+    context: np.ndarray
+    suffix: np.ndarray
+
+
+class Chunk:
+    """The n-grams of a chunk up to an order, and what the corpus says of them."""
+
+    def __init__(self, row: dict, order: int):
+        self.lengths = _unpacked(row["lengths"]).astype(np.int64)
+        self.first = np.cumsum(self.lengths) - self.lengths
+        self.learnt = np.repeat(~np.asarray(row["held_out"], bool), self.lengths)
+        kinds = np.append(np.frombuffer(row["kinds"], np.uint64), _START)
+        by_name = np.argsort(kinds)
+        rank = np.empty(len(kinds), np.int32)
+        rank[by_name] = np.arange(len(kinds), dtype=np.int32)
+        tokens = rank[_unpacked(row["tokens"])]
+        names = kinds[by_name]
+        self.start, self.end = rank[-1], int(np.searchsorted(names, _END))
+        none = np.zeros(0, np.int32)
+        self.levels = [Level(names, np.arange(len(tokens)), tokens, none, none)]
+        depth = np.arange(len(tokens)) - np.repeat(self.first, self.lengths)
+        # Hash and number of each token's n-gram of the order before.
+        word, gram, number = names[tokens], names[tokens], tokens
+        for n in range(2, order + 1):
+            context, context_name = np.empty_like(number), np.empty_like(gram)
+            context[1:], context_name[1:] = number[:-1], gram[:-1]
+            if n == 2:
+                context[self.first], context_name[self.first] = self.start, _START
+            at = np.flatnonzero(depth >= n - 2)
+            own = mixed(context_name[at] * np.uint64(0x9E3779B97F4A7C15) + word[at])
+            sort = np.argsort(own)
+            ranked = own[sort]
+            new = np.ones(len(at), bool)
+            new[1:] = ranked[1:] != ranked[:-1]
+            one = at[sort[new]]
+            of_token = np.empty(len(at), np.int32)
+            of_token[sort] = np.cumsum(new, dtype=np.int32) - 1
+            self.levels.append(Level(ranked[new], at, of_token, context[one], number[one]))
+            gram, number = np.zeros_like(gram), np.zeros_like(number)
+            gram[at], number[at] = own, of_token
+
+    def counts(self, n: int) -> np.ndarray:
+        """Occurrences of the n-grams in the chunk's training rows."""
+        level = self.levels[n - 1]
+        return np.bincount(level.number[self.learnt[level.at]], minlength=len(level.names))
+
+
+    def told(self, answers: pa.Table, found: list[Discounts], order: int) -> None:
+        """Take the corpus counts that came back; chances up to ``order`` follow from them."""
+        parts: dict[int, list] = defaultdict(list)
+        for row in sorted(answers.to_pylist(), key=lambda r: (r["step"], r["bucket"])):
+            parts[row["step"]].append(row)
+
+        def joined(step: int, column: str, kind: str) -> np.ndarray:
+            return np.concatenate([np.zeros(0, kind), *(_unpacked(r[column], kind) for r in parts[step])])
+
+        states = [joined(n, "data", "<i8") for n in range(1, len(self.levels) + 1)]
+        self.corpus = [s >> 2 for s in states]
+        self.owned = [s & 2 > 0 for s in states]
+        self.shared = [s & 1 > 0 for s in states]
+        self.found = found
+        seen = found[0].share(self.corpus[0]) / max(found[0].total, 1)
+        self.chances = [np.where(self.corpus[0] > 0, seen, found[0].left)]
+        for n in range(2, order + 1):
+            level, totals, asked = self.levels[n - 1], self.totals(n), self.asked(n)
+            kept, lower = self.sums(n)
+            kept[asked] = joined(_SUMS + n, "data", "<f8")
+            lower[asked] = joined(_SUMS + n, "more", "<f8")
+            # A context that training rows do not follow leaves all to its suffix.
+            scales, weights = np.ones(len(totals)), np.ones(len(totals))
+            some = kept > 0
+            scales[some], weights[some] = backoffs(totals[some], kept[some], lower[some])
+            counts, context = self.corpus[n - 1], level.context
+            seen = found[n - 1].share(counts) * scales[context] / np.maximum(totals[context], 1)
+            unseen = weights[context] * self.chances[n - 2][level.suffix]
+            self.chances.append(np.where(counts > 0, seen, unseen))
+
+    def totals(self, n: int) -> np.ndarray:
+        """How often anything follows the contexts of n-grams of the order in training rows."""
+        totals = self.corpus[n - 2].copy()
+        if n == 2:
+            totals[self.start] = totals[self.end]
+        return totals
+
+    def asked(self, n: int) -> np.ndarray:
+        """Contexts of which other chunks hold a part."""
+        return self.shared[n - 2] & (self.totals(n) > 0)
+
+    def sums(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """By context: discounted counts of its followers, and their chances one order lower.
+
+        Only n-grams that the chunk owns are summed.
+        """
+        level, own = self.levels[n - 1], self.owned[n - 1]
+        context, size = level.context[own], len(self.levels[n - 2].names)
+        kept = self.found[n - 1].share(self.corpus[n - 1][own])
+        lower = self.chances[n - 2][level.suffix[own]]
+        # Without any n-gram, bincount returns integers.
+        return tuple(np.bincount(context, w, size).astype(float) for w in (kept, lower))
+
+
+_REPLY = "chunk long, step int, bucket int, data binary, more binary, few array<long>"
+
+
+def _cuts(names: np.ndarray, bits: int) -> np.ndarray:
+    """Bounds of the buckets, which are ranges of the hashes' first bits."""
+    starts = np.arange(1 << bits, dtype=np.uint64)
+    if bits:
+        starts <<= np.uint64(64 - bits)
+    return np.append(np.searchsorted(names, starts), len(names))
+
+
+def _bucket_rows(chunk: int, step: int, names: np.ndarray, columns: dict, bits: int) -> list[dict]:
+    """One row per bucket that holds any of the ascending ``names``."""
+    bounds = _cuts(names, bits)
+    return [
+        {"chunk": chunk, "step": step, "bucket": k, "names": _packed_names(names[a:b])}
+        | {c: _packed(v[a:b], kind) for c, (v, kind) in columns.items()}
+        for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist()))
+        if b > a
+    ]
+
+
+_REQUEST = pa.schema(
+    [("chunk", pa.int64()), ("step", pa.int32()), ("bucket", pa.int32()), ("names", pa.binary()), ("n", pa.binary())]
+)
+_PART = pa.schema([*list(_REQUEST)[:4], ("kept", pa.binary()), ("lower", pa.binary())])
+_ANSWER = pa.schema(
+    [*list(_REQUEST)[:3], ("data", pa.binary()), ("more", pa.binary()), ("few", pa.list_(pa.int64()))]
+)
+
+
+def _gathered(table: pa.Table) -> tuple[list[dict], np.ndarray, np.ndarray, np.ndarray]:
+    """A bucket's rows by chunk, where each one's n-grams begin, and the number of each n-gram."""
+    rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
+    names = [_unpacked_names(r["names"]) for r in rows]
+    bounds = np.cumsum([0, *(len(x) for x in names)])
+    distinct, number = np.unique(np.concatenate(names), return_inverse=True)
+    return rows, bounds, distinct, number
+
+
+def _count(table: pa.Table) -> pa.Table:
+    """Add up a bucket's n-grams: each request gets the corpus count, whether the chunk owns the
+    n-gram, and whether other chunks ask for it too.
+
+    The first chunk that holds a training occurrence owns an n-gram.
+    """
+    rows, bounds, distinct, number = _gathered(table)
+    n = np.concatenate([_unpacked(r["n"]) for r in rows]).astype(np.int64)
+    holders = np.bincount(number, minlength=len(distinct))
+    total = np.bincount(number, weights=n, minlength=len(distinct)).astype(np.int64)
+    trained = np.flatnonzero(n)[::-1]
+    owner = np.full(len(distinct), -1)
+    owner[number[trained]] = trained
+    owned = owner[number] == np.arange(len(number))
+    state = total[number] << 2 | owned.astype(np.int64) << 1 | (holders[number] > 1)
+    known = total[total > 0]
+    few = [int((known == r).sum()) for r in range(1, LARGEST_DISCOUNTED + 2)]
+    few += [int(known.sum()), len(known)]
+    return pa.Table.from_pylist(
+        [
+            {k: r[k] for k in ("chunk", "step", "bucket")}
+            | {"data": _packed(state[a:b], "<i8"), "few": None if i else few}
+            for i, (r, a, b) in enumerate(zip(rows, bounds[:-1], bounds[1:]))
+        ],
+        _ANSWER,
     )
-    few = {r: row[f"n{r}"] for r in range(1, LARGEST_DISCOUNTED + 2)}
-    return few, row["total"], row["kinds"]
-
-
-def _pairs(row_lengths: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Each token's pair: the class before it, or ``START``, and its own class."""
-    before = np.empty_like(classes)
-    before[1:] = classes[:-1]
-    first = np.cumsum(row_lengths) - row_lengths
-    before[first] = START
-    return before.astype(np.int64) << 32 | classes
-
-
-def _pair_names(contexts: np.ndarray, words_: np.ndarray) -> np.ndarray:
-    """64-bit hashes of pairs of words' hashes."""
-    names = contexts.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + words_.view(np.uint64)
-    return mixed(names).view(np.int64)
 
 
-def _ratio(found: Discounts, counts: Column) -> Column:
-    """The discount ratio of each count."""
-    last = len(found.ratios) - 1
-    ratios = F.array(*(F.lit(float(r)) for r in found.ratios))
-    return F.element_at(ratios, F.least(counts, F.lit(last)).cast("int") + 1)
+def _add(table: pa.Table) -> pa.Table:
+    """Add up the sums of a bucket's contexts over all chunks."""
+    rows, bounds, distinct, number = _gathered(table)
+    sums = []
+    for column in ("kept", "lower"):
+        values = np.concatenate([_unpacked(r[column], "<f8") for r in rows])
+        sums.append(np.bincount(number, weights=values, minlength=len(distinct))[number])
+    return pa.Table.from_pylist(
+        [
+            {k: r[k] for k in ("chunk", "step", "bucket")}
+            | {c: _packed(v[a:b], "<f8") for c, v in zip(("data", "more"), sums)}
+            for r, a, b in zip(rows, bounds[:-1], bounds[1:])
+        ],
+        _ANSWER,
+    )
 
 
 def score(
@@ -227,191 +381,101 @@ def score(
     """Score every row by a model of the rows outside the held-out fold.
 
     ``(id, held_out, n_tokens, n_known, train_tokens, base_score, score)``; scores are log10
-    probabilities. A NULL or empty text is its end token alone; a NULL id stays NULL and
-    falls in fold 0; repeated rows are learnt from and scored each; an empty table gives no
-    row; without training rows all tokens are unknown; other columns are ignored whatever
-    their names. A task holds one chunk of ``TOKENS_AT_ONCE`` tokens, or one text.
+    probabilities. A text's first words have the contexts that there are. A NULL or empty text
+    is its end token alone; a NULL id stays NULL and falls in fold 0; repeated rows are learnt
+    from and scored each; an empty table gives no row; without training rows all tokens are
+    unknown; other columns are ignored whatever their names. A task holds one chunk of
+    ``TOKENS_AT_ONCE`` tokens, or one text, or the n-grams of one order in one bucket.
     """
+    order = settings.order
+    if order < 2:
+        raise ValueError("the model needs pairs at least")
     id_kind = docs.schema[id_col].dataType.simpleString()
     chunks = written(_chunks(docs, settings, id_col, text_col), "lm-chunks")
-    n_learnt = chunks.agg(F.coalesce(F.sum("n_learnt"), F.lit(0))).first()[0]
-    least = max(1, int(np.ceil(settings.least_share * n_learnt)))
+    n_tokens = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    bits = max(0, int(np.ceil(np.log2(max(n_tokens, 1) / TOKENS_PER_BUCKET))))
 
-    def word_requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, kinds, trained in zip(*(c.to_pylist() for c in batch.columns)):
-                kinds, trained = np.frombuffer(kinds, np.int64), _unpacked(trained)
-                for at in range(0, len(kinds), 100_000):
-                    part = kinds[at : at + 100_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(len(part), chunk)),
-                            pa.array(np.arange(at, at + len(part), dtype=np.int32)),
-                            pa.array(part),
-                            pa.array(trained[at : at + 100_000]),
-                        ],
-                        ["chunk", "place", "word", "n"],
-                    )
-
-    requests = chunks.select("chunk", "kinds", "trained").mapInArrow(
-        word_requests, "chunk long, place int, word long, n int"
-    )
-    unigrams = written(
-        _counted(requests, ["word"]).select("chunk", "place", "word", "c", "first"), "lm-unigrams"
+            for row in batch.to_pylist():
+                chunk = Chunk(row, order)
+                for n, level in enumerate(chunk.levels, 1):
+                    counts = {"n": (chunk.counts(n), "<i4")}
+                    rows = _bucket_rows(row["chunk"], n, level.names, counts, bits)
+                    yield from pa.Table.from_pylist(rows, _REQUEST).to_batches()
+
+    asked = chunks.select("chunk", "held_out", "lengths", "tokens", "kinds").mapInArrow(
+        requests, "chunk long, step int, bucket int, names binary, n binary"
     )
-    few, total, n_kinds = _counts_of_counts(unigrams)
-    uni = discounts(few, total)
-    own = F.col("c") * _ratio(uni, F.col("c"))
-    frequent = unigrams.filter(F.col("first") & (F.col("c") >= least)).agg(F.sum(own)).first()[0]
-    rare_share = max(1 - (frequent or 0.0) / max(total, 1), 1e-300)
+    answers = written(asked.groupBy("step", "bucket").applyInArrow(_count, _REPLY), "lm-counts")
+    kinds_of = range(LARGEST_DISCOUNTED + 3)
+    stated = {
+        r[0]: list(r)[1:]
+        for r in answers.filter("few IS NOT NULL")
+        .groupBy("step")
+        .agg(*(F.sum(F.col("few")[k]).alias(f"few_{k}") for k in kinds_of))
+        .collect()
+    }
+    found = []
+    for n in range(1, order + 1):
+        *few, total, kinds = stated.get(n, [0] * len(kinds_of))
+        found.append(discounts({r: c for r, c in enumerate(few, 1)}, total))
+    total, n_kinds = found[0].total, stated[1][-1] if stated else 0
     floor = np.log10(total + 0.5 * (n_kinds + 1))
 
-    def classify(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Replace a chunk's tokens by their classes and sum up what unigrams decide."""
-        counts = np.zeros(len(right), np.int64)
-        counts[right["place"].to_numpy()] = right["c"].to_numpy()
-        kind_class = np.where(counts >= least, np.arange(len(right)) + 2, RARE)
-        chance = np.where(counts > 0, uni.share(counts) / max(total, 1), uni.left)
-        inside = np.where(kind_class == RARE, np.log10(chance / rare_share), 0.0)
-        base = np.log10(counts + 0.5) - floor
-        out = {k: [] for k in ("classes", "class_counts", "base", "inside", "n_known")}
-        for tokens, lengths in zip(left["tokens"].to_pylist(), left["lengths"].to_pylist()):
-            tokens, lengths = _unpacked(tokens), _unpacked(lengths)
-            first = np.cumsum(lengths) - lengths
-            out["classes"].append(_packed(kind_class[tokens]))
-            out["class_counts"].append(np.concatenate(([0, 0], counts)).tobytes())
-            out["base"].append(np.add.reduceat(base[tokens], first).tolist())
-            out["inside"].append(np.add.reduceat(inside[tokens], first).tolist())
-            out["n_known"].append(np.add.reduceat((counts > 0)[tokens].astype(np.int64), first).tolist())
-        table = left.select(["chunk", "ids", "held_out", "lengths", "kinds"])
-        for name, kind in (("classes", pa.binary()), ("class_counts", pa.binary()), ("base", pa.list_(pa.float64())), ("inside", pa.list_(pa.float64())), ("n_known", pa.list_(pa.int64()))):
-            table = table.append_column(name, pa.array(out[name], kind))
-        return table
-
-    asked = chunks.select("chunk", "ids", "held_out", "lengths", "kinds", "tokens").groupBy("chunk")
-    classed = written(
-        asked.cogroup(unigrams.select("chunk", "place", "c").groupBy("chunk")).applyInArrow(
-            classify,
-            f"chunk long, ids array<{id_kind}>, held_out array<boolean>, lengths binary, kinds binary, "
-            "classes binary, class_counts binary, base array<double>, inside array<double>, n_known array<long>",
-        ),
-        "lm-classes",
-    )
-
-    def pair_requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, out, lengths, kinds, classes, class_counts in zip(*(c.to_pylist() for c in batch.columns)):
-                lengths = _unpacked(lengths)
-                pairs, number = np.unique(_pairs(lengths, _unpacked(classes)), return_inverse=True)
-                learnt = np.repeat(~np.asarray(out, bool), lengths)
-                trained = np.bincount(number[learnt], minlength=len(pairs)).astype(np.int32)
-                names = np.concatenate(([_RARE_NAME, _START_NAME], np.frombuffer(kinds, np.int64)))
-                follower_counts = np.frombuffer(class_counts, np.int64)
-                for at in range(0, len(pairs), 100_000):
-                    part = pairs[at : at + 100_000]
-                    context, word = names[part >> 32], part & 0xFFFFFFFF
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(len(part), chunk)),
-                            pa.array(np.arange(at, at + len(part), dtype=np.int32)),
-                            pa.array(_pair_names(context, names[word])),
-                            pa.array(trained[at : at + 100_000]),
-                            pa.array(context),
-                            pa.array(follower_counts[word]),
-                        ],
-                        ["chunk", "place", "pair", "n", "context", "follower"],
-                    )
-
-    requests = classed.select("chunk", "held_out", "lengths", "kinds", "classes", "class_counts").mapInArrow(
-        pair_requests, "chunk long, place int, pair long, n int, context long, follower long"
-    )
-    learnt = F.col("first") & (F.col("c") > 0)
-    bigrams = written(
-        _counted(requests, ["pair"]).select(
-            "chunk",
-            "place",
-            "c",
-            "first",
-            F.when(learnt, F.col("context")).alias("context"),
-            F.when(learnt, F.col("follower")).alias("follower"),
-        ),
-        "lm-bigrams",
-    )
-    few, total_pairs, _ = _counts_of_counts(bigrams)
-    bi = discounts(few, total_pairs)
-    # The class of rare words has no count of its own here.
-    follower = F.col("follower")
-    share = F.when(follower == 0, rare_share).otherwise(follower * _ratio(uni, follower) / total)
-    contexts = written(
-        bigrams.filter(learnt)
-        .groupBy("context")
-        .agg(
-            F.sum("c").alias("total"),
-            F.sum(F.col("c") * _ratio(bi, F.col("c"))).alias("kept"),
-            F.sum(share).alias("lower"),
-        ),
-        "lm-contexts",
-    )
-    two = {
-        r.context - _RARE_NAME: (r.total, r.kept, r.lower)
-        for r in contexts.filter(F.col("context").isin(_RARE_NAME, _START_NAME)).collect()
-    }
-    # One table of a chunk's answers: those on words as predecessors have negative places.
-    answers = bigrams.select(
-        "chunk", "place", "c", F.lit(0.0).alias("kept"), F.lit(0.0).alias("lower")
-    ).unionByName(
-        unigrams.filter(F.col("c") >= least)
-        .join(contexts.withColumnRenamed("context", "word"), "word")
-        .select("chunk", (-F.col("place") - 1).alias("place"), F.col("total").alias("c"), "kept", "lower")
-    )
+    def together(table: DataFrame):
+        return table.groupBy("chunk").cogroup(answers.drop("few").groupBy("chunk"))
+
+    def context_sums(n: int):
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            rows = []
+            for row in left.to_pylist():
+                chunk = Chunk(row, n)
+                chunk.told(right, found, n - 1)
+                mask = chunk.asked(n)
+                kept, lower = chunk.sums(n)
+                columns = {"kept": (kept[mask], "<f8"), "lower": (lower[mask], "<f8")}
+                names = chunk.levels[n - 2].names[mask]
+                rows += _bucket_rows(row["chunk"], _SUMS + n, names, columns, bits)
+            return pa.Table.from_pylist(rows, _PART)
+
+        return run
+
+    for n in range(2, order + 1):
+        parts = together(chunks.select("chunk", "held_out", "lengths", "tokens", "kinds")).applyInArrow(
+            context_sums(n), "chunk long, step int, bucket int, names binary, kept binary, lower binary"
+        )
+        sums = written(parts.groupBy("step", "bucket").applyInArrow(_add, _REPLY), f"lm-sums-{n}")
+        answers = answers.unionByName(sums)
 
     def evaluate(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Score a chunk's documents from its distinct pairs and words."""
-        place, found_counts = right["place"].to_numpy(), right["c"].to_numpy()
-        of_pair = place >= 0
-        counts = np.zeros(int(of_pair.sum()), np.int64)
-        counts[place[of_pair]] = found_counts[of_pair]
+        """Score a chunk's documents."""
         columns: dict[str, list] = {k: [] for k in ("id", "held_out", "n_tokens", "n_known", "base_score", "score")}
         for row in left.to_pylist():
-            class_counts = np.frombuffer(row["class_counts"], np.int64)
-            totals, scales, weights = (np.ones(len(class_counts)) for _ in range(3))
-            number = np.concatenate((1 - place[~of_pair], np.array(list(two), np.int64)))
-            stated = np.concatenate(
-                (
-                    np.stack([right[k].to_numpy()[~of_pair] for k in ("c", "kept", "lower")], 1),
-                    np.array(list(two.values()), float).reshape(-1, 3),
-                )
-            )
-            totals[number] = stated[:, 0]
-            scales[number], weights[number] = backoffs(*stated.T)
-            shares = uni.share(class_counts) / max(total, 1)
-            shares[RARE] = rare_share
-            lengths, classes = _unpacked(row["lengths"]), _unpacked(row["classes"])
-            pairs, number = np.unique(_pairs(lengths, classes), return_inverse=True)
-            context, word = pairs >> 32, pairs & 0xFFFFFFFF
-            seen = bi.share(counts) * scales[context] / totals[context]
-            chance = np.where(counts > 0, seen, weights[context] * shares[word])
-            first = np.cumsum(lengths) - lengths
-            value = np.add.reduceat(np.log10(chance)[number], first) + np.array(row["inside"])
+            chunk = Chunk(row, order)
+            chunk.told(right, found, order)
+            counts = chunk.corpus[0][chunk.levels[0].number]
+            chance = np.ones(len(counts))
+            for level, chances in zip(chunk.levels[1:], chunk.chances[1:]):
+                chance[level.at] = chances[level.number]
             columns["id"] += row["ids"]
             columns["held_out"] += row["held_out"]
-            columns["n_tokens"] += lengths.tolist()
-            columns["n_known"] += row["n_known"]
-            columns["base_score"] += row["base"]
-            columns["score"] += value.tolist()
+            columns["n_tokens"] += chunk.lengths.tolist()
+            for name, values in (
+                ("n_known", (counts > 0).astype(np.int64)),
+                ("base_score", np.log10(counts + 0.5) - floor),
+                ("score", np.log10(chance)),
+            ):
+                columns[name] += np.add.reduceat(values, chunk.first).tolist()
         kinds = (left.schema.field("ids").type.value_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(columns.items(), kinds)})
 
-    found = (
-        classed.drop("kinds")
-        .groupBy("chunk")
-        .cogroup(answers.groupBy("chunk"))
-        .applyInArrow(
-            evaluate,
-            f"id {id_kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double",
-        )
+    scored = together(chunks.drop("n_tokens")).applyInArrow(
+        evaluate,
+        f"id {id_kind}, held_out boolean, n_tokens long, n_known long, "
+        "base_score double, score double",
     )
-    return found.select(
+    return scored.select(
         F.col("id").alias(id_col),
         "held_out",
         "n_tokens",

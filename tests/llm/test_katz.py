@@ -32,56 +32,80 @@ def texts():
     return messy.TEXTS + made
 
 
-def plain(texts, least_share):
+def plain(texts, order):
+    """Rows of ``score``, and the chances of all words after every context."""
     docs = [(i, tokens(t)) for i, t in texts]
     train = [ts for i, ts in docs if not held_out(i)]
     c = Counter(t for ts in train for t in ts)
     n = sum(c.values())
     uni = katz.discounts(Counter(c.values()), n)
-    share = {w: float(uni.share(np.array([k]))[0]) / n for w, k in c.items()}
-    least = max(1, math.ceil(least_share * n))
-    frequent = {w for w, k in c.items() if k >= least}
-    classes = {w: share[w] for w in frequent}
-    rare = 1 - sum(classes.values())
-    name = lambda w: ("word", w) if w in frequent else "rare"
-    lower = {("word", w): p for w, p in classes.items()} | {"rare": rare}
-    pairs = Counter()
-    for ts in train:
-        pairs.update(zip(["start", *map(name, ts)], map(name, ts)))
-    bi = katz.discounts(Counter(pairs.values()), sum(pairs.values()))
-    table = {}
-    for h in {h for h, _ in pairs}:
-        seen = {w: k for (g, w), k in pairs.items() if g == h}
-        total = sum(seen.values())
-        kept = {w: float(bi.share(np.array([k]))[0]) for w, k in seen.items()}
-        mass, unseen = sum(kept.values()) / total, 1 - sum(lower[w] for w in seen)
-        scale = min(1, total / (total + 1) / mass) if unseen > 1e-12 else 1 / mass
-        alpha = (1 - scale * mass) / unseen if unseen > 1e-12 else 0
-        table[h] = {w: scale * kept[w] / total if w in kept else alpha * lower[w] for w in lower}
+    vocabulary = [*c, "unknown"]
+    one = {w: float(uni.share(np.array([c[w]]))[0]) / n if w in c else uni.left for w in vocabulary}
+    grams = lambda ts, size: list(zip(*(["start", *ts][k:] for k in range(size))))
+    tables = [{(): one}]
+    for size in range(2, order + 1):
+        counts = Counter(g for ts in train for g in grams(ts, size))
+        of = katz.discounts(Counter(counts.values()), sum(counts.values()))
+        table = {}
+        for g in counts:
+            table.setdefault(g[:-1], {})[g[-1]] = counts[g]
+        for h, seen in table.items():
+            lower = tables[-1].get(h[1:], None) if size > 2 else one
+            lower = lower or one
+            total = sum(seen.values())
+            kept = {w: float(of.share(np.array([k]))[0]) for w, k in seen.items()}
+            mass, unseen = sum(kept.values()) / total, 1 - sum(lower[w] for w in seen)
+            scale = min(1, total / (total + 1) / mass) if unseen > 1e-12 else 1 / mass
+            alpha = (1 - scale * mass) / unseen if unseen > 1e-12 else 0
+            table[h] = {w: scale * kept[w] / total if w in kept else alpha * lower[w] for w in vocabulary}
+        tables.append(table)
+
+    def chance(before, w):
+        """Of the longest context that training rows follow."""
+        while before not in tables[len(before)]:
+            before = before[1:]
+        return tables[len(before)][before][w if w in c else "unknown"]
+
     rows = Counter()
     for i, ts in docs:
         base = sum(math.log10((c[t] + 0.5) / (n + 0.5 * (len(c) + 1))) for t in ts)
-        value, before = 0.0, "start"
-        for t in ts:
-            w = name(t)
-            p = table[before][w] if before in table else lower[w]
-            inside = 1 if w != "rare" else share.get(t, uni.left) / rare
-            value += math.log10(p * inside)
-            before = w
+        words = ["start", *ts]
+        value = sum(
+            math.log10(chance(tuple(words[max(0, k - order + 1) : k]), words[k])) for k in range(1, len(words))
+        )
         known = sum(t in c for t in ts)
         rows[i, held_out(i), len(ts), known, n, round(base, 6), round(value, 6)] += 1
-    return rows, table
+    return rows, tables
 
 
-@pytest.mark.parametrize("least_share, chunk", [(0.01, 2_000_000), (0.05, 300), (0.9, 10)])
-def test_scores(spark, texts, monkeypatch, least_share, chunk):
+@pytest.mark.parametrize(
+    "order, chunk, bucket", [(2, 2_000_000, 1_000_000), (3, 2_000_000, 500), (3, 300, 100), (2, 10, 1000), (4, 50, 3000)]
+)
+def test_scores(spark, texts, monkeypatch, order, chunk, bucket):
     monkeypatch.setattr(katz, "TOKENS_AT_ONCE", chunk)
+    monkeypatch.setattr(katz, "TOKENS_PER_BUCKET", bucket)
     df = messy.docs(spark, texts).repartition(3)
-    got = katz.score(df, katz.Settings(least_share)).collect()
-    want, table = plain(texts, least_share)
+    got = katz.score(df, katz.Settings(order)).collect()
+    want, tables = plain(texts, order)
+    assert Counter((*r[:5], round(r[5], 6), round(r[6], 6)) for r in got) == want
+    for table in tables:
+        for shares in table.values():
+            assert sum(shares.values()) == pytest.approx(1)
+
+
+def test_all_occurrences_in_held_out_rows_or_one_chunk(spark, monkeypatch):
+    """Contexts that only some of the chunks were trained on get the same weights everywhere."""
+    monkeypatch.setattr(katz, "TOKENS_AT_ONCE", 4)
+    ids = range(2000, 2040)
+    made = [(i, ["a b c d", "a b c e", "b c d", "x y", ""][k % 5]) for k, i in enumerate(ids)]
+    got = katz.score(messy.docs(spark, made).repartition(2)).collect()
+    want, _ = plain(made, 3)
     assert Counter((*r[:5], round(r[5], 6), round(r[6], 6)) for r in got) == want
-    for shares in table.values():
-        assert sum(shares.values()) == pytest.approx(1)
+
+
+def test_pairs_at_least(spark):
+    with pytest.raises(ValueError):
+        katz.score(messy.empty(spark), katz.Settings(1))
 
 
 def test_no_rows_and_no_training(spark):
@@ -105,12 +129,18 @@ def test_packed_integers():
     assert katz._unpacked(katz._packed(np.zeros(0, int))).tolist() == []
 
 
+def test_packed_hashes():
+    names = np.array([0, 1, 5, 2**63, 2**64 - 1], np.uint64)
+    assert katz._unpacked_names(katz._packed_names(names)).tolist() == names.tolist()
+    assert katz._cuts(names, 0).tolist() == [0, 5]
+    assert katz._cuts(names, 1).tolist() == [0, 3, 5]
+
+
 def test_every_word_is_a_predecessor(spark, texts):
-    # So many tokens that a share of 2e-5 of them is more than one.
     filler = (next(i for i in range(1000, 1100) if not held_out(i)), "aa bb cc " * 40_000)
     made = texts + [filler]
     got = katz.score(messy.docs(spark, made).repartition(3)).collect()
-    want, table = plain(made, 0)
+    want, tables = plain(made, 3)
     assert Counter((*r[:5], round(r[5], 6), round(r[6], 6)) for r in got) == want
-    learnt = {("word", t) for i, text in made if not held_out(i) for t in tokens(text)[:-1]}
-    assert learnt | {"start"} == set(table)
+    learnt = {(t,) for i, text in made if not held_out(i) for t in tokens(text)[:-1]}
+    assert learnt | {("start",)} == set(tables[1])
