@@ -26,12 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from evalweave.llm.labelled import fold
-from evalweave.llm.shared import written
+from evalweave.llm.shared import moved
 from evalweave.llm.words import NOT_SPACE, mixed, slices, text_bytes, words
 
 # Counts up to this one are discounted.
 LARGEST_DISCOUNTED = 5
-TOKENS_AT_ONCE = 2_000_000
+TOKENS_AT_ONCE = 1_000_000
 # Tokens of the corpus per bucket of n-gram hashes: a bucket holds at most as many n-grams.
 TOKENS_PER_BUCKET = 1_000_000
 # Hashes of a text's end and of what comes before its first word.
@@ -108,6 +108,18 @@ def _unpacked(data: bytes, kind: str = "<i4") -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
+def _packed_floats(values: np.ndarray) -> bytes:
+    """Numbers of which many are equal, as places among the distinct ones."""
+    distinct, place = np.unique(values, return_inverse=True)
+    head = _packed(distinct, "<f8")
+    return len(head).to_bytes(4, "little") + head + _packed(place)
+
+
+def _unpacked_floats(data: bytes) -> np.ndarray:
+    size = 4 + int.from_bytes(data[:4], "little")
+    return _unpacked(data[4:size], "<f8")[_unpacked(data[size:])]
+
+
 def _packed_names(names: np.ndarray) -> bytes:
     """Ascending hashes, as differences."""
     return _packed(np.diff(names, prepend=np.uint64(0)), "<u8")
@@ -205,8 +217,8 @@ class Chunk:
         names = kinds[by_name]
         self.start, self.end = rank[-1], int(np.searchsorted(names, _END))
         none = np.zeros(0, np.int32)
-        self.levels = [Level(names, np.arange(len(tokens)), tokens, none, none)]
-        depth = np.arange(len(tokens)) - np.repeat(self.first, self.lengths)
+        self.levels = [Level(names, np.arange(len(tokens), dtype=np.int32), tokens, none, none)]
+        depth = np.arange(len(tokens), dtype=np.int32) - np.repeat(self.first.astype(np.int32), self.lengths)
         # Hash and number of each token's n-gram of the order before.
         word, gram, number = names[tokens], names[tokens], tokens
         for n in range(2, order + 1):
@@ -214,8 +226,9 @@ class Chunk:
             context[1:], context_name[1:] = number[:-1], gram[:-1]
             if n == 2:
                 context[self.first], context_name[self.first] = self.start, _START
-            at = np.flatnonzero(depth >= n - 2)
+            at = np.flatnonzero(depth >= n - 2).astype(np.int32)
             own = mixed(context_name[at] * np.uint64(0x9E3779B97F4A7C15) + word[at])
+            del context_name
             sort = np.argsort(own)
             ranked = own[sort]
             new = np.ones(len(at), bool)
@@ -239,10 +252,11 @@ class Chunk:
         for row in sorted(answers.to_pylist(), key=lambda r: (r["step"], r["bucket"])):
             parts[row["step"]].append(row)
 
-        def joined(step: int, column: str, kind: str) -> np.ndarray:
-            return np.concatenate([np.zeros(0, kind), *(_unpacked(r[column], kind) for r in parts[step])])
+        def joined(step: int, column: str, unpacked=_unpacked_floats) -> np.ndarray:
+            return np.concatenate([np.zeros(0), *(unpacked(r[column]) for r in parts[step])])
 
-        states = [joined(n, "data", "<i8") for n in range(1, len(self.levels) + 1)]
+        whole = lambda data: _unpacked(data, "<i8")
+        states = [joined(n, "data", whole).astype(np.int64) for n in range(1, len(self.levels) + 1)]
         self.corpus = [s >> 2 for s in states]
         self.owned = [s & 2 > 0 for s in states]
         self.shared = [s & 1 > 0 for s in states]
@@ -252,12 +266,12 @@ class Chunk:
         for n in range(2, order + 1):
             level, totals, asked = self.levels[n - 1], self.totals(n), self.asked(n)
             kept, lower = self.sums(n)
-            kept[asked] = joined(_SUMS + n, "data", "<f8")
-            lower[asked] = joined(_SUMS + n, "more", "<f8")
             # A context that training rows do not follow leaves all to its suffix.
             scales, weights = np.ones(len(totals)), np.ones(len(totals))
-            some = kept > 0
-            scales[some], weights[some] = backoffs(totals[some], kept[some], lower[some])
+            own = (kept > 0) & ~asked
+            scales[own], weights[own] = backoffs(totals[own], kept[own], lower[own])
+            scales[asked] = joined(_SUMS + n, "data")
+            weights[self.wanted(n)] = joined(_SUMS + n, "more")
             counts, context = self.corpus[n - 1], level.context
             seen = found[n - 1].share(counts) * scales[context] / np.maximum(totals[context], 1)
             unseen = weights[context] * self.chances[n - 2][level.suffix]
@@ -274,6 +288,12 @@ class Chunk:
         """Contexts of which other chunks hold a part."""
         return self.shared[n - 2] & (self.totals(n) > 0)
 
+    def wanted(self, n: int) -> np.ndarray:
+        """Those of them whose backoff weight the chunk will use: something new follows."""
+        new = np.zeros(len(self.levels[n - 2].names), bool)
+        new[self.levels[n - 1].context[self.corpus[n - 1] == 0]] = True
+        return new & self.asked(n)
+
     def sums(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """By context: discounted counts of its followers, and their chances one order lower.
 
@@ -299,11 +319,13 @@ def _cuts(names: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _bucket_rows(chunk: int, step: int, names: np.ndarray, columns: dict, bits: int) -> list[dict]:
-    """One row per bucket that holds any of the ascending ``names``."""
+    """One row per bucket that holds any of the ascending ``names``; columns are whole numbers
+    or floats.
+    """
     bounds = _cuts(names, bits)
     return [
         {"chunk": chunk, "step": step, "bucket": k, "names": _packed_names(names[a:b])}
-        | {c: _packed(v[a:b], kind) for c, (v, kind) in columns.items()}
+        | {c: (_packed_floats if v.dtype == float else _packed)(v[a:b]) for c, v in columns.items()}
         for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist()))
         if b > a
     ]
@@ -312,7 +334,7 @@ def _bucket_rows(chunk: int, step: int, names: np.ndarray, columns: dict, bits:
 _REQUEST = pa.schema(
     [("chunk", pa.int64()), ("step", pa.int32()), ("bucket", pa.int32()), ("names", pa.binary()), ("n", pa.binary())]
 )
-_PART = pa.schema([*list(_REQUEST)[:4], ("kept", pa.binary()), ("lower", pa.binary())])
+_PART = pa.schema([*list(_REQUEST)[:4], *((c, pa.binary()) for c in ("total", "wanted", "kept", "lower"))])
 _ANSWER = pa.schema(
     [*list(_REQUEST)[:3], ("data", pa.binary()), ("more", pa.binary()), ("few", pa.list_(pa.int64()))]
 )
@@ -356,20 +378,28 @@ def _count(table: pa.Table) -> pa.Table:
 
 
 def _add(table: pa.Table) -> pa.Table:
-    """Add up the sums of a bucket's contexts over all chunks."""
+    """Add up the sums of a bucket's contexts over all chunks.
+
+    Each chunk gets the scales of its contexts, and the weights of those it wants.
+    """
     rows, bounds, distinct, number = _gathered(table)
     sums = []
     for column in ("kept", "lower"):
-        values = np.concatenate([_unpacked(r[column], "<f8") for r in rows])
-        sums.append(np.bincount(number, weights=values, minlength=len(distinct))[number])
-    return pa.Table.from_pylist(
-        [
-            {k: r[k] for k in ("chunk", "step", "bucket")}
-            | {c: _packed(v[a:b], "<f8") for c, v in zip(("data", "more"), sums)}
-            for r, a, b in zip(rows, bounds[:-1], bounds[1:])
-        ],
-        _ANSWER,
-    )
+        values = np.concatenate([_unpacked_floats(r[column]) for r in rows])
+        sums.append(np.bincount(number, values, len(distinct)).astype(float))
+    totals = np.ones(len(distinct))
+    totals[number] = np.concatenate([_unpacked_floats(r["total"]) for r in rows])
+    # A text's end is asked for like any word, but nothing follows it.
+    some = sums[0] > 0
+    scales, weights = np.ones(len(distinct)), np.ones(len(distinct))
+    scales[some], weights[some] = backoffs(totals[some], sums[0][some], sums[1][some])
+    out = []
+    for r, a, b in zip(rows, bounds[:-1], bounds[1:]):
+        own = number[a:b]
+        wanted = own[_unpacked(r["wanted"]) > 0]
+        answer = {"data": _packed_floats(scales[own]), "more": _packed_floats(weights[wanted])}
+        out.append({k: r[k] for k in ("chunk", "step", "bucket")} | answer)
+    return pa.Table.from_pylist(out, _ANSWER)
 
 
 def score(
@@ -391,7 +421,7 @@ def score(
     if order < 2:
         raise ValueError("the model needs pairs at least")
     id_kind = docs.schema[id_col].dataType.simpleString()
-    chunks = written(_chunks(docs, settings, id_col, text_col), "lm-chunks")
+    chunks = moved(_chunks(docs, settings, id_col, text_col), "lm-chunks")
     n_tokens = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     bits = max(0, int(np.ceil(np.log2(max(n_tokens, 1) / TOKENS_PER_BUCKET))))
 
@@ -400,14 +430,14 @@ def score(
             for row in batch.to_pylist():
                 chunk = Chunk(row, order)
                 for n, level in enumerate(chunk.levels, 1):
-                    counts = {"n": (chunk.counts(n), "<i4")}
+                    counts = {"n": chunk.counts(n)}
                     rows = _bucket_rows(row["chunk"], n, level.names, counts, bits)
                     yield from pa.Table.from_pylist(rows, _REQUEST).to_batches()
 
     asked = chunks.select("chunk", "held_out", "lengths", "tokens", "kinds").mapInArrow(
         requests, "chunk long, step int, bucket int, names binary, n binary"
     )
-    answers = written(asked.groupBy("step", "bucket").applyInArrow(_count, _REPLY), "lm-counts")
+    answers = moved(asked.groupBy("step", "bucket").applyInArrow(_count, _REPLY), "lm-counts")
     kinds_of = range(LARGEST_DISCOUNTED + 3)
     stated = {
         r[0]: list(r)[1:]
@@ -434,7 +464,12 @@ def score(
                 chunk.told(right, found, n - 1)
                 mask = chunk.asked(n)
                 kept, lower = chunk.sums(n)
-                columns = {"kept": (kept[mask], "<f8"), "lower": (lower[mask], "<f8")}
+                columns = {
+                    "total": chunk.totals(n)[mask].astype(float),
+                    "wanted": chunk.wanted(n)[mask].astype(int),
+                    "kept": kept[mask],
+                    "lower": lower[mask],
+                }
                 names = chunk.levels[n - 2].names[mask]
                 rows += _bucket_rows(row["chunk"], _SUMS + n, names, columns, bits)
             return pa.Table.from_pylist(rows, _PART)
@@ -442,10 +477,16 @@ def score(
         return run
 
     for n in range(2, order + 1):
-        parts = together(chunks.select("chunk", "held_out", "lengths", "tokens", "kinds")).applyInArrow(
-            context_sums(n), "chunk long, step int, bucket int, names binary, kept binary, lower binary"
+        parts = moved(
+            together(chunks.select("chunk", "held_out", "lengths", "tokens", "kinds")).applyInArrow(
+                context_sums(n),
+                "chunk long, step int, bucket int, names binary, total binary, wanted binary, "
+                "kept binary, lower binary",
+            ),
+            f"lm-parts-{n}",
         )
-        sums = written(parts.groupBy("step", "bucket").applyInArrow(_add, _REPLY), f"lm-sums-{n}")
+        added = parts.groupBy("step", "bucket").applyInArrow(_add, _REPLY)
+        sums = moved(added, f"lm-sums-{n}", used_up=(parts,))
         answers = answers.unionByName(sums)
 
     def evaluate(left: pa.Table, right: pa.Table) -> pa.Table:

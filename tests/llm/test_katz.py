@@ -132,6 +132,9 @@ def test_packed_integers():
 def test_packed_hashes():
     names = np.array([0, 1, 5, 2**63, 2**64 - 1], np.uint64)
     assert katz._unpacked_names(katz._packed_names(names)).tolist() == names.tolist()
+    floats = np.array([0.5, 2, 0.5, 0, 2**-40])
+    assert katz._unpacked_floats(katz._packed_floats(floats)).tolist() == floats.tolist()
+    assert katz._unpacked_floats(katz._packed_floats(floats[:0])).tolist() == []
     assert katz._cuts(names, 0).tolist() == [0, 5]
     assert katz._cuts(names, 1).tolist() == [0, 3, 5]
 
