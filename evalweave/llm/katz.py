@@ -33,7 +33,7 @@ from evalweave.llm.words import NOT_SPACE, mixed, slices, text_bytes, words
 LARGEST_DISCOUNTED = 5
 TOKENS_AT_ONCE = 1_000_000
 # Tokens of the corpus per bucket of n-gram hashes: a bucket holds at most as many n-grams.
-TOKENS_PER_BUCKET = 1_000_000
+TOKENS_PER_BUCKET = 500_000
 # Hashes of a text's end and of what comes before its first word.
 _END, _START = np.uint64(0), np.uint64(1)
 # Added to an order, this is the number of the step that sums up its contexts.
@@ -433,6 +433,8 @@ def score(
                     counts = {"n": chunk.counts(n)}
                     rows = _bucket_rows(row["chunk"], n, level.names, counts, bits)
                     yield from pa.Table.from_pylist(rows, _REQUEST).to_batches()
+                # Else this chunk would stay in memory beside the next one.
+                del chunk, level, counts, rows
 
     asked = chunks.select("chunk", "held_out", "lengths", "tokens", "kinds").mapInArrow(
         requests, "chunk long, step int, bucket int, names binary, n binary"
