@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -425,21 +426,28 @@ def score(
     n_tokens = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     bits = max(0, int(np.ceil(np.log2(max(n_tokens, 1) / TOKENS_PER_BUCKET))))
 
-    def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                chunk = Chunk(row, order)
-                for n, level in enumerate(chunk.levels, 1):
-                    counts = {"n": chunk.counts(n)}
-                    rows = _bucket_rows(row["chunk"], n, level.names, counts, bits)
+    def requests(n: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    chunk = Chunk(row, n)
+                    names, counts = chunk.levels[-1].names, {"n": chunk.counts(n)}
+                    rows = _bucket_rows(row["chunk"], n, names, counts, bits)
+                    # Else this chunk would stay in memory beside the next one.
+                    del chunk, names, counts
                     yield from pa.Table.from_pylist(rows, _REQUEST).to_batches()
-                # Else this chunk would stay in memory beside the next one.
-                del chunk, level, counts, rows
 
-    asked = chunks.select("chunk", "held_out", "lengths", "tokens", "kinds").mapInArrow(
-        requests, "chunk long, step int, bucket int, names binary, n binary"
-    )
-    answers = moved(asked.groupBy("step", "bucket").applyInArrow(_count, _REPLY), "lm-counts")
+        return run
+
+    counted = []
+    # Order by order, as the requests are the largest tables that are shuffled.
+    for n in range(1, order + 1):
+        asked = chunks.select("chunk", "held_out", "lengths", "tokens", "kinds").mapInArrow(
+            requests(n), "chunk long, step int, bucket int, names binary, n binary"
+        )
+        counts = asked.groupBy("step", "bucket").applyInArrow(_count, _REPLY)
+        counted.append(moved(counts, f"lm-counts-{n}"))
+    answers = reduce(DataFrame.unionByName, counted)
     kinds_of = range(LARGEST_DISCOUNTED + 3)
     stated = {
         r[0]: list(r)[1:]
