@@ -181,3 +181,39 @@ def test_without_both_labels(spark, corpus):
         assert toxicity.score(docs, toxicity.fit(docs, known)).filter("predicted = 1").isEmpty()
         scores = line_quality.score(docs, line_quality.fit(docs, known))
         assert scores.filter("score BETWEEN 0 AND 1").count() == docs.count()
+
+
+def test_toxicity_learns_from_every_labelled_document(spark, corpus, monkeypatch):
+    """All labelled documents are dealt into shards; their partitions and copies change nothing."""
+    docs, labels = corpus
+    seen = []
+    real = toxicity.shards
+
+    def counted(rows, most_rows):
+        packed, n = real(rows, most_rows)
+        seen.append((n, sum(len(r.labels) for r in packed.collect())))
+        return packed, n
+
+    monkeypatch.setattr(toxicity, "shards", counted)
+    settings = toxicity.Settings(shard_rows=150, buckets=1 << 12, prefix_buckets=1 << 10)
+    nets = [toxicity.fit(d, labels, settings) for d in (docs, docs.unionAll(docs).repartition(3))]
+    texts = {r.doc_id for r in docs.collect() if r.text}
+    known = {r.doc_id for r in labels.collect() if r.toxic is not None and r.doc_id is not None}
+    n, rows = seen[0]
+    assert n > 3 and rows == sum(zlib.crc32(str(i).encode()) % 5 > 0 for i in known & texts)
+    assert seen[1] == seen[0] and nets[0].thresholds == nets[1].thresholds
+    assert np.array_equal(nets[0].word_vectors, nets[1].word_vectors)
+    by_id = {r.doc_id: r.toxic for r in labels.collect() if r.doc_id and r.toxic is not None}
+    _check(toxicity.score(docs, nets[0]).collect(), docs.collect(), by_id, 0.5, 0.95)
+
+
+def test_counted_cut_equals_the_plain_one():
+    rng = np.random.default_rng(9)
+    scores, labels = rng.integers(0, 30, 300) / 7, rng.integers(0, 2, 300)
+    best = max(
+        (2 * labels[scores >= c].sum() / ((scores >= c).sum() + labels.sum()), c) for c in set(scores)
+    )[0]
+    cut = labelled.best_cut(scores, labels)
+    assert 2 * labels[scores >= cut].sum() / ((scores >= cut).sum() + labels.sum()) == pytest.approx(best)
+    twice = labelled.platt(np.repeat(scores, 2), np.repeat(labels, 2))
+    assert labelled.platt(scores, labels, counts=np.full(300, 2)) == pytest.approx(twice)
