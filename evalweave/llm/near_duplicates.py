@@ -249,6 +249,24 @@ def _verify(candidates: DataFrame, n_sets: int, least: float) -> DataFrame:
     )
 
 
+def star_links(stars: DataFrame) -> DataFrame:
+    """Links ``(class, hub)`` that connect the same classes as ``(class, hub)`` of all bands.
+
+    A class is linked to the smallest of its hubs only, and that one to the class's others,
+    once for all classes that share them: a group of near copies has about one link per class,
+    not one per class and band.
+    """
+    own = stars.groupBy("class").agg(F.collect_set("hub").alias("hubs"))
+    least = F.array_min("hubs")
+
+    def link(a, b):
+        return F.struct(a.alias("class"), b.alias("hub"))
+
+    others = F.transform(F.array_remove("hubs", least), lambda h: link(least, h))
+    links = F.explode(F.concat(F.array(link(F.col("class"), least)), others)).alias("link")
+    return own.select(links).select("link.*").distinct()
+
+
 def join(
     docs: DataFrame,
     least: float = 0.8,
@@ -278,12 +296,8 @@ def join(
     )
     banded = classes.select("class", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("class").alias("hub"), F.max("class").alias("last"))
-    stars = (
-        banded.join(hubs.filter("hub <> last").select("band", "hub"), "band")
-        .filter(F.col("class") != F.col("hub"))
-        .select("class", "hub")
-        .distinct()
-    )
+    shared = banded.join(hubs.filter("hub <> last").select("band", "hub"), "band")
+    stars = star_links(shared.filter(F.col("class") != F.col("hub")))
     near = components(stars, "class", "hub")
     sizes = near.groupBy("root").agg(F.count("*").alias("size"))
     members = written(

@@ -319,3 +319,19 @@ def test_lines_of_few_words(spark):
 def test_no_python_on_the_main_path(spark, line_texts):
     plan = line_dedup.simhashes(line_dedup.lines(messy.docs(spark, line_texts)))
     assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_star_links_connect_the_same_with_a_link_per_class(spark):
+    """Thirty bands of a large group of near copies add no link per class and band."""
+    rng = random.Random(21)
+    stars = [(100 + i, h) for i in range(300) for h in rng.sample(range(12), 9)] + [(7, 2), (900, 800)]
+    links = near_duplicates.star_links(spark.createDataFrame(stars, "class long, hub long"))
+    assert links.count() <= 302 + 12 * 12
+    root = {x: x for pair in stars for x in pair}
+    while True:
+        before = dict(root)
+        for a, b in stars:
+            root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            break
+    assert {tuple(r) for r in near_duplicates.components(links, "class", "hub").collect()} == set(root.items())
