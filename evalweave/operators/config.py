@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from evalweave.operators.joins import group_join
+from evalweave.operators.joins import ROWS_PER_TASK, spread_join
 
 
 def _leaves(schema: T.StructType, path: tuple[str, ...] = ()) -> list[tuple[str, ...]]:
@@ -42,17 +42,21 @@ def layered_merge(base: DataFrame, overrides: DataFrame) -> DataFrame:
 
     A section replaces a value and a value replaces a section: base entries at, above or
     below an overridden key are dropped. An override names itself and its parents, a base
-    entry its parents, and what they share is found by joins on ``(run_id, key)``, whose
-    partitions adaptive execution can split: no run's entries have to meet in one row or
-    task. A run without an id is a run like any other; a NULL key replaces nothing.
+    entry its parents, and what they share is found by joins on ``(run_id, key)``: no run's
+    entries have to meet in one row or task, and a task gets a bounded number of rows, also
+    those of a key that very many share. A run without an id is a run like any other; a NULL
+    key replaces nothing. Both tables are counted first.
     """
-    named = overrides.filter(F.col("key").isNotNull()).select("run_id", "key").distinct()
+    on = ["run_id", "key"]
+    keyed = overrides.filter(F.col("key").isNotNull()).select(*on)
+    n = keyed.count()
+    named = keyed.repartition(n // ROWS_PER_TASK + 1, *on).distinct()
     with_parents = F.concat(_parents(F.col("key")), F.array("key"))
     at_or_above = named.select("run_id", F.explode(with_parents).alias("key"))
     parents = base.select("run_id", F.col("key").alias("entry"), F.explode(_parents(F.col("key"))).alias("key"))
-    below = group_join(parents, named, ["run_id", "key"], "left_semi")
+    below = spread_join(parents, named, n, on, ["entry"], "left_semi")
     replaced = at_or_above.unionByName(below.select("run_id", F.col("entry").alias("key"))).distinct()
-    kept = group_join(base.select("run_id", "key", "value"), replaced, ["run_id", "key"], "left_anti")
+    kept = spread_join(base.select("run_id", "key", "value"), replaced, n, on, ["value"], "left_anti")
     return kept.unionByName(overrides.select("run_id", "key", "value"))
 
 

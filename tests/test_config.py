@@ -129,3 +129,21 @@ def test_a_run_with_a_third_of_all_keys(spark, capsys):
         for hot in (True, False)
     }
     assert {r.hot: (r.old, r.n - r.old) for r in got.collect()} == want
+
+
+def test_a_task_of_a_merge_gets_a_bounded_number_of_rows(spark, monkeypatch):
+    """Rows of a key that a third of all entries share are spread over many tasks too."""
+    from evalweave.operators import joins
+
+    monkeypatch.setattr(joins, "ROWS_PER_TASK", 2000)
+    ids = spark.range(60_000)
+    run = F.when(F.col("id") % 3 != 0, F.col("id"))
+    key = F.when(F.col("id") % 3 == 0, F.lit("one")).otherwise(F.concat(F.lit("s.k"), F.col("id") % 7))
+    base = ids.select(run.alias("run_id"), key.alias("key"), F.col("id").cast("string").alias("value"))
+    over = spark.createDataFrame([(1, "s", "gone"), (2, "s.k2.deep", "x"), (None, "two", "y")], SCHEMA)
+    merged = config.layered_merge(base, over)
+    sizes = [r["count"] for r in merged.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 60_000 - 2 + 3 and max(sizes) < 12_000
+    assert {r.value for r in merged.filter("run_id IN (1, 2)").collect()} == {"gone", "x"}
+    section = spark.createDataFrame([(None, "one.more", "z")], SCHEMA)
+    assert config.layered_merge(base, section).filter("run_id IS NULL").count() == 1
