@@ -335,3 +335,17 @@ def test_star_links_connect_the_same_with_a_link_per_class(spark):
         if root == before:
             break
     assert {tuple(r) for r in near_duplicates.components(links, "class", "hub").collect()} == set(root.items())
+
+
+def test_line_dedup_shuffles_texts_once_and_keys_once(spark):
+    """Both SimHashes are summed where a line's text arrives, not sent as sums of their own."""
+    text = "one two three four five six seven\nnine ten eleven twelve thirteen"
+    docs = spark.createDataFrame([(i, text) for i in range(3)], "doc_id long, text string")
+    found = line_dedup.lines(docs)
+    sims = line_dedup.distinct_lines(found)
+    plan = sims._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+    by_key = {r.key: (r.sim, r.n_words) for r in line_dedup.simhashes(found).collect()}
+    grams = {r.key: r.gram_sim for r in line_dedup.gram_simhashes(found).collect()}
+    got = {r.key: (r.sim, r.n_words, r.gram_sim) for r in sims.collect()}
+    assert got == {k: (*v, grams[k]) for k, v in by_key.items()} and len(got) == 2
