@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from evalweave.operators.joins import ROWS_PER_TASK, spread_join
+from evalweave.operators.joins import ROWS_PER_TASK, spread_distinct, spread_join
 
 
 def _leaves(schema: T.StructType, path: tuple[str, ...] = ()) -> list[tuple[str, ...]]:
@@ -49,13 +49,16 @@ def layered_merge(base: DataFrame, overrides: DataFrame) -> DataFrame:
     """
     on = ["run_id", "key"]
     keyed = overrides.filter(F.col("key").isNotNull()).select(*on)
-    n = keyed.count()
+    n_parents = F.coalesce(F.sum(F.size(_parents(F.col("key")))), F.lit(0))
+    n, n_above = keyed.agg(F.count("*"), n_parents).first()
+    n_below = base.filter(F.col("key").isNotNull()).agg(n_parents).first()[0]
     named = keyed.repartition(n // ROWS_PER_TASK + 1, *on).distinct()
     with_parents = F.concat(_parents(F.col("key")), F.array("key"))
     at_or_above = named.select("run_id", F.explode(with_parents).alias("key"))
     parents = base.select("run_id", F.col("key").alias("entry"), F.explode(_parents(F.col("key"))).alias("key"))
     below = spread_join(parents, named, n, on, ["entry"], "left_semi")
-    replaced = at_or_above.unionByName(below.select("run_id", F.col("entry").alias("key"))).distinct()
+    found = at_or_above.unionByName(below.select("run_id", F.col("entry").alias("key")))
+    replaced = spread_distinct(found, n + n_above + n_below, on)
     kept = spread_join(base.select("run_id", "key", "value"), replaced, n, on, ["value"], "left_anti")
     return kept.unionByName(overrides.select("run_id", "key", "value"))
 

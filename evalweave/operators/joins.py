@@ -127,6 +127,21 @@ def spread_join(
     return salted_join(rows, groups, on, salt_by, how, most, counted, n)
 
 
+def spread_distinct(rows: DataFrame, n_rows: int, on: Sequence[str]) -> DataFrame:
+    """Distinct ``on`` of at most ``n_rows`` rows, ``ROWS_PER_TASK`` of them a task.
+
+    Adaptive execution would cut them by compressed bytes. Rows of a key that very many share
+    are made one by the tasks they come from first.
+    """
+    n = n_rows // ROWS_PER_TASK + 1
+    keys = rows.select(*on)
+    if n == 1:
+        return keys.distinct()
+    dealt = keys.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(n)))
+    fewer = dealt.repartition(n, *on, "_salt").distinct().select(*on)
+    return fewer.repartition(n, *on).distinct()
+
+
 def fits(table: DataFrame, most: int | None = None) -> bool:
     """Whether a table may be broadcast, by the measured size of its values."""
     value = lambda f: F.length(F.to_json(F.struct(F.col(f"`{f.name}`").alias("v"))))

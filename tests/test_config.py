@@ -147,3 +147,21 @@ def test_a_task_of_a_merge_gets_a_bounded_number_of_rows(spark, monkeypatch):
     assert {r.value for r in merged.filter("run_id IN (1, 2)").collect()} == {"gone", "x"}
     section = spark.createDataFrame([(None, "one.more", "z")], SCHEMA)
     assert config.layered_merge(base, section).filter("run_id IS NULL").count() == 1
+
+
+def test_replaced_keys_are_cut_by_rows(spark, monkeypatch):
+    """Keys are made distinct in as many tasks as their rows ask for, not by their bytes."""
+    from evalweave.operators import joins
+
+    monkeypatch.setattr(joins, "ROWS_PER_TASK", 2000)
+    ids = spark.range(40_000)
+    key = F.when(F.col("id") % 3 == 0, "s.one").otherwise(F.concat(F.lit("s.k"), F.col("id").cast("string")))
+    base = ids.select((F.col("id") % 50).alias("run_id"), key.alias("key"), F.lit("old").alias("value"))
+    over = base.filter("run_id < 10").withColumn("value", F.lit("new"))
+    merged = config.layered_merge(base, over)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.split("\n") if "hashpartitioning(run_id" in line and "ENSURE" in line]
+    assert merged.filter("value = 'old'").count() == base.filter("run_id >= 10").count()
+    keys = joins.spread_distinct(base.repartition(5), 40_000, ["run_id", "key"])
+    sizes = [r["count"] for r in keys.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == base.select("run_id", "key").distinct().count() and max(sizes) < 4000
