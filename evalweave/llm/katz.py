@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -97,15 +97,21 @@ def backoffs(
     return scale, np.where(open_, (1 - scale * mass) / np.where(open_, unseen, 1), 0.0)
 
 
+@cache
+def _codec() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """Made once per process: a new one costs more than packing a bucket's numbers."""
+    return zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
+
+
 def _packed(values: np.ndarray, kind: str = "<i4") -> bytes:
     """Small numbers as bytes, compressed plane by plane."""
     flat = np.ascontiguousarray(values, kind)
     planes = flat.view(np.uint8).reshape(-1, flat.itemsize).T
-    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(planes).tobytes())
+    return _codec()[0].compress(np.ascontiguousarray(planes))
 
 
 def _unpacked(data: bytes, kind: str = "<i4") -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    raw = np.frombuffer(_codec()[1].decompress(data), np.uint8)
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
@@ -122,10 +128,19 @@ def _unpacked_floats(data: bytes) -> np.ndarray:
 
 
 def _packed_names(names: np.ndarray) -> bytes:
-    """Ascending hashes, as differences."""
+    """Hashes as differences, which are short where they ascend."""
     return _packed(np.diff(names, prepend=np.uint64(0)), "<u8")
 
 
+def _packed_places(places: np.ndarray) -> bytes:
+    """Ascending numbers, as differences."""
+    return _packed(np.diff(places, prepend=0))
+
+
+def _unpacked_places(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(data), dtype=np.int32)
+
+
 def _unpacked_names(data: bytes) -> np.ndarray:
     return np.cumsum(_unpacked(data, "<u8"), dtype=np.uint64)
 
@@ -155,7 +170,8 @@ def _chunks(docs: DataFrame, settings: Settings, id_col: str, text_col: str) ->
                 pa.ListArray.from_arrays(pa.array(one), pa.array(out)),
                 pa.array([_packed(lengths)], pa.binary()),
                 pa.array([_packed(rank[number])], pa.binary()),
-                pa.array([kinds[order].tobytes()], pa.binary()),
+                # Those that occur equally often ascend.
+                pa.array([_packed_names(kinds[order])], pa.binary()),
                 pa.array([len(tokens)], pa.int64()),
             ]
             held, size, n_chunks = [], 0, n_chunks + 1
@@ -206,11 +222,12 @@ class Level:
 class Chunk:
     """The n-grams of a chunk up to an order, and what the corpus says of them."""
 
-    def __init__(self, row: dict, order: int):
+    def __init__(self, row: dict, order: int, counting: bool = False):
+        """To be counted, n-grams of the highest order need no numbers of lower ones."""
         self.lengths = _unpacked(row["lengths"]).astype(np.int64)
         self.first = np.cumsum(self.lengths) - self.lengths
         self.learnt = np.repeat(~np.asarray(row["held_out"], bool), self.lengths)
-        kinds = np.append(np.frombuffer(row["kinds"], np.uint64), _START)
+        kinds = np.append(_unpacked_names(row["kinds"]), _START)
         by_name = np.argsort(kinds)
         rank = np.empty(len(kinds), np.int32)
         rank[by_name] = np.arange(len(kinds), dtype=np.int32)
@@ -230,6 +247,10 @@ class Chunk:
             at = np.flatnonzero(depth >= n - 2).astype(np.int32)
             own = mixed(context_name[at] * np.uint64(0x9E3779B97F4A7C15) + word[at])
             del context_name
+            if counting and n < order:
+                gram = np.zeros_like(gram)
+                gram[at] = own
+                continue
             sort = np.argsort(own)
             ranked = own[sort]
             new = np.ones(len(at), bool)
@@ -238,12 +259,12 @@ class Chunk:
             of_token = np.empty(len(at), np.int32)
             of_token[sort] = np.cumsum(new, dtype=np.int32) - 1
             self.levels.append(Level(ranked[new], at, of_token, context[one], number[one]))
-            gram, number = np.zeros_like(gram), np.zeros_like(number)
-            gram[at], number[at] = own, of_token
+            if n < order:
+                gram, number = np.zeros_like(gram), np.zeros_like(number)
+                gram[at], number[at] = own, of_token
 
-    def counts(self, n: int) -> np.ndarray:
-        """Occurrences of the n-grams in the chunk's training rows."""
-        level = self.levels[n - 1]
+    def counts(self, level: Level) -> np.ndarray:
+        """Occurrences of the level's n-grams in the chunk's training rows."""
         return np.bincount(level.number[self.learnt[level.at]], minlength=len(level.names))
 
 
@@ -253,14 +274,16 @@ class Chunk:
         for row in sorted(answers.to_pylist(), key=lambda r: (r["step"], r["bucket"])):
             parts[row["step"]].append(row)
 
-        def joined(step: int, column: str, unpacked=_unpacked_floats) -> np.ndarray:
-            return np.concatenate([np.zeros(0), *(unpacked(r[column]) for r in parts[step])])
+        def joined(step: int, column: str, unpacked=_unpacked_floats, kind: type = float) -> np.ndarray:
+            return np.concatenate([np.zeros(0, kind), *(unpacked(r[column]) for r in parts[step])])
 
         whole = lambda data: _unpacked(data, "<i8")
-        states = [joined(n, "data", whole).astype(np.int64) for n in range(1, len(self.levels) + 1)]
+        states = [joined(n, "data", whole, np.int64) for n in range(1, len(self.levels) + 1)]
         self.corpus = [s >> 2 for s in states]
         self.owned = [s & 2 > 0 for s in states]
         self.shared = [s & 1 > 0 for s in states]
+        # Unpacked for one order of contexts only, where their sums are sent.
+        self.places = [[r["more"] for r in parts[n]] for n in range(1, len(states))]
         self.found = found
         seen = found[0].share(self.corpus[0]) / max(found[0].total, 1)
         self.chances = [np.where(self.corpus[0] > 0, seen, found[0].left)]
@@ -274,9 +297,10 @@ class Chunk:
             scales[asked] = joined(_SUMS + n, "data")
             weights[self.wanted(n)] = joined(_SUMS + n, "more")
             counts, context = self.corpus[n - 1], level.context
-            seen = found[n - 1].share(counts) * scales[context] / np.maximum(totals[context], 1)
-            unseen = weights[context] * self.chances[n - 2][level.suffix]
-            self.chances.append(np.where(counts > 0, seen, unseen))
+            chances = found[n - 1].share(counts) * scales[context] / np.maximum(totals[context], 1)
+            unseen = np.flatnonzero(counts == 0)
+            chances[unseen] = weights[context[unseen]] * self.chances[n - 2][level.suffix[unseen]]
+            self.chances.append(chances)
 
     def totals(self, n: int) -> np.ndarray:
         """How often anything follows the contexts of n-grams of the order in training rows."""
@@ -289,6 +313,11 @@ class Chunk:
         """Contexts of which other chunks hold a part."""
         return self.shared[n - 2] & (self.totals(n) > 0)
 
+    def asked_places(self, n: int) -> np.ndarray:
+        """Their places among all n-grams of their bucket that chunks share."""
+        places = [np.zeros(0, np.int32), *map(_unpacked_places, self.places[n - 2])]
+        return np.concatenate(places)[self.asked(n)[self.shared[n - 2]]]
+
     def wanted(self, n: int) -> np.ndarray:
         """Those of them whose backoff weight the chunk will use: something new follows."""
         new = np.zeros(len(self.levels[n - 2].names), bool)
@@ -319,13 +348,19 @@ def _cuts(names: np.ndarray, bits: int) -> np.ndarray:
     return np.append(np.searchsorted(names, starts), len(names))
 
 
-def _bucket_rows(chunk: int, step: int, names: np.ndarray, columns: dict, bits: int) -> list[dict]:
+def _bucket_rows(
+    chunk: int, step: int, names: np.ndarray, columns: dict, bits: int, places: np.ndarray | None = None
+) -> list[dict]:
     """One row per bucket that holds any of the ascending ``names``; columns are whole numbers
-    or floats.
+    or floats. If the bucket knows the names, their ``places`` there are sent instead.
     """
     bounds = _cuts(names, bits)
+    own = lambda a, b: (
+        {"names": _packed_names(names[a:b])} if places is None else {"places": _packed_places(places[a:b])}
+    )
     return [
-        {"chunk": chunk, "step": step, "bucket": k, "names": _packed_names(names[a:b])}
+        {"chunk": chunk, "step": step, "bucket": k}
+        | own(a, b)
         | {c: (_packed_floats if v.dtype == float else _packed)(v[a:b]) for c, v in columns.items()}
         for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist()))
         if b > a
@@ -335,28 +370,30 @@ def _bucket_rows(chunk: int, step: int, names: np.ndarray, columns: dict, bits:
 _REQUEST = pa.schema(
     [("chunk", pa.int64()), ("step", pa.int32()), ("bucket", pa.int32()), ("names", pa.binary()), ("n", pa.binary())]
 )
-_PART = pa.schema([*list(_REQUEST)[:4], *((c, pa.binary()) for c in ("total", "wanted", "kept", "lower"))])
+_PART = pa.schema(
+    [*list(_REQUEST)[:3], *((c, pa.binary()) for c in ("places", "total", "wanted", "kept", "lower"))]
+)
 _ANSWER = pa.schema(
     [*list(_REQUEST)[:3], ("data", pa.binary()), ("more", pa.binary()), ("few", pa.list_(pa.int64()))]
 )
 
 
-def _gathered(table: pa.Table) -> tuple[list[dict], np.ndarray, np.ndarray, np.ndarray]:
-    """A bucket's rows by chunk, where each one's n-grams begin, and the number of each n-gram."""
+def _gathered(table: pa.Table, column: str, unpacked) -> tuple[list[dict], np.ndarray, np.ndarray]:
+    """A bucket's rows by chunk, where each one's n-grams begin, and the column of all n-grams."""
     rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
-    names = [_unpacked_names(r["names"]) for r in rows]
-    bounds = np.cumsum([0, *(len(x) for x in names)])
-    distinct, number = np.unique(np.concatenate(names), return_inverse=True)
-    return rows, bounds, distinct, number
+    values = [unpacked(r[column]) for r in rows]
+    return rows, np.cumsum([0, *(len(x) for x in values)]), np.concatenate(values)
 
 
-def _count(table: pa.Table) -> pa.Table:
+def _count(table: pa.Table, placed: bool) -> pa.Table:
     """Add up a bucket's n-grams: each request gets the corpus count, whether the chunk owns the
-    n-gram, and whether other chunks ask for it too.
+    n-gram, and whether other chunks ask for it too; if ``placed``, also the places of those
+    among all n-grams of the bucket that chunks share, by which their sums are known later.
 
     The first chunk that holds a training occurrence owns an n-gram.
     """
-    rows, bounds, distinct, number = _gathered(table)
+    rows, bounds, names = _gathered(table, "names", _unpacked_names)
+    distinct, number = np.unique(names, return_inverse=True)
     n = np.concatenate([_unpacked(r["n"]) for r in rows]).astype(np.int64)
     holders = np.bincount(number, minlength=len(distinct))
     total = np.bincount(number, weights=n, minlength=len(distinct)).astype(np.int64)
@@ -364,7 +401,9 @@ def _count(table: pa.Table) -> pa.Table:
     owner = np.full(len(distinct), -1)
     owner[number[trained]] = trained
     owned = owner[number] == np.arange(len(number))
-    state = total[number] << 2 | owned.astype(np.int64) << 1 | (holders[number] > 1)
+    shared = holders[number] > 1
+    state = total[number] << 2 | owned.astype(np.int64) << 1 | shared
+    place = np.cumsum(holders > 1)[number] - 1
     known = total[total > 0]
     few = [int((known == r).sum()) for r in range(1, LARGEST_DISCOUNTED + 2)]
     few += [int(known.sum()), len(known)]
@@ -372,6 +411,7 @@ def _count(table: pa.Table) -> pa.Table:
         [
             {k: r[k] for k in ("chunk", "step", "bucket")}
             | {"data": _packed(state[a:b], "<i8"), "few": None if i else few}
+            | ({"more": _packed_places(place[a:b][shared[a:b]])} if placed else {})
             for i, (r, a, b) in enumerate(zip(rows, bounds[:-1], bounds[1:]))
         ],
         _ANSWER,
@@ -383,16 +423,16 @@ def _add(table: pa.Table) -> pa.Table:
 
     Each chunk gets the scales of its contexts, and the weights of those it wants.
     """
-    rows, bounds, distinct, number = _gathered(table)
+    rows, bounds, number = _gathered(table, "places", _unpacked_places)
     sums = []
     for column in ("kept", "lower"):
         values = np.concatenate([_unpacked_floats(r[column]) for r in rows])
-        sums.append(np.bincount(number, values, len(distinct)).astype(float))
-    totals = np.ones(len(distinct))
+        sums.append(np.bincount(number, values).astype(float))
+    totals = np.ones(len(sums[0]))
     totals[number] = np.concatenate([_unpacked_floats(r["total"]) for r in rows])
     # A text's end is asked for like any word, but nothing follows it.
     some = sums[0] > 0
-    scales, weights = np.ones(len(distinct)), np.ones(len(distinct))
+    scales, weights = np.ones(len(totals)), np.ones(len(totals))
     scales[some], weights[some] = backoffs(totals[some], sums[0][some], sums[1][some])
     out = []
     for r, a, b in zip(rows, bounds[:-1], bounds[1:]):
@@ -426,27 +466,33 @@ def score(
     n_tokens = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     bits = max(0, int(np.ceil(np.log2(max(n_tokens, 1) / TOKENS_PER_BUCKET))))
 
-    def requests(n: int):
+    def requests(orders: tuple[int, ...]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in batch.to_pylist():
-                    chunk = Chunk(row, n)
-                    names, counts = chunk.levels[-1].names, {"n": chunk.counts(n)}
-                    rows = _bucket_rows(row["chunk"], n, names, counts, bits)
+                    chunk, rows = Chunk(row, orders[-1], counting=True), []
+                    for n, level in zip(orders, chunk.levels[-len(orders):]):
+                        counts = {"n": chunk.counts(level)}
+                        rows += _bucket_rows(row["chunk"], n, level.names, counts, bits)
                     # Else this chunk would stay in memory beside the next one.
-                    del chunk, names, counts
+                    del chunk, level, counts
                     yield from pa.Table.from_pylist(rows, _REQUEST).to_batches()
 
         return run
 
+    def count(table: pa.Table) -> pa.Table:
+        # N-grams of the highest order are no contexts.
+        return _count(table, table["step"][0].as_py() < order)
+
     counted = []
-    # Order by order, as the requests are the largest tables that are shuffled.
-    for n in range(1, order + 1):
+    # Order by order, as the requests are the largest tables that are shuffled; those of words
+    # and pairs together are about as large as those of the next order.
+    for orders in [(1, 2), *((n,) for n in range(3, order + 1))]:
         asked = chunks.select("chunk", "held_out", "lengths", "tokens", "kinds").mapInArrow(
-            requests(n), "chunk long, step int, bucket int, names binary, n binary"
+            requests(orders), "chunk long, step int, bucket int, names binary, n binary"
         )
-        counts = asked.groupBy("step", "bucket").applyInArrow(_count, _REPLY)
-        counted.append(moved(counts, f"lm-counts-{n}"))
+        counts = asked.groupBy("step", "bucket").applyInArrow(count, _REPLY)
+        counted.append(moved(counts, f"lm-counts-{orders[-1]}"))
     answers = reduce(DataFrame.unionByName, counted)
     kinds_of = range(LARGEST_DISCOUNTED + 3)
     stated = {
@@ -481,7 +527,7 @@ def score(
                     "lower": lower[mask],
                 }
                 names = chunk.levels[n - 2].names[mask]
-                rows += _bucket_rows(row["chunk"], _SUMS + n, names, columns, bits)
+                rows += _bucket_rows(row["chunk"], _SUMS + n, names, columns, bits, chunk.asked_places(n))
             return pa.Table.from_pylist(rows, _PART)
 
         return run
@@ -490,7 +536,7 @@ def score(
         parts = moved(
             together(chunks.select("chunk", "held_out", "lengths", "tokens", "kinds")).applyInArrow(
                 context_sums(n),
-                "chunk long, step int, bucket int, names binary, total binary, wanted binary, "
+                "chunk long, step int, bucket int, places binary, total binary, wanted binary, "
                 "kept binary, lower binary",
             ),
             f"lm-parts-{n}",

@@ -147,3 +147,29 @@ def test_every_word_is_a_predecessor(spark, texts):
     assert Counter((*r[:5], round(r[5], 6), round(r[6], 6)) for r in got) == want
     learnt = {(t,) for i, text in made if not held_out(i) for t in tokens(text)[:-1]}
     assert learnt | {("start",)} == set(tables[1])
+
+
+def test_known_contexts_are_sent_as_places():
+    """Chunks name what they share by its place in the bucket, in about a byte instead of a hash."""
+    rng = np.random.default_rng(3)
+    every = np.unique(rng.integers(0, 1 << 63, 60_000).astype(np.uint64))
+    held = [np.sort(rng.choice(every, 30_000, replace=False)) for _ in range(3)]
+    rows = [r for c, names in enumerate(held) for r in katz._bucket_rows(c, 2, names, {"n": np.ones(len(names), int)}, 0)]
+    answers = katz._count(katz.pa.Table.from_pylist(rows, katz._REQUEST), True).to_pylist()
+    name_of: dict[int, int] = {}
+    for names, answer in zip(held, answers):
+        shared = (katz._unpacked(answer["data"], "<i8") & 1).astype(bool)
+        places = katz._unpacked_places(answer["more"])
+        assert all(name_of.setdefault(p, x) == x for p, x in zip(places.tolist(), names[shared].tolist()))
+        sums = {"kept": np.ones(len(places))}
+        parts = katz._bucket_rows(0, 1002, names[shared], sums, 0, places)
+        by_name = katz._bucket_rows(0, 1002, names[shared], sums, 0)
+        assert len(parts[0]["places"]) < 2 * len(places) < 0.5 * len(by_name[0]["names"])
+    assert len(set(name_of.values())) == len(name_of) > 20_000
+
+
+def test_rare_words_of_a_chunk_take_fewer_bytes_than_their_hashes(spark):
+    text = " ".join(f"word{k}" for k in range(40_000))
+    (row,) = katz._chunks(messy.docs(spark, [(1, text)]).coalesce(1), katz.Settings(), "doc_id", "text").collect()
+    chunk = katz.Chunk(row.asDict(), 2)
+    assert len(chunk.levels[0].names) == 40_002 and len(row.kinds) < 7 * 40_000
