@@ -1,0 +1,377 @@
+"""SimHashes and edit distances of lines in numpy, for tasks that get lines as Arrow batches.
+
+Hashes are those of Spark's ``xxhash64``, so that SimHashes equal the ones that
+``line_dedup.simhashes`` and ``gram_simhashes`` take with DataFrame functions.
+"""
+
+from __future__ import annotations
+
+import functools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+
+from evalweave.llm.words import slices, text_bytes
+
+# Text that is turned into arrays at once; a longer line is a slice of its own.
+SLICE_BYTES = 1 << 18
+# Text of pairs that is compared at once; pairs of like lengths are counted side by side.
+PAIR_BYTES = 4 << 20
+# Hashes that are taken, or counted, at once: they stay in a core's cache.
+_HASHED = 1 << 14
+# Bytes of the table of a character's places in all patterns that are compared at once.
+_PLACES_BYTES = 32 << 20
+# Characters after which pairs that need too many edits are left.
+_CHECKED = 32
+_P1, _P2, _P3, _P5 = (
+    np.uint64(p)
+    for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
+)
+_ONE_BYTE = _P5 + np.uint64(1)
+_SEED = 42
+_ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of a string column without NULLs, and each text's bounds in them."""
+    data, bounds = text_bytes(column)
+    if not len(data) or data.max() < 128:
+        return data, bounds
+    starts = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    points = data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass")
+    return np.frombuffer(points, np.uint32), starts[bounds]
+
+
+class Alphabet:
+    """The distinct characters of an array, numbered from 1; 0 is no character."""
+
+    def __init__(self, points: np.ndarray):
+        seen = np.zeros(int(points.max(initial=0)) + 1, bool)
+        seen[points] = True
+        own = np.flatnonzero(seen)
+        numbers = np.zeros(len(seen), np.int64)
+        numbers[own] = np.arange(1, len(own) + 1)
+        self.ids = numbers[points]
+        self.bits = int(len(own)).bit_length()
+        self.n_ascii = int(np.searchsorted(own, 128))
+        self.ascii = np.concatenate(([0], np.where(own < 128, own, 0)))
+        encoded = [b"", *(chr(c).encode("utf-8", "surrogatepass") for c in own.tolist())]
+        self.size = np.array([len(e) for e in encoded])
+        padded = np.frombuffer(b"".join(e.ljust(4, b"\0") for e in encoded), np.uint8).reshape(-1, 4)
+        self.bytes = np.ascontiguousarray((padded.astype(np.uint64) * _P5).T)
+        self.four = padded.copy().view("<u4")[:, 0].astype(np.uint64) * _P1
+
+    def hashed(self, seed: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """``xxhash64`` of the characters with these numbers, on top of earlier hashes."""
+        out = _finished(_rotated((seed + _ONE_BYTE) ^ self.bytes[0][ids], 11) * _P1)
+        sizes = self.size[ids]
+        for size in (0, 2, 3, 4):
+            some = np.flatnonzero(sizes == size)
+            if not len(some):
+                continue
+            h, own = seed[some], ids[some]
+            if size:
+                h = h + (_P5 + np.uint64(size))
+                if size == 4:
+                    h = _rotated(h ^ self.four[own], 23) * _P2 + _P3
+                else:
+                    for k in range(size):
+                        h = _rotated(h ^ self.bytes[k][own], 11) * _P1
+                h = _finished(h)
+            out[some] = h
+        return out
+
+
+def _rotated(h: np.ndarray, by: int) -> np.ndarray:
+    return (h << by) | (h >> (64 - by))
+
+
+def _finished(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> 33)) * _P2
+    h = (h ^ (h >> 29)) * _P3
+    return h ^ (h >> 32)
+
+
+def majorities(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """63 bits of each group of ``counts`` hashes: those set in more than half of them.
+
+    Several counters share a number: of 9 or 16 bits each if they suffice, else of 21.
+    """
+    if not len(counts):
+        return np.zeros(0, np.int64)
+    ends = np.cumsum(counts)
+    if ends[-1] > _HASHED and len(counts) > 1:
+        cuts = np.unique(np.searchsorted(ends, np.arange(_HASHED, ends[-1], _HASHED), "left"))
+        cuts = cuts[(cuts > 0) & (cuts < len(counts))]
+        if len(cuts):
+            groups = zip(np.split(hashes, ends[cuts - 1]), np.split(counts, cuts), strict=True)
+            return np.concatenate([_majorities(h, n) for h, n in groups])
+    return _majorities(hashes, counts)
+
+
+def _majorities(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    most = int(counts.max())
+    if most >= 1 << 20:
+        raise ValueError("counters hold fewer than 2^20 hashes")
+    lane = next(bits for bits in (9, 16, 21) if most < 1 << bits - 1)
+    lanes = np.uint64(sum(1 << at for at in range(0, 63, lane)))
+    first = np.cumsum(counts) - counts
+    # With this added, a counter's highest bit tells whether it exceeds half of the hashes.
+    half = ((1 << lane - 1) - 1 - counts // 2).astype(np.uint64) * lanes
+    bits = np.zeros(len(counts), np.uint64)
+    for j in range(lane):
+        sums = np.add.reduceat((hashes >> j) & lanes, first)
+        bits |= (((sums + half) >> (lane - 1)) & lanes) << j
+    return (bits & np.uint64((1 << 63) - 1)).view(np.int64)
+
+
+def gram_bits(points: np.ndarray, bounds: np.ndarray, gram: int) -> np.ndarray:
+    """The SimHash of each line's distinct runs of ``gram`` characters; a shorter line is one run."""
+    n, sizes = len(bounds) - 1, np.diff(bounds)
+    if not n:
+        return np.zeros(0, np.int64)
+    alphabet = Alphabet(points)
+    bits = alphabet.bits
+    whole = gram * bits + (n - 1).bit_length() <= 63
+    if not whole and n > 1:
+        half = n // 2
+        parts = [(bounds[: half + 1]), (bounds[half:])]
+        return np.concatenate([gram_bits(points[p[0] : p[-1]], p - p[0], gram) for p in parts])
+    rows = np.arange(n)
+    # Lines are set apart, so that a run that leaves a short line meets no character.
+    apart = np.zeros(len(points) + gram * n, np.int64)
+    apart[np.arange(len(points)) + np.repeat(rows * gram, sizes)] = alphabet.ids
+    runs = np.maximum(sizes - gram + 1, 1)
+    at = np.arange(runs.sum()) + np.repeat(
+        bounds[:-1] + rows * gram - np.concatenate(([0], np.cumsum(runs)[:-1])), runs
+    )
+    if not whole:
+        # One line of tens of thousands of distinct characters: runs are told apart by hashes.
+        seeds = np.full(len(at), _SEED, np.uint64)
+        for k in range(gram):
+            seeds = alphabet.hashed(seeds, apart[at + k])
+        seeds = np.unique(seeds)
+        return majorities(seeds, np.array([len(seeds)]))
+    long = len(apart) - gram + 1
+    codes = apart[:long]
+    for k in range(1, gram):
+        codes = (codes << bits) | apart[k : long + k]
+    keys = np.sort(codes[at] | np.repeat(rows << (gram * bits), runs))
+    keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))]
+    counts = np.bincount(keys >> (gram * bits), minlength=n)
+    return majorities(_hashed_codes(keys & ((1 << gram * bits) - 1), alphabet, gram), counts)
+
+
+@functools.cache
+def _hashed_pairs() -> np.ndarray:
+    """Hashes of all two ASCII characters, by 128 times the first and the second."""
+    ascii_ = Alphabet(np.arange(128))
+    first, second = np.divmod(np.arange(1 << 14), 128)
+    return ascii_.hashed(ascii_.hashed(np.full(1 << 14, _SEED, np.uint64), first + 1), second + 1)
+
+
+def _hashed_codes(codes: np.ndarray, alphabet: Alphabet, gram: int) -> np.ndarray:
+    """Hashes of runs of two characters or more; those of ASCII only begin with a known pair."""
+    bits, mask, last = alphabet.bits, (1 << alphabet.bits) - 1, alphabet.n_ascii
+    out = np.empty(len(codes), np.uint64)
+    for start in range(0, len(codes), _HASHED):
+        part = codes[start : start + _HASHED]
+        ids = [(part >> ((gram - 1 - k) * bits)) & mask for k in range(gram)]
+        # 0 becomes the largest number, so that runs of fewer characters count as others.
+        plain = functools.reduce(np.maximum, [(i - 1).view(np.uint64) for i in ids]) < last
+        h = _hashed_pairs()[(alphabet.ascii[ids[0]] << 7) | alphabet.ascii[ids[1]]]
+        for i in ids[2:]:
+            h = _finished(_rotated((h + _ONE_BYTE) ^ alphabet.bytes[0][i], 11) * _P1)
+        other = np.flatnonzero(~plain)
+        if len(other):
+            seeds = np.full(len(other), _SEED, np.uint64)
+            for i in ids:
+                seeds = alphabet.hashed(seeds, i[other])
+            h[other] = seeds
+        out[start : start + _HASHED] = h
+    return out
+
+
+def simhashed(batches: Iterator[pa.RecordBatch], gram: int) -> Iterator[pa.RecordBatch]:
+    """From ``(key, n_chars, n_words, words, line)``: both SimHashes of each slice's distinct lines.
+
+    ``words`` holds the hashes of a line's distinct words.
+    """
+    names = ["key", "n_chars", "n_words", "sim", "gram_sim"]
+    for batch in batches:
+        for part in slices(batch, 4, SLICE_BYTES):
+            _, once = np.unique(part.column(0).to_numpy(), return_index=True)
+            part = part.take(pa.array(np.sort(once)))
+            words = part.column(3)
+            hashes = words.flatten().to_numpy().view(np.uint64)
+            counts = words.value_lengths().to_numpy().astype(np.int64)
+            sims = majorities(hashes, counts), gram_bits(*code_points(part.column(4)), gram)
+            arrays = [*part.columns[:3], *(pa.array(s, pa.int64()) for s in sims)]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+
+def edits(a: np.ndarray, b: np.ndarray) -> int:
+    """The edit distance of two arrays of characters, by bits of whole numbers (Myers, Hyyro)."""
+    if len(a) > len(b):
+        a, b = b, a
+    m = len(a)
+    if not m:
+        return len(b)
+    places: dict[int, int] = {}
+    order = np.argsort(a, kind="stable")
+    chars, first = np.unique(a[order], return_index=True)
+    for c, own in zip(chars.tolist(), np.split(order, first[1:]), strict=True):
+        marks = np.zeros(m, np.uint8)
+        marks[own] = 1
+        places[c] = int.from_bytes(np.packbits(marks, bitorder="little").tobytes(), "little")
+    every, top = (1 << m) - 1, 1 << m - 1
+    plus, minus, n = every, 0, m
+    for c in b.tolist():
+        eq = places.get(c, 0)
+        vertical = eq | minus
+        across = (((eq & plus) + plus) ^ plus) | eq
+        up = minus | (every & ~(across | plus))
+        down = plus & across
+        n += bool(up & top) - bool(down & top)
+        up = (up << 1 | 1) & every
+        plus = (down << 1) & every | (every & ~(vertical | up))
+        minus = up & vertical
+    return n
+
+
+def within(a: np.ndarray, a_bounds: np.ndarray, b: np.ndarray, b_bounds: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+    """Whether each pair needs no more edits than allowed; no text of ``a`` is longer than its partner, or empty.
+
+    Pairs whose patterns take about as many 64-bit numbers are counted side by side.
+    """
+    m, n = np.diff(a_bounds), np.diff(b_bounds)
+    # Numbers per pattern are made powers of two, so that more pairs are alike.
+    blocks = 1 << np.frexp(-(-m // 64) - 1)[1].astype(np.int64)
+    out = np.zeros(len(m), bool)
+    alphabet = Alphabet(np.concatenate((a, b)))
+    ids_a, ids_b = alphabet.ids[: len(a)], alphabet.ids[len(a) :]
+    chars = len(alphabet.size)
+    for w in np.unique(blocks).tolist():
+        group = np.flatnonzero(blocks == w)
+        most = _PLACES_BYTES // (chars * w * 8)
+        if min(len(group), most) < 16 + w:
+            for i in group:
+                pair = a[a_bounds[i] : a_bounds[i + 1]], b[b_bounds[i] : b_bounds[i + 1]]
+                out[i] = edits(*pair) <= allowed[i]
+            continue
+        group = group[np.argsort(-n[group], kind="stable")]
+        for start in range(0, len(group), most):
+            part = group[start : start + most]
+            sizes = m[part]
+            rows = np.repeat(np.arange(len(part)), sizes)
+            place = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            ids = ids_a[np.repeat(a_bounds[part], sizes) + place]
+            places = np.zeros(w * len(part) * chars, np.uint64)
+            cell = ((place >> 6) * len(part) + rows) * chars + ids
+            np.bitwise_or.at(places, cell, np.uint64(1) << (place & 63).astype(np.uint64))
+            places = places.reshape(w, -1)
+            out[part] = _side_by_side(places, sizes, ids_b, b_bounds[part], n[part], allowed[part])
+    return out
+
+
+def _side_by_side(places, m, ids, starts, n, allowed) -> np.ndarray:
+    """``within`` for pairs in descending order of ``n``; ``places`` marks each character's places in a pattern."""
+    w, size = len(places), len(m)
+    chars = places.shape[1] // size
+    out = np.zeros(size, bool)
+    own, base = np.arange(size), np.arange(size) * chars
+    plus, minus = np.full((w, size), _ALL), np.zeros((w, size), np.uint64)
+    # The bits of each number that belong to the pattern.
+    used = np.clip(m - 64 * np.arange(w)[:, None], 0, 64)
+    used = np.where(used == 64, _ALL, (np.uint64(1) << (used & 63).astype(np.uint64)) - np.uint64(1))
+    one, none = np.uint64(1), np.uint64(0)
+    for begin in range(0, int(n[0]), _CHECKED):
+        # Further from the diagonal no way through both texts is cheap enough. What lies above counts
+        # as one edit more per character, what lies below as one more per place: never too few.
+        above, below = int((allowed + (n - m)).max()) // 2 + 1, int((allowed - (n - m)).max()) // 2 + 1
+        for j in range(begin, min(begin + _CHECKED, int(n[0]))):
+            k = int(np.searchsorted(-n, -j, "left"))
+            at = base[:k] + ids[starts[:k] + j]
+            up_in, down_in = one, none
+            for x in range(max(0, (j - above) >> 6), min(w, ((j + below) >> 6) + 1)):
+                p, q = plus[x, :k], minus[x, :k]
+                eq = places[x].take(at)
+                vertical = eq | q
+                eq |= down_in
+                across = (((eq & p) + p) ^ p) | eq
+                up = q | ~(across | p)
+                down = p & across
+                up_out, down_out = up >> 63, down >> 63
+                up = (up << 1) | up_in
+                down = (down << 1) | down_in
+                plus[x, :k] = down | ~(vertical | up)
+                minus[x, :k] = up & vertical
+                up_in, down_in = up_out, down_out
+        done = begin + _CHECKED
+        falls = np.bitwise_count(minus & used).astype(np.int64)
+        rises = np.bitwise_count(plus & used).astype(np.int64) - falls
+        ended = n <= done
+        out[own[ended]] = (n + rises.sum(axis=0) <= allowed)[ended]
+        # The edits so far at a number's first place, less its falls, and those that lengths still ask for.
+        first = 64 * np.arange(w)[:, None]
+        across = m - (n - done)
+        least = done + np.cumsum(rises, axis=0) - rises - falls
+        least += np.maximum(np.maximum(first - across, across - (first + 64)), 0)
+        least = np.where(first <= m, least, done + m + n).min(axis=0)
+        left = ~ended & (least <= allowed)
+        if not left.any():
+            break
+        plus, minus, used = plus[:, left], minus[:, left], used[:, left]
+        own, base, starts, m, n, allowed = (v[left] for v in (own, base, starts, m, n, allowed))
+    return out
+
+
+def similar(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Rows, without the last columns ``x`` and ``y``, whose lines have an edit similarity of ``least``."""
+    for batch in batches:
+        last = batch.num_columns - 1
+        for part in slices(batch, last, PAIR_BYTES):
+            keep = alike(*code_points(part.column(last - 1)), *code_points(part.column(last)), least)
+            arrays = [c.filter(pa.array(keep)) for c in part.columns[:-2]]
+            yield pa.RecordBatch.from_arrays(arrays, names=part.schema.names[:-2])
+
+
+def alike(x, x_bounds, y, y_bounds, least: float) -> np.ndarray:
+    """Whether each pair of lines needs at most 1 - ``least`` edits per character of the longer one."""
+    sizes = np.diff(x_bounds), np.diff(y_bounds)
+    allowed = np.floor((1 - least + 1e-9) * np.maximum(*sizes)).astype(np.int64)
+    # Neither a common beginning nor a common end takes edits.
+    head = _common(x, x_bounds[:-1], y, y_bounds[:-1], np.minimum(*sizes), 1)
+    tail = _common(x, x_bounds[1:] - 1, y, y_bounds[1:] - 1, np.minimum(*sizes) - head, -1)
+    left = [size - head - tail for size in sizes]
+    keep = np.maximum(*left) <= allowed
+    open_ = np.flatnonzero(~keep & (np.abs(left[0] - left[1]) <= allowed) & (np.minimum(*left) > 0))
+    if len(open_):
+        both = np.concatenate((x, y))
+        starts = [x_bounds[:-1][open_] + head[open_], len(x) + y_bounds[:-1][open_] + head[open_]]
+        left = [size[open_] for size in left]
+        swap = left[0] > left[1]
+        shorter = _middles(both, np.where(swap, *starts[::-1]), np.minimum(*left))
+        longer = _middles(both, np.where(swap, *starts), np.maximum(*left))
+        keep[open_] = within(*shorter, *longer, allowed[open_])
+    return keep
+
+
+def _common(x, x_at, y, y_at, most, step: int) -> np.ndarray:
+    """How many characters agree from the given places on, in steps of 1 or -1."""
+    same = np.zeros(len(most), np.int64)
+    left = np.flatnonzero(most > 0)
+    while len(left):
+        at = step * same[left]
+        equal = x[x_at[left] + at] == y[y_at[left] + at]
+        left = left[equal]
+        same[left] += 1
+        left = left[same[left] < most[left]]
+    return same
+
+
+def _middles(text, starts, sizes) -> tuple[np.ndarray, np.ndarray]:
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    at = np.arange(bounds[-1]) + np.repeat(starts - bounds[:-1], sizes)
+    return text[at], bounds
