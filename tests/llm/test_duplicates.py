@@ -7,11 +7,10 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from evalweave.llm import components, line_arrays, line_dedup, near_duplicates
+from evalweave.llm import components, line_dedup, near_duplicates
 from tests.llm import messy
 
 
@@ -352,63 +351,30 @@ def test_line_dedup_shuffles_texts_once_and_keys_once(spark):
     assert got == {k: (*v, grams[k]) for k, v in by_key.items()} and len(got) == 2
 
 
-def odd_lines():
-    rng = random.Random(23)
-    alphabets = ["abcdef ", "abé漢\U0001f600 z", "".join(map(chr, range(0x4E00, 0x6E00)))]
-    made = ["".join(rng.choice(a) for _ in range(rng.randrange(1, 400))) for a in alphabets for _ in range(60)]
-    wide = "".join(chr(c) for c in range(0x100, 0xA000))
-    return [*made, "a", "ab", "\U0001f600", "abcd", wide, "one two three four　five " * 900]
-
-
-def test_line_arrays_take_sparks_simhashes(spark):
-    """Both SimHashes of numpy are those of the DataFrame functions, and no text is shuffled."""
-    docs = messy.docs(spark, [(1, line) for line in odd_lines()])
-    found = line_dedup.lines(docs)
-    words = {r.key: (r.n_chars, r.n_words, r.sim) for r in line_dedup.simhashes(found).collect()}
-    grams = {r.key: r.gram_sim for r in line_dedup.gram_simhashes(found).collect()}
-    made = line_dedup.distinct_lines(found)
-    got = {r.key: (r.n_chars, r.n_words, r.sim, r.gram_sim) for r in made.collect()}
-    assert got == {k: (*v, grams[k]) for k, v in words.items()} and len(got) > 150
-    plan = made._jdf.queryExecution().executedPlan().toString()
-    assert "MapInArrow" in plan and "first(line" not in plan
-
-
-def test_lines_beyond_the_arrays(spark, line_texts, monkeypatch):
-    """Lines too long for arrays lose and keep the same lines as others."""
+def test_pairs_of_lines_are_compared_in_rounds(spark, line_texts, monkeypatch):
+    """Texts are written once, not once more per pair, and rounds find the same lines."""
     docs = messy.docs(spark, line_texts)
     rows = lambda: sorted(map(str, line_dedup.duplicate_lines(docs).collect()))
+    made, keep = [], line_dedup.moved
+    monkeypatch.setattr(line_dedup, "moved", lambda df, name, *a, **k: made.append((name, df.columns)) or keep(df, name, *a, **k))
     want = rows()
-    monkeypatch.setattr(line_dedup, "LONG", 60)
+    assert {name for name, columns in made if {"line", "x", "_x"} & {*columns}} == {"line-candidate-texts"}
+    one = [name for name, _ in made].count("line-links")
+    monkeypatch.setattr(line_dedup, "PAIRS_AT_ONCE", 5)
+    monkeypatch.setattr(line_dedup, "SHARE_AT_ONCE", 1000)
     assert rows() == want and len(want) > 20
+    assert [name for name, _ in made].count("line-links") > 2 * one
 
 
-def test_similar_lines_are_those_of_the_plain_distance():
-    """Side by side, by whole numbers, and left early: the verdict is that of the edit distance."""
-    rng = random.Random(24)
-    pairs = [("a", "a"), ("a", "b"), ("abcde", "abcd"), ("é" * 10, "é" * 8)]
-    for size in [3, 30, 64, 65, 128, 129, 200, 300] * 40:
-        x = [rng.choice("abcd é") for _ in range(rng.randrange(1, size + 1))]
-        y = list(x)
-        for _ in range(rng.randrange(len(x) // 3 + 1)):
-            k, how = rng.randrange(len(y)), rng.random()
-            y[k : k + (how < 0.7)] = [] if how < 0.3 and len(y) > 1 else ["q"]
-        pairs.append(("".join(x), "".join(y)))
-    pairs += [("".join(rng.choices("abc", k=n)), "".join(rng.choices("abc", k=n))) for n in [250] * 40]
-    texts = [line_arrays.code_points(pa.array(side)) for side in zip(*pairs, strict=True)]
-    got = line_arrays.alike(*texts[0], *texts[1], 0.8).tolist()
-    edits = [distance(x, y) for x, y in pairs]
-    assert got == [5 * d <= max(map(len, p)) for d, p in zip(edits, pairs, strict=True)]
-    assert 100 < sum(got) < len(got) - 50
-    for (x, y), d in list(zip(pairs, edits, strict=True))[:60]:
-        assert line_arrays.edits(*(line_arrays.code_points(pa.array([t]))[0] for t in (x, y))) == d
-
-
-def test_comparing_writes_no_second_copy_of_pairs(spark, tmp_path, monkeypatch):
-    """Pairs of lines are compared where they meet: the only texts written are the candidates', once."""
-    made = []
-    keep = line_dedup.moved
-    monkeypatch.setattr(line_dedup, "moved", lambda df, name, *a: made.append((name, df.columns)) or keep(df, name, *a))
-    text = "one two three four five six seven eight nine ten eleven"
-    docs = messy.docs(spark, [(1, text), (2, text + "x"), (3, text + "y")])
-    assert {r.doc_id for r in line_dedup.duplicate_lines(docs).collect()} == {2, 3}
-    assert {name for name, columns in made if {"line", "x", "_x"} & {*columns}} == {"line-candidate-texts"}
+def test_middles_are_taken_once(spark):
+    """No filter computes what a comparison needs again for each of its uses."""
+    pairs = spark.createDataFrame([(1, "a b c d", "a b c e")], "id int, x string, y string")
+    plan = line_dedup.within_edits(pairs, 0.8, ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("unhex(") == 2 and plan.count("levenshtein(") == 4
+
+
+def test_blanks_around_lines(spark):
+    """Blanks at either end are left out, others stay; lines of blanks alone are none."""
+    text = "\n".join(["  A b ", "\ta b", "a b\x0c\r", "\x0b", " \t ", "", "a\tb", "\u00a0a b"])
+    got = [r.line for r in line_dedup.lines(messy.docs(spark, [(1, text)])).orderBy("position").collect()]
+    assert got == ["a b", "a b", "a b", "a\tb", "\u00a0a b"]
