@@ -378,3 +378,57 @@ def test_blanks_around_lines(spark):
     text = "\n".join(["  A b ", "\ta b", "a b\x0c\r", "\x0b", " \t ", "", "a\tb", "\u00a0a b"])
     got = [r.line for r in line_dedup.lines(messy.docs(spark, [(1, text)])).orderBy("position").collect()]
     assert got == ["a b", "a b", "a b", "a\tb", "\u00a0a b"]
+
+
+def test_gram_simhashes_add_several_runs_at_once(spark):
+    """Bits follow the majority of the distinct runs; neither lambdas nor a row per run are needed."""
+    rng = random.Random(23)
+    texts = ["".join(rng.choice("abcé ") for _ in range(n)).strip() + "x" for n in (1, 2, 3, 4, 5, 14, 15, 16, 31, 400)]
+    texts += ["ab" * 40, texts[-1], "zz"]
+    found = line_dedup.lines(messy.docs(spark, list(enumerate(texts))))
+    runs = {(t, t[i : i + 4]) for t in texts for i in range(max(1, len(t) - 3))}
+    rows = [(t, *(run[k : k + 1] or None for k in range(4))) for t, run in runs]
+    hashed = spark.createDataFrame(rows, "line string, c0 string, c1 string, c2 string, c3 string")
+    by_line = defaultdict(list)
+    for r in hashed.select(F.xxhash64("line").alias("key"), F.xxhash64("c0", "c1", "c2", "c3").alias("h")).collect():
+        by_line[r.key].append(r.h)
+    want = {
+        key: sum((sum(h >> b & 1 for h in hashes) * 2 > len(hashes)) << b for b in range(63))
+        for key, hashes in by_line.items()
+    }
+    sims = line_dedup.gram_simhashes(found)
+    assert {r.key: r.gram_sim for r in sims.collect()} == want and len(want) == 12
+    plan = sims._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan and plan.count("explode(sequence(") == 2
+
+
+def test_counts_of_characters_tell_lines_apart_before_texts_are_compared(spark, monkeypatch):
+    """Lines whose characters differ by more than edits allow are not compared; all similar ones are."""
+    rng = random.Random(24)
+    rows = []
+    for n in (30, 90, 400):
+        for letters in ("etaoin ", "abcdefghijklmnopqrstuvwxyz ", "éжx漢 "):
+            x = [rng.choice(letters) for _ in range(n)]
+            for edits in (n // 20, n // 5, n // 4):
+                y = list(x)
+                for _ in range(edits):
+                    kind, at = rng.randrange(3), rng.randrange(len(y))
+                    y[at : at + (kind != 0)] = [rng.choice(letters)] * (kind != 1)
+                rows.append(("".join(x), "".join(y)))
+            rows.append(("".join(x), "".join(rng.choice("qzéж") for _ in range(n))))
+    df = spark.createDataFrame(rows, "x string, y string")
+    df = df.withColumns({f"{c}_counts": line_dedup.char_counts(F.col(c)) for c in "xy"})
+    near = df.withColumn("near", line_dedup._near_in_counts("x", "y", 0.8)).collect()
+    assert all(r.near for r in near if distance(r.x, r.y) <= 0.2 * max(len(r.x), len(r.y)))
+    # The third kind of lines has few characters that are counted.
+    others = [r for i, r in enumerate(near) if i % 4 == 3 and i % 12 != 11]
+    assert not any(r.near for r in others) and sum(r.near for r in near) >= 18
+
+    sent, keep = [], line_dedup.within_edits
+    monkeypatch.setattr(line_dedup, "within_edits", lambda df, *a: sent.extend(df.select("a", "b").collect()) or keep(df, *a))
+    lines = ["aab " * 12, "aab " * 11 + "aac ", "xyz " * 12]
+    found = line_dedup.lines(messy.docs(spark, list(enumerate(lines))))
+    distinct = line_dedup.simhashes(found).withColumns({c: F.lit(7).cast("long") for c in ("sim", "gram_sim")})
+    of = {r.key: r.id for r in found.collect()}
+    got = {tuple(sorted((of[r.a], of[r.b]))) for r in line_dedup.similar_lines(found, distinct, 0.8).collect()}
+    assert got == {tuple(sorted((of[r.a], of[r.b]))) for r in sent} == {(0, 1)}
